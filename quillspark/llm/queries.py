@@ -27,11 +27,17 @@ def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.media import text_media
+
+    return text_media(documents(spark, sf_dir))
+
+
 def op9_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.token_files import token_digests
 
     return token_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op9_arrow_token_files)}
+QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files)}
 ORACLES: dict[str, str] = {}
