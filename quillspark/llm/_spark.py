@@ -28,6 +28,8 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    # The shuffle files of what has just been written go once the JVM has collected its plan.
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

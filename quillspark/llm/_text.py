@@ -120,14 +120,17 @@ def run_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[:m], out[w - size : w - size + m])
 
 
-def minimisers(values: np.ndarray, w: int) -> np.ndarray:
-    """True where a value is the least of some window of ``w`` values; every window has one, ties all count."""
+def minimisers(values: np.ndarray, w: int, owner: np.ndarray) -> np.ndarray:
+    """True where a value is the least of some window of ``w`` values of one owner. Every such window has one; ties all count.
+
+    ``values`` are above 0 and those of an owner stand together.
+    """
     low = run_min(values, w)
     if not len(low):
         return np.zeros(len(values), bool)
+    low = np.where(owner[: len(low)] == owner[w - 1 :], low, 0).astype(values.dtype)
     pad = np.zeros(w - 1, values.dtype)
-    wide = np.concatenate([pad, low, pad])
-    return values == ~run_min(~wide, w)  # the largest of the minima of the windows around a value
+    return values == ~run_min(~np.concatenate([pad, low, pad]), w)  # the largest of the minima of the windows around a value
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -9,6 +9,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(documents(spark, sf_dir))
+
+
+SQL_OP2 = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS place FROM words WHERE len(w) >= 50),
+runs AS (SELECT doc_id, place, sha256(array_to_string(w[place + 1:place + 50], ' ')) AS run FROM places),
+firsts AS (SELECT run, min((doc_id, place)) AS f FROM runs GROUP BY run HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, place, f[1] AS first_doc_id, (doc_id = f[1] AND place = f[2]) AS is_first FROM runs JOIN firsts USING (run)),
+marks AS (SELECT *, CASE WHEN place - lag(place, 1, -51) OVER (PARTITION BY doc_id, is_first ORDER BY place) > 50 THEN 1 ELSE 0 END AS new FROM hits),
+spans AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, is_first ORDER BY place ROWS UNBOUNDED PRECEDING) AS span FROM marks)
+SELECT doc_id, min(place) AS start_word, max(place) - min(place) + 50 AS n_words, is_first, min(first_doc_id) AS first_doc_id
+FROM spans GROUP BY doc_id, is_first, span
+"""
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.jaccard_join import jaccard_components
 
@@ -39,5 +58,5 @@ def op9_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files)}
+ORACLES: dict[str, str] = {"op2_suffix_array_dedup": SQL_OP2}
