@@ -9,6 +9,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.sentencepiece_sampling import sampled_digests
+
+    return sampled_digests(documents(spark, sf_dir))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.suffix_dedup import repeated_spans
 
@@ -28,6 +34,12 @@ FROM spans GROUP BY doc_id, is_first, span
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.language_id import identified
+
+    return identified(documents(spark, sf_dir))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.jaccard_join import jaccard_components
 
@@ -58,5 +70,5 @@ def op9_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_sampling, op2_suffix_array_dedup, op3_language_id, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files)}
 ORACLES: dict[str, str] = {"op2_suffix_array_dedup": SQL_OP2}

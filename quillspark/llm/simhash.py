@@ -43,7 +43,7 @@ def _votes(terms: np.ndarray, owner: np.ndarray, rows: int, bits: int) -> np.nda
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     number = np.diff(np.concatenate([first, [len(terms)]]))
     for word in range(bits // 64):
-        lanes = np.ascontiguousarray(mix(terms + U64(word) * U64(0xA24BAED4963EE407)))
+        lanes = np.ascontiguousarray(mix(terms + U64(word * 0xA24BAED4963EE407 & (1 << 64) - 1)))
         # Bit k of every byte is summed at once: eight bytes of a hash are eight independent counters.
         view = lanes.view(np.uint8).reshape(-1, 8)
         for k in range(8):
