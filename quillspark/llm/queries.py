@@ -70,5 +70,11 @@ def op9_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_sampling, op2_suffix_array_dedup, op3_language_id, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.quality import classified
+
+    return classified(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_sampling, op2_suffix_array_dedup, op3_language_id, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files, op10_quality_classifier)}
 ORACLES: dict[str, str] = {"op2_suffix_array_dedup": SQL_OP2}
