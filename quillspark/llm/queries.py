@@ -40,6 +40,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.substring_dedup import shared_passages
+
+    return shared_passages(documents(spark, sf_dir))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.jaccard_join import jaccard_components
 
@@ -76,5 +82,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_sampling, op2_suffix_array_dedup, op3_language_id, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_sampling, op2_suffix_array_dedup, op3_language_id, op4_substring_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files, op10_quality_classifier)}
 ORACLES: dict[str, str] = {"op2_suffix_array_dedup": SQL_OP2}
