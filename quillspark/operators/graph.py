@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.session import checkpoint
 from quillspark.operators.search import clamp
 
 DEPTH, MOST_DEPTH = 2, 5
@@ -36,29 +37,19 @@ def resolve(edges: DataFrame, chunks: DataFrame, urls: DataFrame) -> DataFrame:
     return near.select(*columns).unionByName(far.select(*columns))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the plan after a level, in the shared checkpoint folder where there is one."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint()
-
-
 def bfs(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, urls: DataFrame, depth: int) -> DataFrame:
     """``seeds(seed, source_id)`` -> ``(seed, chunk_id, source_id, path, depth, cross_source)``.
 
     The seed itself is left out; each chunk is found once for each seed, at its least depth; ``cross_source`` tells that
     its source is not the seed's.
     """
-    seen = _checkpoint(seeds.select("seed", F.col("seed").alias("chunk_id"), "source_id", F.lit(None).cast("string").alias("path"), F.lit(0).alias("depth")))
+    seen = checkpoint(seeds.select("seed", F.col("seed").alias("chunk_id"), "source_id", F.lit(None).cast("string").alias("path"), F.lit(0).alias("depth")))
     frontier = seen
     for level in range(1, depth + 1):
         out = frontier.select("seed", F.col("chunk_id").alias("src_chunk_id"), "source_id").join(edges.select("src_chunk_id", "target_path"), "src_chunk_id")
         found = resolve(out, chunks, urls).select("seed", F.col("to_chunk_id").alias("chunk_id"), F.col("to_source_id").alias("source_id"), F.col("to_path").alias("path"))
         fresh = found.distinct().join(seen.select("seed", "chunk_id"), ["seed", "chunk_id"], "left_anti")
-        frontier = _checkpoint(fresh.withColumn("depth", F.lit(level)))
+        frontier = checkpoint(fresh.withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
