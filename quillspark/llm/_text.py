@@ -57,6 +57,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
         keep = codes != empty
         owner = np.repeat(np.arange(len(counts)), counts)[keep]
         codes, counts = codes[keep], np.bincount(owner, minlength=len(counts))
+        vocab[empty] = " "  # no word has its number
     return Words(codes, np.concatenate([[0], np.cumsum(counts)]), vocab)
 
 
