@@ -46,6 +46,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(documents(spark, sf_dir))
 
 
+SQL_OP5 = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i + 1:i + 5], ' ')) AS g FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT r.id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(min(r.other), d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.id = d.doc_id GROUP BY d.doc_id, s.n
+"""
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.jaccard_join import jaccard_components
 
@@ -83,4 +97,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece_sampling, op2_suffix_array_dedup, op3_language_id, op4_substring_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files, op10_quality_classifier)}
-ORACLES: dict[str, str] = {"op2_suffix_array_dedup": SQL_OP2}
+ORACLES: dict[str, str] = {"op2_suffix_array_dedup": SQL_OP2, "op5_ngram_jaccard_join": SQL_OP5}
