@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import partitions, scratch
+from quillspark.llm._spark import discard, partitions, scratch
 from quillspark.llm._text import U64, grams, hash_strings, long_grams, minimisers, mix, run_min, signed, slices, split_words
 
 MIN_WORDS, PREFIX_WORDS, SELECT_WORDS = 50, 25, 8
@@ -130,9 +130,11 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS, prefix: int | None =
     edges = compared.where("edge")
     across = edges.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("prefix")
     late = edges.where("NOT hit").join(across, "prefix").select("prefix", "doc_id")
+    discard(suffixes)
     seeds = compared.where("hit").select("prefix", "doc_id").unionByName(late).groupBy("doc_id").agg(F.collect_set("prefix").alias("seeds"))
     runs = scratch(text.join(seeds, "doc_id").mapInArrow(_runs(least, prefix), "run long, doc_id long, place int"), "suffix-runs")
     first = runs.groupBy("run").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    first = scratch(first, "suffix-firsts")  # a table of its own, so that a join partition with a hot run can be split
     return runs.join(first, "run").select("doc_id", "place", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"))
 
 
