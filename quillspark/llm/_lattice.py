@@ -18,6 +18,8 @@ from quillspark.llm._text import U64, mix
 SPACE, MARK, LITERAL_MARK = 0x20, 0x2581, 0x7FFFFFFF
 #: Segments are cut after so many characters, whatever they hold.
 LONGEST = 96
+#: Bytes of text of one step: each character takes some hundred bytes of lattice.
+LATTICE_BYTES = 3 << 19
 #: e to this power weighs each character.
 SCALE = 2.0
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -114,10 +116,14 @@ def segments(points: np.ndarray, counts: np.ndarray) -> Segments:
         at = np.flatnonzero(cut)
         size = np.diff(np.append(at, n))
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, _BASE)]))
-        back = np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, U64(pow(int(_BASE), -1, 1 << 64)))]))
-        sums = np.concatenate([[U64(0)], np.cumsum(mix(points.astype(U64)) * power)])
-        name = mix((sums[at + size] - sums[at]) * back[at] + size.astype(U64))
+        sums = np.full(n, _BASE)
+        sums[0] = 1
+        sums = mix(points) * np.cumprod(sums)
+        sums = np.concatenate([[U64(0)], np.cumsum(sums)])
+        back = np.full(n, U64(pow(int(_BASE), -1, 1 << 64)))
+        back[0] = 1
+        name = mix((sums[at + size] - sums[at]) * np.cumprod(back)[at] + size.astype(U64))
+    del sums, back
     _, first, which = np.unique(name, return_index=True, return_inverse=True)
     length = size[first]
     starts = np.concatenate([[0], np.cumsum(length)])

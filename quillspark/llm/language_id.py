@@ -24,11 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._lattice import Lattice, Segments, code_points, segments, vocabulary
-from quillspark.llm._text import slices
+from quillspark.llm._lattice import LATTICE_BYTES, Lattice, Segments, code_points, segments, vocabulary
+from quillspark.llm._text import give_back, slices
 from quillspark.llm._tokens import vocabulary as tokenizer_path
 
-TRAIN_DOCS, MOST_WORDS, ROUNDS = 8_000, 150_000, 3
+TRAIN_DOCS, MOST_WORDS, ROUNDS = 8_000, 60_000, 3
 #: Weight of the pooled distribution in each language's, in pieces, and the least probability of a piece.
 SMOOTH, FLOOR = 200.0, 1e-8
 UNKNOWN = "und"
@@ -80,13 +80,15 @@ def train(docs: DataFrame, path: str | None = None, most_docs: int = TRAIN_DOCS)
         pooled = used.sum(1, keepdims=True) / used.sum()
         weight = np.maximum((used + SMOOTH * pooled) / (used.sum(0) + SMOOTH), FLOOR)
         weight[voc.unknown] = FLOOR
+    del lattice, found, times
+    give_back()
     return Model(langs, weight)
 
 
 def _score(path: str, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        for part in slices(batches):
+        for part in slices(batches, most=LATTICE_BYTES):
             text = pc.fill_null(part.column("text"), "")
             has = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
             found: Segments = segments(*code_points(_folded(text)))

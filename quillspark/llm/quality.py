@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._text import U64, Words, hash_strings, mix, slices, split_words
+from quillspark.llm._text import U64, Words, give_back, hash_strings, mix, slices, split_words
 
-TRAIN_DOCS, THRESHOLD = 8_000, 0.5
+TRAIN_DOCS, THRESHOLD = 6_000, 0.5
 EM_ROUNDS, BUCKETS, EPOCHS, RATE, DECAY = 60, 1 << 14, 120, 0.5, 1e-4
 ABSTAIN = -1
 #: Shares of words or characters at which a labeller votes bad, and below which it votes good.
@@ -228,7 +228,10 @@ def train(docs: DataFrame, most_docs: int = TRAIN_DOCS) -> Model:
     triples = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy(), rows.column("shares").combine_chunks().flatten().to_numpy()
     x = rows.column("dense").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     target = labels.posterior(unpack(rows.column("pattern").to_numpy()))
-    return Model(labels, fit(x, triples, target))
+    model = Model(labels, fit(x, triples, target))
+    del rows, lists, triples, x
+    give_back()
+    return model
 
 
 def _judge(model: Model, threshold: float):

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._lattice import LITERAL_MARK, MARK, SPACE, Lattice, Vocabulary, code_points, segments, vocabulary
+from quillspark.llm._lattice import LATTICE_BYTES, LITERAL_MARK, MARK, SPACE, Lattice, Vocabulary, code_points, segments, vocabulary
 from quillspark.llm._text import U64, list_array, mix, slices
 from quillspark.llm._tokens import vocabulary as tokenizer_path
 
@@ -84,7 +84,7 @@ def decode_ids(voc: Vocabulary, ids: np.ndarray) -> str:
 def _encode(path: str, seed: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        for part in slices(batches):
+        for part in slices(batches, most=LATTICE_BYTES):
             text = part.column("text")
             ids, counts = sample_ids(voc, text, part.column("doc_id"), seed, alpha)
             lists = list_array(ids, counts, pa.int32())
@@ -118,7 +118,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def _digest(path: str, seed: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        for part in slices(batches):
+        for part in slices(batches, most=LATTICE_BYTES):
             ids, counts = sample_ids(voc, part.column("text"), part.column("doc_id"), seed, alpha)
             starts, rows = np.concatenate([[0], np.cumsum(counts)]), []
             data = memoryview(ids.astype("<u4")).cast("B")
