@@ -3,8 +3,9 @@
 Each language has a probability for every piece of the vocabulary. The probability of a word is the sum over all its
 segmentations, by a forward pass over its lattice; a text is scored by its words. Probabilities are learned by
 expectation maximisation: words are counted for each language in a bounded sample of the labelled training documents
-(about ``TRAIN_DOCS``; the ``MOST_WORDS`` largest counts are all that reaches the driver), the
-backward pass gives the expected use of each piece, and rare pieces are smoothed towards all languages together.
+(``TRAIN_DOCS`` to twice as many, spread over the languages; rare ones are taken whole), the backward pass gives the
+expected use of each piece, and rare pieces are smoothed towards all languages together. All counts are used: each round
+is an aggregate over them, of which one number for each piece and language at most reaches the driver.
 
 Words are scored once for each distinct word of a task; texts are read whole.
 
@@ -25,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._lattice import LATTICE_BYTES, Lattice, Segments, code_points, segments, vocabulary
-from quillspark.llm._text import give_back, slices
+from quillspark.llm._spark import discard, partitions, scratch
+from quillspark.llm._text import slices
 from quillspark.llm._tokens import vocabulary as tokenizer_path
 
-TRAIN_DOCS, MOST_WORDS, ROUNDS = 8_000, 60_000, 3
+TRAIN_DOCS, ROUNDS = 8_000, 3
+#: Bytes of distinct words of one step of a round.
+ROUND_BYTES = 1 << 18
 #: Weight of the pooled distribution in each language's, in pieces, and the least probability of a piece.
 SMOOTH, FLOOR = 200.0, 1e-8
 UNKNOWN = "und"
@@ -53,35 +57,60 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).to_batches()
 
 
+def every(sizes: dict[str, int], most_docs: int) -> dict[str, int]:
+    """Of how many documents of each language one is sampled: languages share ``most_docs`` evenly, and what small ones leave."""
+    out, left = {}, most_docs
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        part = max(1, left // (len(sizes) - k))
+        out[lang] = max(1, n // part)
+        left = max(0, left - min(n, part))
+    return out
+
+
+def _expected(path: str, langs: list[str], weight: np.ndarray | None):
+    """Expected use of pieces by language, for word counts; ``None`` stands for the weights of the vocabulary's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, column = vocabulary(path), pa.array(langs, pa.string())
+        now = np.repeat(np.maximum(voc.rank_weight, FLOOR)[:, None], len(langs), 1) if weight is None else weight
+        for part in slices(batches, "word", ROUND_BYTES):
+            found = segments(*code_points(pc.binary_join_element_wise(pa.scalar(" "), part.column("word"), "")))
+            lang = pc.index_in(part.column("lang"), column).to_numpy()
+            times = np.zeros((len(found.starts) - 1, len(langs)))
+            np.add.at(times, (found.which, lang[found.owner]), part.column("n").to_numpy()[found.owner])
+            used = Lattice(voc, found).expected(now, times)
+            piece, k = np.nonzero(used)
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(k, pa.int32()), pa.array(used[piece, k])], names=["piece", "k", "used"])
+
+    return run
+
+
 def train(docs: DataFrame, path: str | None = None, most_docs: int = TRAIN_DOCS) -> Model:
     """Learn from ``docs(doc_id, text, lang)``; give it training documents only."""
-    path = path or tokenizer_path("piece_bpe_32k.model")
+    spark, path = docs.sparkSession, path or tokenizer_path("piece_bpe_32k.model")
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    of = max(1, docs.count() // most_docs)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0) if of > 1 else docs
-    counts = sample.select("text", "lang").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where("word <> ''")
-    rows = counts.orderBy(F.desc("n"), "lang", "word").limit(MOST_WORDS).toArrow().to_pylist()
-    langs = sorted({r["lang"] for r in rows})
+    of = every({r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}, most_docs)
     voc = vocabulary(path)
+    if not of:
+        return Model([], np.zeros((voc.size + 1, 0)))
+    of_lang = F.broadcast(spark.createDataFrame(sorted(of.items()), "lang string, of long"))
+    sample = docs.join(of_lang, "lang").where(F.pmod(F.xxhash64("doc_id"), "of") == 0)
+    counts = sample.select("text", "lang").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where("word <> ''")
+    counts = scratch(counts.repartition(partitions(spark), "word").sortWithinPartitions("word", "lang"), "language-words")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
+        discard(counts)
         return Model([], np.zeros((voc.size + 1, 0)))
-    column, words = {x: k for k, x in enumerate(langs)}, sorted({r["word"] for r in rows})
-    place = {w: k for k, w in enumerate(words)}
-    counted = np.zeros((len(words), len(langs)))
-    for r in rows:
-        counted[place[r["word"]], column[r["lang"]]] += r["n"]
-    found = segments(*code_points(pa.array([" " + w for w in words])))
-    times = np.zeros((len(found.starts) - 1, len(langs)))
-    np.add.at(times, found.which, counted[found.owner])
-    lattice = Lattice(voc, found)
-    weight = np.repeat(np.maximum(voc.rank_weight, FLOOR)[:, None], len(langs), 1)
+    weight = None
     for _ in range(ROUNDS):
-        used = lattice.expected(weight, times) + FLOOR
+        used = np.full((voc.size + 1, len(langs)), FLOOR)
+        # Decimal sums don't depend on the order of rows.
+        sums = counts.mapInArrow(_expected(path, langs, weight), "piece int, k int, used double").groupBy("piece", "k").agg(F.sum(F.col("used").cast("decimal(28,12)")).cast("double").alias("used")).toArrow()
+        used[sums.column("piece").to_numpy(), sums.column("k").to_numpy()] += sums.column("used").to_numpy()
         pooled = used.sum(1, keepdims=True) / used.sum()
         weight = np.maximum((used + SMOOTH * pooled) / (used.sum(0) + SMOOTH), FLOOR)
         weight[voc.unknown] = FLOOR
-    del lattice, found, times
-    give_back()
+    discard(counts)
     return Model(langs, weight)
 
 

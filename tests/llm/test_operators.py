@@ -285,6 +285,24 @@ def test_language(spark):
     assert language_id.identified(unknown).first()["lang_pred"] == "und"
 
 
+def test_rare_language_is_learned(spark):
+    """Every count of every language is learned from: 70,000 words of a common one don't push out those of a rare one."""
+    rng = random.Random(5)
+    rare = ["der", "und", "nicht", "schön", "über"]
+    rows = [(i, " ".join(f"the{i}x{j} the{i}x{j}" for j in range(2000)), "en") for i in range(50)]
+    rows += [(i, " ".join(rng.sample(rare, 5)), "xx") for i in range(50, 53)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs.where("doc_id < 52"))
+    assert model.langs == ["en", "xx"] and np.allclose(model.weight.sum(0), 1, atol=1e-3)
+    told = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs.select("doc_id", "text"), model).collect()}
+    assert told[52] == "xx" and told[0] == "en"
+
+
+def test_language_sample_is_spread():
+    assert language_id.every({"en": 1_000_000, "de": 50_000, "xx": 3}, 8_000) == {"en": 250, "de": 12, "xx": 1}
+    assert language_id.every({"en": 5, "de": 7}, 8_000) == {"en": 1, "de": 1} and language_id.every({}, 8_000) == {}
+
+
 def test_quality_on_gold_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
