@@ -25,16 +25,21 @@ def keyword_hits(chunks: DataFrame, query: str) -> DataFrame:
     return chunks.where(includes(F.col("content"), query))
 
 
-def nearest(chunks: DataFrame, vector: Sequence[float], k: int, by_store: bool = False) -> DataFrame:
-    """The exact ``k`` nearest chunks by cosine distance (of each store), with ``distance``; ties by ``chunk_id``.
+def scored(chunks: DataFrame, vector: Sequence[float]) -> DataFrame:
+    """All chunks that have a cosine ``distance`` from the vector, in no order.
 
     Distances are rounded to six places, below which single-precision vectors do not tell anything.
     """
-    scored = chunks.where("embedding IS NOT NULL").withColumn("distance", F.round(cosine_distance(F.col("embedding"), vector), 6)).where("distance IS NOT NULL")
+    return chunks.where("embedding IS NOT NULL").withColumn("distance", F.round(cosine_distance(F.col("embedding"), vector), 6)).where("distance IS NOT NULL")
+
+
+def nearest(chunks: DataFrame, vector: Sequence[float], k: int, by_store: bool = False) -> DataFrame:
+    """The exact ``k`` nearest chunks by cosine distance (of each store), with ``distance``; ties by ``chunk_id``."""
+    found = scored(chunks, vector)
     if not by_store:
-        return scored.orderBy("distance", "chunk_id").limit(k)
+        return found.orderBy("distance", "chunk_id").limit(k)
     rank = F.row_number().over(Window.partitionBy("store_idx").orderBy("distance", "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
 def round_robin(hits: DataFrame, order: Sequence[str] = ("chunk_id",), limit: int | None = None) -> DataFrame:

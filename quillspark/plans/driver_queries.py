@@ -199,7 +199,7 @@ def semantic_multi_store(spark, sf_dir):
 @query("SELECT chunk_id, distance FROM v_scored")
 def semantic_null_excluded(spark, sf_dir):
     v = V.vectors(spark, sf_dir)
-    return search.nearest(v, V.query_vector(spark, sf_dir), 1 << 30).select("chunk_id", "distance")
+    return search.scored(v, V.query_vector(spark, sf_dir)).select("chunk_id", "distance")
 
 
 @query("SELECT chunk_id, unnest(range(len(e))) AS place, round(unnest(e), 4) AS value FROM v_vectors WHERE chunk_id = 'v11'")

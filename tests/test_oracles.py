@@ -30,6 +30,11 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(found) == rows(wanted)
 
 
+def test_all_vectors_without_order_or_limit(spark):
+    plan = QUERIES["semantic_null_excluded"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
