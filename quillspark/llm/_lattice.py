@@ -1,12 +1,15 @@
 """Lattices of vocabulary pieces over many short strings at once, as arrays.
 
-Texts become code points; a lattice is built for each distinct segment only. ``ids[l - 1, e]`` is the piece of l
-characters that ends before position e, or none. Weights are scaled by a constant for each character, so that sums over
-all segmentations of a segment of ``LONGEST`` characters neither vanish nor overflow.
+Texts become code points and are cut before runs of white space, which no piece goes on over; a lattice is built for each
+distinct segment only. Its edges, the pieces that fit somewhere, are kept as one list in the order in which a forward pass
+needs them. Forward sums are rescaled by powers of two on the way, so that they neither vanish nor overflow however long
+a segment is. Each edge then has the chance that a segmentation that ends where it ends uses it; sampling and expected
+counts need nothing else.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,12 +19,12 @@ import pyarrow.compute as pc
 from quillspark.llm._text import U64, mix
 
 SPACE, MARK, LITERAL_MARK = 0x20, 0x2581, 0x7FFFFFFF
-#: Segments are cut after so many characters, whatever they hold.
-LONGEST = 96
-#: Bytes of text of one step: each character takes some hundred bytes of lattice.
-LATTICE_BYTES = 3 << 19
-#: e to this power weighs each character.
-SCALE = 2.0
+#: Characters of one step; a longer segment is a step of its own.
+BLOCK = 1 << 19
+#: Characters between two looks at the scale of the sums, and the power of two below which they are rescaled.
+EVERY, SMALL = 16, -200
+#: The least weight of a piece: sums can't vanish between two looks.
+LEAST_WEIGHT = 1e-9
 _BASE = U64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 22
 
@@ -49,7 +52,8 @@ class Vocabulary:
             self.rank_weight[i] = 1 / (rank + 2.7)
         self.rank_weight /= self.rank_weight.sum()
         self.longest = max(len(p) for p, _ in pieces)
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
+        #: Whether a piece may begin with the characters of a hash.
+        self.begins = np.zeros(1 << _TABLE_BITS, bool)
         self.hashes, self.ids = [np.zeros(0, U64)], [np.zeros(0, np.int32)]
         for l in range(1, self.longest + 1):
             some = [(p, i) for p, i in pieces if len(p) == l]
@@ -57,10 +61,10 @@ class Vocabulary:
             h = np.zeros(len(some), U64)
             for k in range(l):
                 h = _step(h, points[:, k])
+                self.begins[(h >> U64(64 - _TABLE_BITS)).astype(np.int64)] = True
             order = np.argsort(h)
             self.hashes.append(h[order])
             self.ids.append(np.array([i for _, i in some], np.int32)[order])
-            self.table[(h >> U64(64 - _TABLE_BITS)).astype(np.int64)] = True
         #: The bytes that each piece stands for when decoded.
         self.decoded = [b""] * self.size
         for piece, i in pieces:
@@ -73,6 +77,32 @@ class Vocabulary:
         """The number that stands for a character that is no piece."""
         return self.size
 
+    def fitting(self, points: np.ndarray, stop: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """``(length, where it begins, piece)`` of all pieces in ``points`` that end at ``stop`` of their begin at the latest."""
+        out, at, h = [], np.arange(len(points)), np.zeros(len(points), U64)
+        for l in range(1, self.longest + 1):
+            room = at + l <= stop[at]
+            if not room.all():
+                at, h = at[room], h[room]
+            h = _step(h, points[at + (l - 1)])
+            goes_on = self.begins[(h >> U64(64 - _TABLE_BITS)).astype(np.int64)]
+            found = np.flatnonzero(goes_on)
+            if len(self.hashes[l]) and len(found):
+                k = np.minimum(np.searchsorted(self.hashes[l], h[found]), len(self.hashes[l]) - 1)
+                hit = self.hashes[l][k] == h[found]
+                where, piece = at[found[hit]], self.ids[l][k[hit]]
+            else:
+                where, piece = np.zeros(0, np.int64), np.zeros(0, np.int32)
+            if l == 1:  # each character is a way on
+                whole = np.full(len(points), self.unknown, np.int32)
+                whole[where] = piece
+                where, piece = np.arange(len(points)), whole
+            out.append((l, where, piece))
+            at, h = at[found], h[found]
+            if not len(at):
+                break
+        return out
+
 
 def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -80,13 +110,20 @@ def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Segments(NamedTuple):
-    """Distinct segments in a row (``points``, from ``starts``), and for each occurrence which one, and in which text."""
+    """Distinct segments in a row (``points``, from ``starts``) and their hashes; of each occurrence which one, in which text."""
 
     points: np.ndarray
     starts: np.ndarray
+    name: np.ndarray
     which: np.ndarray
     owner: np.ndarray
 
+    def only(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The points and starts of some distinct segments alone."""
+        size = (self.starts[1:] - self.starts[:-1])[some]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        return self.points[np.arange(starts[-1]) + np.repeat(self.starts[:-1][some] - starts[:-1], size)], starts
+
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as code points in a row, with ``MARK`` for spaces, and how many each text has."""
@@ -98,23 +135,29 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, counts
 
 
-def segments(points: np.ndarray, counts: np.ndarray) -> Segments:
-    """Cuts texts before each run of white space (pieces that would go on over such a place are not used) and takes equal segments together."""
+def segments(points: np.ndarray, counts: np.ndarray, block: int = BLOCK) -> Iterator[Segments]:
+    """Cuts texts before each run of white space and takes equal segments together, about ``block`` characters at a time."""
     n = len(points)
     if not n:
-        return Segments(points, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return
     blank = (points == MARK) | ((points >= 9) & (points <= 13))
     cut = np.zeros(n, bool)
     cut[1:] = blank[1:] & ~blank[:-1]
-    doc = np.repeat(np.arange(len(counts)), counts)
-    cut[1:] |= doc[1:] != doc[:-1]
-    cut[0] = True
+    begin = np.cumsum(counts) - counts
+    cut[begin[counts > 0]] = True
     at = np.flatnonzero(cut)
+    del blank, cut
+    doc = np.searchsorted(begin, at, "right") - 1
     size = np.diff(np.append(at, n))
-    while (size > LONGEST).any():
-        cut[at[size > LONGEST] + LONGEST] = True
-        at = np.flatnonzero(cut)
-        size = np.diff(np.append(at, n))
+    step = (at + size - 1) // block
+    bounds = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(at)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        start, stop = at[a], at[b - 1] + size[b - 1]
+        yield _distinct(points[start:stop], at[a:b] - start, size[a:b], doc[a:b])
+
+
+def _distinct(points: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray) -> Segments:
+    n = len(points)
     with np.errstate(over="ignore"):
         sums = np.full(n, _BASE)
         sums[0] = 1
@@ -124,133 +167,149 @@ def segments(points: np.ndarray, counts: np.ndarray) -> Segments:
         back[0] = 1
         name = mix((sums[at + size] - sums[at]) * np.cumprod(back)[at] + size.astype(U64))
     del sums, back
-    _, first, which = np.unique(name, return_index=True, return_inverse=True)
+    name, first, which = np.unique(name, return_index=True, return_inverse=True)
     length = size[first]
     starts = np.concatenate([[0], np.cumsum(length)])
     where = np.arange(starts[-1]) + np.repeat(at[first] - starts[:-1], length)
-    return Segments(points[where], starts, which, doc[at])
+    return Segments(points[where], starts, name, which, doc)
 
 
 class Lattice:
-    """All pieces that fit anywhere in the distinct segments."""
-
-    def __init__(self, vocabulary: Vocabulary, found: Segments):
-        self.vocabulary, self.found = vocabulary, found
-        points, starts = found.points, found.starts
-        n = len(points)
-        self.size = np.diff(starts)
-        #: State e + s is the place before character e of segment s (segment s has one state more than characters).
-        segment = np.repeat(np.arange(len(self.size)), self.size)
+    """All pieces that fit anywhere in some segments (``points``, from ``starts``).
+
+    A segment of n characters has n + 1 states. Edges are in the order of the place they end at within their segment;
+    those into one state stand together, long pieces first.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, points: np.ndarray, starts: np.ndarray):
+        self.size, self.longest = np.diff(starts), vocabulary.longest
         self.first = starts[:-1] + np.arange(len(self.size))
-        self.states = n + len(self.size)
-        self.ids = np.full((vocabulary.longest, self.states), -1, np.int32)
-        end = np.repeat(starts[1:], self.size)
-        h = np.zeros(n, U64)
-        for l in range(1, vocabulary.longest + 1):
-            m = n - l + 1
-            if m <= 0:
-                break
-            h = _step(h[:m], points[l - 1 :])
-            some = np.flatnonzero(vocabulary.table[(h >> U64(64 - _TABLE_BITS)).astype(np.int64)])
-            some = some[some + l <= end[some]]
-            if not len(some) or not len(vocabulary.hashes[l]):
-                continue
-            k = np.minimum(np.searchsorted(vocabulary.hashes[l], h[some]), len(vocabulary.hashes[l]) - 1)
-            hit = vocabulary.hashes[l][k] == h[some]
-            some, k = some[hit], k[hit]
-            self.ids[l - 1, some + segment[some] + l] = vocabulary.ids[l][k]
-        inner = np.ones(self.states, bool)
-        inner[self.first] = False
-        lone = inner & (self.ids[0] < 0)
-        self.ids[0, lone] = vocabulary.unknown
-        order = np.argsort(-self.size, kind="stable")
-        self.by_size, self.live = order, np.searchsorted(-self.size[order], -np.arange(1, (self.size.max(initial=0)) + 1), side="right")
-
-    def weights(self, weight: np.ndarray, l: int) -> np.ndarray:
-        """``weight`` (a row for each piece, the unknown one included, and a last one of zeros) scaled to l characters."""
-        return weight * np.exp(SCALE * l)
-
-    def forward(self, weight: np.ndarray) -> np.ndarray:
-        """For each state the summed weight of all segmentations up to it; columns of ``weight`` are kept apart."""
-        weight = np.concatenate([weight, np.zeros((1, *weight.shape[1:]))])  # row -1: no piece
-        scaled = [self.weights(weight, l) for l in range(1, len(self.ids) + 1)]
-        total = np.zeros((self.states, *weight.shape[1:]))
+        self.states = len(points) + len(self.size)
+        segment = np.repeat(np.arange(len(self.size)), self.size)
+        fitting = vocabulary.fitting(points, np.repeat(starts[1:], self.size))[::-1]
+        at = np.concatenate([w for _, w, _ in fitting]) if fitting else np.zeros(0, np.int64)
+        piece = np.concatenate([p for _, _, p in fitting]) if fitting else np.zeros(0, np.int32)
+        length = np.repeat(np.array([l for l, _, _ in fitting], np.uint8), [len(w) for _, w, _ in fitting])
+        to = at + segment[at] + length
+        inside = to - self.first[segment[at]]
+        order = np.argsort(to, kind="stable")
+        inside = inside[order]
+        order = order[np.argsort(inside.astype(np.uint16) if len(inside) and inside.max() < 1 << 16 else inside, kind="stable")]
+        self.to, self.length, self.piece = to[order], length[order], piece[order]
+        self.last = self.first + self.size
+        self.segment = np.repeat(np.arange(len(self.size)), self.size + 1)
+        #: Edges into states that are j characters inside stand from ``bounds[j - 1]`` to ``bounds[j]``.
+        self.bounds = np.cumsum(np.bincount(inside, minlength=1)) if len(inside) else np.zeros(1, np.int64)
+        new = np.ones(len(order), bool)
+        new[1:] = self.to[1:] != self.to[:-1]
+        #: The first edge into each state, in the order of the edges.
+        self.heads = np.flatnonzero(new)
+
+    def forward(self, weight: np.ndarray, shares: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(log of the summed weight of all segmentations of each segment, share of each edge in its state's sum).
+
+        ``weight`` has a row for each piece, the unknown one included, of ``LEAST_WEIGHT`` at least and with a sum of
+        about one for each of its columns, which are kept apart.
+        """
+        total = np.zeros((self.states, weight.shape[1]))
         total[self.first] = 1
-        first = self.first[self.by_size]
-        for j, live in enumerate(self.live.tolist(), 1):
-            at = first[:live] + j
-            acc = np.zeros((live, *weight.shape[1:]))
-            for l in range(1, min(j, len(self.ids)) + 1):
-                ids = self.ids[l - 1, at]
-                some = np.flatnonzero(ids >= 0)
-                if len(some):
-                    acc[some] += total[at[some] - l] * scaled[l - 1][ids[some]]
-            total[at] = acc
-        return total
+        lost = np.zeros((len(self.size), weight.shape[1]), np.int64)
+        share = np.empty((len(self.to), weight.shape[1])) if shares else None
+        head = np.searchsorted(self.heads, self.bounds)
+        for j in range(1, len(self.bounds)):
+            a, b = self.bounds[j - 1], self.bounds[j]
+            to, first = self.to[a:b], self.heads[head[j - 1] : head[j]] - a
+            part = total[to - self.length[a:b]] * weight[self.piece[a:b]]
+            sums, at = np.add.reduceat(part, first), to[first]
+            total[at] = sums
+            if shares:
+                share[a:b] = part / np.repeat(sums, np.diff(np.append(first, b - a)), axis=0)
+            if j % EVERY == 0:
+                power = np.frexp(sums)[1]
+                small = (power < SMALL).any(1)
+                if small.any():
+                    at, power = at[small], power[small]
+                    for k in range(min(j, self.longest)):  # what later sums still read
+                        total[at - k] = np.ldexp(total[at - k], -power)
+                    lost[self.segment[at]] += power
+        return np.log(total[self.last]) + lost * np.log(2), share
 
     def expected(self, weight: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected number of each piece under the segmentation posterior, segment s counted ``times[s]`` times (columns apart)."""
-        total = self.forward(weight)
-        weight = np.concatenate([weight, np.zeros((1, weight.shape[1]))])
-        scaled = [self.weights(weight, l) for l in range(1, len(self.ids) + 1)]
-        last = self.first + self.size
-        rest = np.zeros_like(total)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rest[last] = np.nan_to_num(times / total[last], posinf=0, neginf=0)
-        out = np.zeros_like(weight)
-        first = self.first[self.by_size]
-        for j in range(len(self.live), 0, -1):
-            at = first[: self.live[j - 1]] + j
-            for l in range(1, min(j, len(self.ids)) + 1):
-                ids = self.ids[l - 1, at]
-                some = np.flatnonzero(ids >= 0)
-                if not len(some):
-                    continue
-                to, of, w = at[some], at[some] - l, scaled[l - 1][ids[some]]
-                flow = rest[to] * w
-                rest[of] += flow
-                for k in range(weight.shape[1]):
-                    out[:, k] += np.bincount(ids[some], flow[:, k] * total[of, k], len(out))
-        return out[:-1]
-
-    def sample(self, weight: np.ndarray, uniform) -> tuple[np.ndarray, np.ndarray]:
-        """One segmentation for each occurrence, drawn from the posterior by backward sampling.
-
-        ``uniform(occurrences, step)`` gives numbers from 0 to 1. Returns (pieces in order, pieces of each occurrence).
+        _, share = self.forward(weight, shares=True)
+        visits = np.zeros((self.states, weight.shape[1]))
+        visits[self.last] = times
+        flat, columns = visits.reshape(-1), np.arange(weight.shape[1])
+        for j in range(len(self.bounds) - 1, 0, -1):
+            a, b = self.bounds[j - 1], self.bounds[j]
+            share[a:b] *= visits[self.to[a:b]]
+            of = (self.to[a:b] - self.length[a:b])[:, None] * weight.shape[1] + columns
+            np.add.at(flat, of.ravel(), share[a:b].ravel())
+        return np.stack([np.bincount(self.piece, share[:, k], len(weight)) for k in range(weight.shape[1])], 1)
+
+
+class Sampler:
+    """Draws segmentations from their posterior by backward sampling; lattices of up to ``most`` states are remembered."""
+
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, most: int = 1_000_000):
+        self.vocabulary, self.weight, self.most = vocabulary, np.maximum(weight, LEAST_WEIGHT)[:, None], most
+        none = np.zeros(0, np.int64)
+        #: Hashes in order and the segment of each; of segments: first state and size; of states: first edge; of edges: length, piece, cumulated share.
+        self.held = (np.zeros(0, U64), none, none, none, none, np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0))
+
+    def _with(self, found: Segments) -> tuple[np.ndarray, ...]:
+        held = self.held
+        place = np.minimum(np.searchsorted(held[0], found.name), max(0, len(held[0]) - 1))
+        new = np.flatnonzero(held[0][place] != found.name) if len(held[0]) else np.arange(len(found.name))
+        if not len(new):
+            return held
+        lattice = Lattice(self.vocabulary, *found.only(new))
+        share = lattice.forward(self.weight, shares=True)[1][:, 0]
+        number = np.diff(np.append(lattice.heads, len(share)))
+        edge = np.zeros(lattice.states, np.int64)
+        edge[lattice.to[lattice.heads]] = lattice.heads
+        for k in range(1, number.max(initial=0)):  # one after the other, so that the sums don't depend on what else is here
+            at = lattice.heads[number > k] + k
+            share[at] += share[at - 1]
+        share[lattice.heads + number - 1] = np.inf
+        edges, states = len(held[5]), len(held[4])
+        name = np.concatenate([held[0], found.name[new]])
+        order = np.argsort(name, kind="stable")
+        both = (
+            name[order], np.concatenate([held[1], len(held[2]) + np.arange(len(new))])[order],
+            np.concatenate([held[2], lattice.first + states]), np.concatenate([held[3], lattice.size]), np.concatenate([held[4], edge + edges]),
+            np.concatenate([held[5], lattice.length]), np.concatenate([held[6], lattice.piece]), np.concatenate([held[7], share]),
+        )
+        if states + lattice.states <= self.most:
+            self.held = both
+        return both
+
+    def sample(self, found: Segments, uniform) -> tuple[np.ndarray, np.ndarray]:
+        """One segmentation for each occurrence: (pieces in order, pieces of each occurrence).
+
+        ``uniform(occurrences, step)`` gives numbers from 0 to 1.
         """
-        total = self.forward(weight[:, None])[:, 0]
-        weight = np.append(weight, 0)
-        scaled = [self.weights(weight, l) for l in range(1, len(self.ids) + 1)]
-        which = self.found.which
-        begin, state = self.first[which], (self.first + self.size)[which]
-        live, step, drawn = np.arange(len(which)), 0, []
-        count = np.zeros(len(which), np.int64)
+        name, number, first, size, edge, length, piece, upto = self._with(found)
+        own = number[np.searchsorted(name, found.name)]
+        begin, state = first[own][found.which], (first + size)[own][found.which]
+        live, step, drawn = np.arange(len(state)), 0, []
+        count = np.zeros(len(state), np.int64)
         while len(live):
-            at = state[live]
-            goal = uniform(live, step) * total[at]
-            room, acc = at - begin[live], np.zeros(len(live))
-            length, piece = np.zeros(len(live), np.int64), np.full(len(live), -1, np.int32)
-            open_ = np.arange(len(live))
-            for l in range(1, len(self.ids) + 1):
-                open_ = open_[room[open_] >= l]
-                if not len(open_):
-                    break
-                ids = self.ids[l - 1, at[open_]]
-                has = ids >= 0
-                some = open_[has]
-                acc[some] += total[at[some] - l] * scaled[l - 1][ids[has]]
-                length[some], piece[some] = l, ids[has]  # the last one stands if rounding leaves none
-                open_ = open_[acc[open_] <= goal[open_]]
-            drawn.append((live, piece))
+            at, goal = state[live], uniform(live, step)
+            e = edge[at]
+            more = np.flatnonzero(upto[e] <= goal)
+            while len(more):
+                e[more] += 1
+                more = more[upto[e[more]] <= goal[more]]
+            drawn.append((live, piece[e]))
             count[live] += 1
-            state[live] = at - length
-            live, step = live[state[live] > begin[live]], step + 1
-        if not drawn:
-            return np.zeros(0, np.int32), count
+            at = at - length[e]
+            state[live] = at
+            live, step = live[at > begin[live]], step + 1
         starts = np.concatenate([[0], np.cumsum(count)])
         out = np.empty(starts[-1], np.int32)
-        for k, (live, piece) in enumerate(drawn):
-            out[starts[live + 1] - 1 - k] = piece
+        for k, (live, pieces) in enumerate(drawn):
+            out[starts[live + 1] - 1 - k] = pieces
         return out, count
 
 

@@ -7,7 +7,8 @@ expectation maximisation: words are counted for each language in a bounded sampl
 expected use of each piece, and rare pieces are smoothed towards all languages together. All counts are used: each round
 is an aggregate over them, of which one number for each piece and language at most reaches the driver.
 
-Words are scored once for each distinct word of a task; texts are read whole.
+Words, runs without white space of any length, are scored once where they are distinct; a worker keeps the scores of up to
+``KEPT_WORDS`` of them, which changes time, not results. Texts are read whole.
 
 Defined results: a null text or one without letters is ``und`` with score 0; so is every text if nothing could be
 learned; rows whose ``lang`` is null are predicted but not learned from; equal scores go to the language that sorts
@@ -25,16 +26,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._lattice import LATTICE_BYTES, Lattice, Segments, code_points, segments, vocabulary
+from quillspark.llm._lattice import LEAST_WEIGHT, Lattice, Vocabulary, code_points, segments, vocabulary
 from quillspark.llm._spark import discard, partitions, scratch
-from quillspark.llm._text import slices
+from quillspark.llm._text import U64, slices
 from quillspark.llm._tokens import vocabulary as tokenizer_path
 
 TRAIN_DOCS, ROUNDS = 8_000, 3
 #: Bytes of distinct words of one step of a round.
 ROUND_BYTES = 1 << 18
 #: Weight of the pooled distribution in each language's, in pieces, and the least probability of a piece.
-SMOOTH, FLOOR = 200.0, 1e-8
+SMOOTH, FLOOR = 200.0, 10 * LEAST_WEIGHT
+KEPT_WORDS = 300_000
 UNKNOWN = "und"
 
 
@@ -74,13 +76,13 @@ def _expected(path: str, langs: list[str], weight: np.ndarray | None):
         voc, column = vocabulary(path), pa.array(langs, pa.string())
         now = np.repeat(np.maximum(voc.rank_weight, FLOOR)[:, None], len(langs), 1) if weight is None else weight
         for part in slices(batches, "word", ROUND_BYTES):
-            found = segments(*code_points(pc.binary_join_element_wise(pa.scalar(" "), part.column("word"), "")))
             lang = pc.index_in(part.column("lang"), column).to_numpy()
-            times = np.zeros((len(found.starts) - 1, len(langs)))
-            np.add.at(times, (found.which, lang[found.owner]), part.column("n").to_numpy()[found.owner])
-            used = Lattice(voc, found).expected(now, times)
-            piece, k = np.nonzero(used)
-            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(k, pa.int32()), pa.array(used[piece, k])], names=["piece", "k", "used"])
+            for found in segments(*code_points(pc.binary_join_element_wise(pa.scalar(" "), part.column("word"), ""))):
+                times = np.zeros((len(found.starts) - 1, len(langs)))
+                np.add.at(times, (found.which, lang[found.owner]), part.column("n").to_numpy()[found.owner])
+                used = Lattice(voc, found.points, found.starts).expected(now, times)
+                piece, k = np.nonzero(used)
+                yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(k, pa.int32()), pa.array(used[piece, k])], names=["piece", "k", "used"])
 
     return run
 
@@ -114,19 +116,42 @@ def train(docs: DataFrame, path: str | None = None, most_docs: int = TRAIN_DOCS)
     return Model(langs, weight)
 
 
+class Scorer:
+    """Log-likelihoods of words under each language."""
+
+    def __init__(self, voc: Vocabulary, model: Model, most: int = KEPT_WORDS):
+        self.voc, self.model, self.most = voc, model, most
+        self.names, self.logs = np.zeros(0, U64), np.zeros((0, len(model.langs)))
+
+    def _words(self, found) -> np.ndarray:
+        names, logs = self.names, self.logs
+        place = np.minimum(np.searchsorted(names, found.name), max(0, len(names) - 1))
+        new = np.flatnonzero(names[place] != found.name) if len(names) else np.arange(len(found.name))
+        if len(new):
+            fresh, _ = Lattice(self.voc, *found.only(new)).forward(self.model.weight)
+            order = np.argsort(both := np.concatenate([names, found.name[new]]), kind="stable")
+            names, logs = both[order], np.concatenate([logs, fresh])[order]
+            if len(names) <= self.most:
+                self.names, self.logs = names, logs
+        return logs[np.searchsorted(names, found.name)]
+
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """A row for each text, a column for each language."""
+        sums = np.zeros((len(texts), len(self.model.langs)))
+        for found in segments(*code_points(_folded(texts))):
+            logs = self._words(found)
+            for k in range(sums.shape[1]):
+                sums[:, k] += np.bincount(found.owner, logs[found.which, k], len(texts))
+        return sums
+
+
 def _score(path: str, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary(path)
-        for part in slices(batches, most=LATTICE_BYTES):
+        scorer = Scorer(vocabulary(path), model)
+        for part in slices(batches):
             text = pc.fill_null(part.column("text"), "")
             has = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
-            found: Segments = segments(*code_points(_folded(text)))
-            lattice = Lattice(voc, found)
-            total = lattice.forward(model.weight)[lattice.first + lattice.size]
-            logs = np.log(np.maximum(total, 1e-300)) - np.log(np.maximum(total, 1e-300)).max(1, keepdims=True)
-            sums = np.zeros((part.num_rows, len(model.langs)))
-            for k in range(len(model.langs)):
-                sums[:, k] = np.bincount(found.owner, logs[found.which, k], part.num_rows)
+            sums = scorer.texts(text)
             best = sums.argmax(1)
             share = np.exp(sums - sums.max(1, keepdims=True))
             score = np.where(has, 1 / share.sum(1), 0.0)

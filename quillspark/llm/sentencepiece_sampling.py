@@ -6,8 +6,8 @@ them, so whole segmentations come from their exact posterior. Piece weights foll
 vocabulary, raised to ``alpha`` (a smaller ``alpha`` samples more evenly). The numbers drawn are a hash of seed, row key,
 place and step: equal rows give equal pieces wherever and how often they are computed.
 
-Pieces never go on over the end of a word, so lattices are built once for each distinct word of a task. Runs of more
-than ``LONGEST`` characters without white space are cut there. Characters without a piece, and the piece mark itself,
+Pieces never go on over the end of a word, so lattices are built for distinct words, and those of common words are kept
+by a worker. A word is a run without white space of any length. Characters without a piece, and the piece mark itself,
 become byte pieces. Decoding joins the bytes of the pieces and gives back every text exactly.
 
 Defined results: a null text stays null when encoded and decoded; an empty text has no pieces; a null key counts as a
@@ -26,33 +26,38 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._lattice import LATTICE_BYTES, LITERAL_MARK, MARK, SPACE, Lattice, Vocabulary, code_points, segments, vocabulary
-from quillspark.llm._text import U64, list_array, mix, slices
+from quillspark.llm._lattice import LEAST_WEIGHT, LITERAL_MARK, MARK, SPACE, Sampler, Vocabulary, code_points, segments, vocabulary
+from quillspark.llm._text import U64, list_array, mix, ranks_within, slices
 from quillspark.llm._tokens import vocabulary as tokenizer_path
 
 SEED, ALPHA = 0, 1.0
-#: The weight of a character that is spelled in bytes.
-BYTES_WEIGHT = 1e-9
 
 
-def sample_ids(voc: Vocabulary, texts: pa.Array, keys: pa.Array, seed: int = SEED, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, how many each text has)."""
-    points, counts = code_points(texts)
-    found = segments(points, counts)
-    lattice = Lattice(voc, found)
+def piece_weights(voc: Vocabulary, alpha: float = ALPHA) -> np.ndarray:
+    """The last is that of a character that is spelled in bytes."""
     weight = voc.rank_weight**alpha
     weight /= weight.sum()
-    weight[voc.unknown] = BYTES_WEIGHT
-    key = mix(pc.fill_null(keys, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) + U64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1))
-    first = np.searchsorted(found.owner, np.arange(len(counts)))
-    place = (np.arange(len(found.owner)) - first[found.owner]).astype(U64)
-    base = mix(key[found.owner] + place * U64(0x9E3779B97F4A7C15))
+    weight[voc.unknown] = LEAST_WEIGHT
+    return np.maximum(weight, LEAST_WEIGHT)
 
-    def uniform(occurrences: np.ndarray, step: int) -> np.ndarray:
-        return (mix(base[occurrences] + U64((step + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) >> U64(11)) * 2.0**-53
 
-    ids, number = lattice.sample(weight, uniform)
-    of = np.repeat(found.owner, number)
+def sample_ids(sampler: Sampler, texts: pa.Array, keys: pa.Array, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, how many each text has)."""
+    voc = sampler.vocabulary
+    points, counts = code_points(texts)
+    key = mix(pc.fill_null(keys, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) + U64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1))
+    done, last = [(np.zeros(0, np.int32), np.zeros(0, np.int64))], (-1, 0)
+    for found in segments(points, counts):
+        place = ranks_within(found.owner) + np.where(found.owner == last[0], last[1], 0)  # a text may go on from the step before
+        last = (found.owner[-1], int(place[-1]) + 1)
+        base = mix(key[found.owner] + place.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+        def uniform(occurrences: np.ndarray, step: int, base=base) -> np.ndarray:
+            return (mix(base[occurrences] + U64((step + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)) >> U64(11)) * 2.0**-53
+
+        ids, number = sampler.sample(found, uniform)
+        done.append((ids, np.repeat(found.owner, number)))
+    ids, of = (np.concatenate(x) for x in zip(*done, strict=True))
     lone = np.flatnonzero(ids == voc.unknown)
     if len(lone):  # each such piece is one character: spell it
         ids, of = _spelled(voc, points, counts, ids, of, lone)
@@ -84,9 +89,10 @@ def decode_ids(voc: Vocabulary, ids: np.ndarray) -> str:
 def _encode(path: str, seed: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        for part in slices(batches, most=LATTICE_BYTES):
+        sampler = Sampler(voc, piece_weights(voc, alpha))
+        for part in slices(batches):
             text = part.column("text")
-            ids, counts = sample_ids(voc, text, part.column("doc_id"), seed, alpha)
+            ids, counts = sample_ids(sampler, text, part.column("doc_id"), seed)
             lists = list_array(ids, counts, pa.int32())
             lists = pc.if_else(pc.is_null(text), pa.scalar(None, lists.type), lists)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
@@ -118,8 +124,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def _digest(path: str, seed: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        for part in slices(batches, most=LATTICE_BYTES):
-            ids, counts = sample_ids(voc, part.column("text"), part.column("doc_id"), seed, alpha)
+        sampler = Sampler(voc, piece_weights(voc, alpha))
+        for part in slices(batches):
+            ids, counts = sample_ids(sampler, part.column("text"), part.column("doc_id"), seed)
             starts, rows = np.concatenate([[0], np.cumsum(counts)]), []
             data = memoryview(ids.astype("<u4")).cast("B")
             for text, a, b in zip(part.column("text").to_pylist(), starts, starts[1:], strict=False):

@@ -238,29 +238,98 @@ def test_sampling(spark, texts, docs):
 
     wanted = dict(all_of("▁there"))
     total = sum(wanted.values())
-    flat, counts = sentencepiece_sampling.sample_ids(voc, pa.array([" there"] * 20_000), pa.array(range(20_000)))
+    sampler = _lattice.Sampler(voc, sentencepiece_sampling.piece_weights(voc))
+    flat, counts = sentencepiece_sampling.sample_ids(sampler, pa.array([" there"] * 20_000), pa.array(range(20_000)))
     at = np.concatenate([[0], np.cumsum(counts)])
     seen = Counter(tuple(number[i] for i in flat[a:b].tolist()) for a, b in zip(at, at[1:], strict=False))
     for pieces, p in wanted.items():
         assert abs(seen[pieces] / 20_000 - p / total) < 0.015
+    # The last pieces of a run of rare characters follow the same posterior as those of a short one, however long it is.
+    for run, tail in (("日", "一个数据获取"), ("ж", "которые"), ("😀", "there")):
+        ends = []
+        for n in (3, 2000):
+            rows = 400
+            flat, counts = sentencepiece_sampling.sample_ids(sampler, pa.array([" " + run * n + tail] * rows), pa.array(range(rows)))
+            at = np.cumsum(counts)
+            ends.append(Counter(tuple(flat[b - 2 : b].tolist()) for b in at.tolist()))
+        assert sum((ends[0] - ends[1]).values()) < 0.15 * rows
+
+
+def test_posterior_of_scripts_without_spaces():
+    """Sampled frequencies equal an enumeration of all segmentations where words are not told apart by spaces."""
+    voc = _lattice.vocabulary(vocabulary("piece_bpe_32k.model"))
+    sampler = _lattice.Sampler(voc, sentencepiece_sampling.piece_weights(voc))
+    known, weight = {p: i for p, i in voc.pieces}, sampler.weight[:, 0]
+
+    def all_of(s):
+        if not s:
+            yield (), 1.0
+        for n in range(1, min(16, len(s)) + 1):
+            i = known.get(s[:n], voc.unknown if n == 1 else None)
+            if i is not None:
+                for rest, p in all_of(s[n:]):
+                    yield (i, *rest), weight[i] * p
+
+    for text in ("一个数据", "获取数据一个", "которые", "日曜日数据", "======"):
+        wanted = dict(all_of(text))
+        found = next(_lattice.segments(*_lattice.code_points(pa.array([text] * 8000))))
+        rng = np.random.default_rng(0)
+        ids, counts = sampler.sample(found, lambda live, step: rng.random(len(live)))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(at, at[1:], strict=False))
+        assert set(seen) <= set(wanted)
+        for ids_, p in sorted(wanted.items(), key=lambda x: -x[1])[:20]:
+            assert abs(seen[ids_] / 8000 - p / sum(wanted.values())) < 0.03
+
+
+@pytest.mark.parametrize("text", ["日" * 10_000, "的" * 10_000, "ж" * 10_000, "😀" * 3000, "ก" * 10_000, "=" * 10_000, "あ한" * 5000, "abcdefg" * 30_000])
+def test_long_runs_neither_vanish_nor_are_cut(text):
+    voc = _lattice.vocabulary(vocabulary("piece_bpe_32k.model"))
+    weight = np.maximum(np.stack([voc.rank_weight, voc.rank_weight[::-1]], 1), _lattice.LEAST_WEIGHT)
+    logs = []
+    for n in (len(text), len(text) // 2):
+        found = next(_lattice.segments(*_lattice.code_points(pa.array([text[:n]]))))
+        assert len(found.points) == n
+        logs.append(_lattice.Lattice(voc, found.points, found.starts).forward(weight)[0][0])
+    assert np.isfinite(logs).all() and (logs[0] < logs[1]).all() and np.allclose(logs[0], 2 * logs[1], rtol=0.01)
+    ids, counts = sentencepiece_sampling.sample_ids(_lattice.Sampler(voc, weight[:, 0]), pa.array([text]), pa.array([1]))
+    assert sentencepiece_sampling.decode_ids(voc, ids) == text and counts[0] == len(ids)
+
+
+def test_blocks_and_memory_change_nothing():
+    voc = _lattice.vocabulary(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    texts = pa.array([" ".join("".join(rng.choice("abcdeé日 \n") for _ in range(rng.randrange(1, 9))) for _ in range(300)) for _ in range(20)] + ["", None])
+    whole = sentencepiece_sampling.sample_ids(_lattice.Sampler(voc, sentencepiece_sampling.piece_weights(voc)), texts, pa.array(range(22)))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(_lattice.segments, "__defaults__", (50,))
+        for most in (0, 500, 10**6):
+            again = sentencepiece_sampling.sample_ids(_lattice.Sampler(voc, sentencepiece_sampling.piece_weights(voc), most), texts, pa.array(range(22)))
+            assert (again[0] == whole[0]).all() and (again[1] == whole[1]).all()
+
+
+def slow_log(voc, text, weight):
+    """The log of the summed weight of all segmentations, place by place, with exact fractions of logs."""
+    known = {p: i for p, i in voc.pieces}
+    sums = [np.zeros(weight.shape[1])]
+    for e in range(1, len(text) + 1):
+        parts = []
+        for s in range(max(0, e - 16), e):
+            i = known.get(text[s:e], voc.unknown if e - s == 1 else None)
+            if i is not None:
+                parts.append(sums[s] + np.log(weight[i]))
+        sums.append(np.logaddexp.reduce(parts))
+    return sums[-1]
 
 
 def test_lattice_sums():
     voc = _lattice.vocabulary(vocabulary("piece_bpe_32k.model"))
-    found = _lattice.segments(*_lattice.code_points(pa.array([" there is", "日x", ""])))
-    lattice = _lattice.Lattice(voc, found)
-    known = {p: i for p, i in voc.pieces}
-    weight = np.stack([voc.rank_weight, voc.rank_weight[::-1]], 1)
-    total = lattice.forward(weight)[lattice.first + lattice.size]
+    found = next(_lattice.segments(*_lattice.code_points(pa.array([" there is", "日x", "", "あ" * 50 + "https://a.b/c?d=" * 9]))))
+    lattice = _lattice.Lattice(voc, found.points, found.starts)
+    weight = np.maximum(np.stack([voc.rank_weight, voc.rank_weight[::-1]], 1), _lattice.LEAST_WEIGHT)
+    logs, _ = lattice.forward(weight)
     for k, (a, b) in enumerate(zip(found.starts, found.starts[1:], strict=False)):
-        text = "".join(map(chr, found.points[a:b]))
-        sums = [np.ones(2)] + [np.zeros(2)] * len(text)
-        for e in range(1, len(text) + 1):
-            for s in range(max(0, e - 16), e):
-                i = known.get(text[s:e], voc.unknown if e - s == 1 else None)
-                if i is not None:
-                    sums[e] = sums[e] + sums[s] * weight[i]
-        assert np.allclose(total[k] * math.exp(-_lattice.SCALE * len(text)), sums[-1])
+        assert np.allclose(logs[k], slow_log(voc, "".join(map(chr, found.points[a:b])), weight))
     used = lattice.expected(weight, np.ones((len(found.starts) - 1, 2)))
     length = np.array([1.0] * (voc.size + 1))
     for p, i in voc.pieces:
@@ -298,6 +367,30 @@ def test_rare_language_is_learned(spark):
     assert told[52] == "xx" and told[0] == "en"
 
 
+def test_query_scores_equal_a_slow_scorer(spark):
+    """Every text of the query's table, word by word, by sums over all segmentations."""
+    rng = random.Random(3)
+    make = {"en": ["the", "and", "that's", "thing"], "zh": ["数据获取一个", "日本語の文", "一个"], "ru": ["которые", "не", "слово"]}
+    rows = [(i, " ".join(rng.choice(v) for _ in range(rng.randrange(1, 12))) + rng.choice(["", " x" * 3, "\n\tend"]), k) for i, (k, v) in enumerate(list(make.items()) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    voc = _lattice.vocabulary(vocabulary("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r for r in language_id.identified(docs).collect()}
+    for i, text, _ in rows:
+        text = (" " + text.lower()).replace(" ", "▁")
+        sums = sum(slow_log(voc, part, model.weight) for part in re.findall(r"[▁\t-\r]*[^▁\t-\r]+|[▁\t-\r]+$", text))
+        best = int(sums.argmax())
+        assert got[i]["lang_pred"] == model.langs[best] and math.isclose(got[i]["score"], 1 / np.exp(sums - sums.max()).sum(), rel_tol=1e-6)
+
+
+def test_a_language_of_thirty_documents_is_learned(spark):
+    rng = random.Random(6)
+    en, es = ["the", "and", "that", "thing", "with", "house"], ["el", "que", "niño", "también", "casa", "año"]
+    rows = [(i, " ".join(rng.choice(en) for _ in range(8)), "en") for i in range(4000)] + [(i, " ".join(rng.choice(es) for _ in range(8)), "es") for i in range(4000, 4030)]
+    got = language_id.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 3950").collect()
+    assert all(r["lang_pred"] == ("en" if r["doc_id"] < 4000 else "es") for r in got)
+
+
 def test_language_sample_is_spread():
     assert language_id.every({"en": 1_000_000, "de": 50_000, "xx": 3}, 8_000) == {"en": 250, "de": 12, "xx": 1}
     assert language_id.every({"en": 5, "de": 7}, 8_000) == {"en": 1, "de": 1} and language_id.every({}, 8_000) == {}
