@@ -1,36 +1,85 @@
-"""What every operator of this subpackage needs from the session: shared scratch tables and connected components."""
+"""What every operator of this subpackage needs from the session: shared scratch tables and connected components.
+
+Scratch tables of an application lie in one folder below the one that all executors share. Operators discard those that
+nothing will read again; what a returned DataFrame still reads goes with ``clear``, or when the driver ends.
+"""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Local mode may do without and gets one of its own."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
     if hasattr(own, "isDefined"):
         own = own.get() if own.isDefined() else None
     if not own:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
 
 
+_KNOWN: set[str] = set()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    root = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
+    if root not in _KNOWN:
+        _KNOWN.add(root)
+        atexit.register(_end, spark, root)
+    return root
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables and files of this application: for when its results have been written elsewhere."""
+    _delete(spark, scratch_root(spark))
+
+
+def _end(spark: SparkSession, root: str) -> None:
+    with suppress(Py4JError, OSError):  # the JVM may have gone before
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, root)
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of the queries run inside go as soon as each has ended."""
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
 
 
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    # The shuffle files of what has just been written go once the JVM has collected its plan.
-    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
 
@@ -38,9 +87,7 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing will read again."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table.scratch_path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -48,7 +95,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``links(a, b)`` -> ``(id, component)``: for every id in a link, the smallest id it can reach.
+    """``links(a, b)`` -> ``(id, component)``: for every id in a link, the smallest id it can reach. Null ids have no links.
 
     Alternating large-star and small-star steps; each round is a map-side combined minimum and a join that adaptive
     execution can split, so neither a hub nor a long chain meets in one task. Rounds end when nothing changes.
@@ -79,4 +126,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     tops = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).groupBy("id").agg(F.min("component").alias("component")).unionByName(tops)
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).groupBy("id").agg(F.min("component").alias("component")).unionByName(tops)
+    out = scratch(out, "components")
+    discard(edges)
+    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,15 +13,6 @@ import xxhash
 #: Bytes of text that one vectorised step holds; a single longer text is a step of its own.
 SLICE_BYTES = 3 << 20
 U64 = np.uint64
-#: Of the C library, where it has it.
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def give_back() -> None:
-    """Hand freed memory back, so that workers that live on between stages don't add up."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -36,7 +26,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
-                give_back()
 
 
 class Words(NamedTuple):
