@@ -24,18 +24,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm._spark import schema_with
 from quillspark.llm._text import U64, Words, hash_strings, mix, slices, split_words
 
 TRAIN_DOCS, THRESHOLD = 8_000, 0.5
 EM_ROUNDS, BUCKETS, EPOCHS, RATE, DECAY = 60, 1 << 14, 120, 0.5, 1e-4
 ABSTAIN = -1
+SENTENCE_ENDS = ".!?…。！？"
 #: Shares of words or characters at which a labeller votes bad, and below which it votes good.
-MARKED, CAPITAL, LISTED, SAME, TAILED = (0.25, 0.05), (0.4, 0.15), (0.15, 0.03), (0.2, 0.05), (0.3, 0.08)
+MARKED, CAPITAL, LISTED, SAME, TAILED, SINGLE = (0.25, 0.05), (0.4, 0.15), (0.15, 0.03), (0.2, 0.05), (0.3, 0.08), (0.25, 0.12)
+#: Prose ends a sentence every four to sixty words, and half of its words or more are new; much less is a vote against it.
+ENDED, DISTINCT = (1 / 60, 1 / 4), (0.25, 0.5)
 
 
 def _per_word(vocab: list[str]) -> np.ndarray:
-    """For each distinct word: symbols, upper-case letters, letters, digits, characters, is a bar, ends in a mark run."""
-    out = np.zeros((len(vocab), 7))
+    """For each distinct word: symbols, upper-case letters, letters, digits, characters, is a bar, ends in a mark run, ends a sentence, is one character."""
+    out = np.zeros((len(vocab), 9))
     if not vocab:
         return out
     points, where = np.unique(np.frombuffer("".join(vocab).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
@@ -49,6 +53,8 @@ def _per_word(vocab: list[str]) -> np.ndarray:
     out[:, 0], out[:, 1], out[:, 2], out[:, 3], out[:, 4] = total(mark), total(upper), total(letter), total(digit), size
     out[:, 5] = out[:, 0] == size
     out[:, 6] = (size > 2) & mark[end - 1] & mark[np.maximum(end - 2, 0)]
+    out[:, 7] = np.isin(points[where[end - 1]], np.frombuffer(SENTENCE_ENDS.encode("utf-32-le"), "<u4")) & (size > 1)
+    out[:, 8] = size == 1
     return out
 
 
@@ -62,6 +68,8 @@ class Features(NamedTuple):
     same: np.ndarray
     tailed: np.ndarray
     distinct: np.ndarray
+    ended: np.ndarray
+    single: np.ndarray
     #: None unless asked for.
     triples: tuple[np.ndarray, np.ndarray, np.ndarray] | None
 
@@ -78,7 +86,7 @@ def features(texts: pa.Array, hashed: bool = True) -> Features:
     with np.errstate(divide="ignore", invalid="ignore"):
         share = lambda a, b: np.nan_to_num(a / b, posinf=0.0)
         symbols, capitals = share(each(0), each(4)), share(each(1), each(2))
-        bars, tailed = share(each(5), n), share(each(6), n)
+        bars, tailed, ended, single = (share(each(k), n) for k in (5, 6, 7, 8))
         again = np.zeros(len(w.codes), bool)
         again[1:] = (w.codes[1:] == w.codes[:-1]) & (owner[1:] == owner[:-1])
         same = share(_sums(owner, again, rows), n)
@@ -89,7 +97,7 @@ def features(texts: pa.Array, hashed: bool = True) -> Features:
         bucket = (mix(hash_strings([x.lower() for x in w.vocab])) % U64(BUCKETS)).astype(np.int64)
         text = pair // max(1, len(w.vocab))
         triples = text, bucket[pair % max(1, len(w.vocab))] if len(pair) else pair, count / np.sqrt(np.maximum(n[text], 1))
-    return Features(n, symbols, capitals, bars, same, tailed, distinct, triples)
+    return Features(n, symbols, capitals, bars, same, tailed, distinct, ended, single, triples)
 
 
 def _three(x: np.ndarray, bounds: tuple[float, float], enough: np.ndarray) -> np.ndarray:
@@ -101,7 +109,6 @@ def _three(x: np.ndarray, bounds: tuple[float, float], enough: np.ndarray) -> np
 def votes(f: Features) -> np.ndarray:
     """One column for each labeller."""
     some, many = f.words >= 5, f.words >= 20
-    junk = np.maximum.reduce([f.symbols / MARKED[0], f.capitals / CAPITAL[0], f.bars / LISTED[0], f.same / SAME[0], f.tailed / TAILED[0]])
     return np.stack(
         [
             _three(f.symbols, MARKED, some),
@@ -109,20 +116,21 @@ def votes(f: Features) -> np.ndarray:
             _three(f.bars, LISTED, some),
             _three(f.same, SAME, some),
             _three(f.tailed, TAILED, some),
-            np.where(many & (f.distinct < 0.12) & (f.words < 2000), 0, ABSTAIN),
-            np.where(some, np.where(junk >= 0.8, 0, np.where(junk < 0.4, 1, ABSTAIN)), ABSTAIN),
+            np.where(many & (f.words < 2000), np.where(f.distinct < DISTINCT[0], 0, np.where(f.distinct >= DISTINCT[1], 1, ABSTAIN)), ABSTAIN),
+            np.where(many, np.where((f.ended >= ENDED[0]) & (f.ended <= ENDED[1]), 1, np.where((f.ended < ENDED[0] / 4) | (f.ended > 2 * ENDED[1]), 0, ABSTAIN)), ABSTAIN),
+            _three(f.single, SINGLE, some),
         ],
         axis=1,
     ).astype(np.int8)
 
 
-LABELLERS = ("symbols", "capitals", "bars", "same", "tailed", "distinct", "junk")
+LABELLERS = ("symbols", "capitals", "bars", "same", "tailed", "distinct", "ended", "single")
 
 
 def dense(f: Features) -> np.ndarray:
     """The part of the scorer's input that is not hashed words; the last column is the bias."""
     cut = lambda x, b: np.clip(x / b[0], 0, 2)
-    return np.stack([cut(f.symbols, MARKED), cut(f.capitals, CAPITAL), cut(f.bars, LISTED), cut(f.same, SAME), cut(f.tailed, TAILED), f.distinct, np.ones(len(f.words))], axis=1)
+    return np.stack([cut(f.symbols, MARKED), cut(f.capitals, CAPITAL), cut(f.bars, LISTED), cut(f.same, SAME), cut(f.tailed, TAILED), cut(f.single, SINGLE), f.ended < ENDED[0] / 4, f.ended > 2 * ENDED[1], f.distinct, np.ones(len(f.words))], axis=1)
 
 
 def pattern(v: np.ndarray) -> np.ndarray:
@@ -223,7 +231,7 @@ def train(docs: DataFrame, most_docs: int = TRAIN_DOCS) -> Model:
     sample = text.where(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0) if of > 1 else text
     rows = sample.select("text").mapInArrow(_sampled, "pattern long, dense array<double>, buckets array<long>, shares array<double>").toArrow()
     if not rows.num_rows:
-        return Model(labels, fit(np.zeros((0, 7)), (np.zeros(0, np.int64),) * 3, np.zeros(0)))
+        return Model(labels, fit(np.zeros((0, 10)), (np.zeros(0, np.int64),) * 3, np.zeros(0)))
     lists = rows.column("buckets").combine_chunks()
     triples = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy(), rows.column("shares").combine_chunks().flatten().to_numpy()
     x = rows.column("dense").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
@@ -245,8 +253,7 @@ def _judge(model: Model, threshold: float):
 def judged(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``quality_score``, ``quality_keep`` and ``weak_posterior`` (columns of these names are replaced)."""
     docs = docs.drop("quality_score", "quality_keep", "weak_posterior").withColumn("text", F.col("text").cast("string"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_judge(model, threshold), f"{kept}, quality_score double, quality_keep boolean, weak_posterior double")
+    return docs.mapInArrow(_judge(model, threshold), schema_with(docs.schema, "quality_score double, quality_keep boolean, weak_posterior double"))
 
 
 def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
