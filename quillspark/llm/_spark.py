@@ -9,11 +9,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager, suppress
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -90,6 +92,22 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table.scratch_path)
 
 
+def schema_with(fields: Iterable[T.StructField], more: str) -> T.StructType:
+    """``fields`` as they are, whatever their names, and then those of a DDL string."""
+    return T.StructType([*fields, *T.StructType.fromDDL(more)])
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, rest)``: all other columns in one struct, where their names clash with none of an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("rest"))
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``carried`` put away, in their order, with ``text`` as it is now."""
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

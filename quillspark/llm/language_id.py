@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._lattice import LEAST_WEIGHT, Lattice, Vocabulary, code_points, segments, vocabulary
-from quillspark.llm._spark import discard, partitions, scratch
+from quillspark.llm._spark import discard, partitions, schema_with, scratch
 from quillspark.llm._text import U64, slices
 from quillspark.llm._tokens import vocabulary as tokenizer_path
 
@@ -145,7 +145,7 @@ class Scorer:
         return sums
 
 
-def _score(path: str, model: Model):
+def _score(path: str, model: Model, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(vocabulary(path), model)
         for part in slices(batches):
@@ -157,19 +157,22 @@ def _score(path: str, model: Model):
             score = np.where(has, 1 / share.sum(1), 0.0)
             names = pa.array(model.langs, pa.string()).take(pa.array(best))
             lang = pc.if_else(pa.array(has), names, pa.scalar(UNKNOWN))
-            rest = [c for c in part.schema.names if c != "text"]
+            rest = [c for c in part.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lang, pa.array(score)], names=[*rest, "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, path: str | None = None) -> DataFrame:
-    """``docs`` without ``text``, with ``lang_pred`` and ``score`` (the posterior of the language, all equally likely before)."""
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    schema = ", ".join([*kept, "lang_pred string, score double"])
+def predict(docs: DataFrame, model: Model, path: str | None = None, keep_text: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (the posterior of the language, all equally likely before).
+
+    ``text`` goes unless ``keep_text``; other columns of these two names are replaced.
+    """
+    docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    schema = schema_with([f for f in docs.schema if keep_text or f.name != "text"], "lang_pred string, score double")
     if not model.langs:
-        return docs.drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_score(path or tokenizer_path("piece_bpe_32k.model"), model), schema)
+        return (docs if keep_text else docs.drop("text")).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    return docs.mapInArrow(_score(path or tokenizer_path("piece_bpe_32k.model"), model, keep_text), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import _files
-from quillspark.llm._spark import partitions, scratch, scratch_path
+from quillspark.llm._spark import partitions, schema_with, scratch, scratch_path
 from quillspark.llm._text import slices
 
 WIDTH, LEVEL = 192, 3
@@ -110,8 +110,8 @@ def _store(folder: str):
 
 def store_payloads(rows: DataFrame, folder: str) -> DataFrame:
     """``rows`` with a binary ``payload`` -> the other columns with ``media_sha256``, ``shard``, ``offset`` and ``length``."""
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "payload"]
-    stored = rows.mapInArrow(_store(_files.normal(folder)), ", ".join([*kept, "media_sha256 string, shard string, offset long, length long"]))
+    schema = schema_with([f for f in rows.schema if f.name != "payload"], "media_sha256 string, shard string, offset long, length long")
+    stored = rows.mapInArrow(_store(_files.normal(folder)), schema)
     stored = scratch(stored, "media-rows")
     # One place for each digest.
     place = stored.groupBy("media_sha256").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
@@ -137,8 +137,7 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_metadata(media: DataFrame) -> DataFrame:
     """``media`` with the columns that the stored headers tell; the samples are not read."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return _near_shards(media).mapInArrow(_headers, f"{kept}, width int, height int, bit_depth int, colour_type int")
+    return _near_shards(media).mapInArrow(_headers, schema_with(media.schema, "width int, height int, bit_depth int, colour_type int"))
 
 
 def _near_shards(media: DataFrame) -> DataFrame:

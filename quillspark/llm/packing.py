@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import partitions, scratch
+from quillspark.llm._spark import discard, partitions, scratch
 from quillspark.llm._text import slices
 from quillspark.llm._tokens import vocabulary, with_end, word_tokenizer
 
@@ -170,8 +170,8 @@ def _island(capacity: int, epoch: int):
 _ELITES = "shard long, island int, fitness double, elites array<array<int>>"
 
 
-def _pack_shards(shards: DataFrame, capacity: int) -> DataFrame:
-    """``shards(shard, pieces)`` -> the same with ``bins``, the bin number of each piece in the best packing found."""
+def _pack_shards(shards: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """``shards(shard, pieces)`` -> the same with ``bins``, the bin number of each piece in the best packing found; and the scratch table it reads."""
     spark = shards.sparkSession
     sizes = shards.select("shard", F.col("pieces.length").alias("sizes"))
     islands = sizes.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))))
@@ -180,27 +180,34 @@ def _pack_shards(shards: DataFrame, capacity: int) -> DataFrame:
     for epoch in range(EPOCHS):
         spread = state.repartition(4 * partitions(spark), "shard", "island")
         grown = scratch(spread.mapInArrow(_island(capacity, epoch), _ELITES), "packing-elites")
+        if epoch:
+            discard(last)
+        last = grown
         if epoch + 1 < EPOCHS:  # every island gets the elites of all islands of its shard
             sent = grown.groupBy("shard").agg(F.flatten(F.collect_list("elites")).alias("elites"))
             state = islands.join(sent, "shard")
     best = grown.groupBy("shard").agg(F.max_by(F.col("elites")[0], F.struct("fitness", "island")).alias("bins"))
-    return shards.join(best, "shard")
+    return shards.join(best, "shard"), grown
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: sequences are gapless from 0 and hold at most ``capacity`` ids."""
     columns = [f.strip().split()[0] for f in PIECE.split(",")]
     todo, done, level = scratch(pieces.select(*columns), "packing-pieces"), [], 0
+    dealt_from = [todo]
     while True:
         number = max(1, -(-todo.count() // shard))
-        # A random deal, by the content of the row; repeated rows may meet in a shard.
-        dealt = todo.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), *columns), F.lit(number)))
+        # A random deal by content and place in the written table, so that equal rows are spread as others are.
+        dealt = todo.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), *columns, F.monotonically_increasing_id()), F.lit(number)))
         shards = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("pieces"))
-        packed = _pack_shards(scratch(shards, "packing-shards"), capacity)
+        shards = scratch(shards, "packing-shards")
+        packed, grown = _pack_shards(shards, capacity)
         each = packed.select("shard", F.inline(F.arrays_zip("pieces", "bins"))).select("shard", "bins", "pieces.*")
         each = each.groupBy("shard", "bins").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("pieces"))
         fill = F.aggregate("pieces.length", F.lit(0).cast("long"), lambda a, x: a + x)
         each = scratch(each.withColumn("fill", fill), "packing-bins")
+        discard(shards, grown, *dealt_from)
+        dealt_from = []
         kept = each if number == 1 else each.where(F.col("fill") >= int(WELL_FILLED * capacity))
         done.append(kept.select((F.lit(level).cast("long") * (1 << 56) + F.col("shard") * (1 << 20) + F.col("bins")).alias("sequence_id"), "pieces"))
         if number == 1:

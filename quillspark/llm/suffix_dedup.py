@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import discard, partitions, scratch
+from quillspark.llm._spark import carried, discard, partitions, restored, scratch
 from quillspark.llm._text import U64, grams, hash_strings, long_grams, minimisers, mix, run_min, signed, slices, split_words
 
 MIN_WORDS, PREFIX_WORDS, SELECT_WORDS = 50, 25, 8
@@ -176,5 +176,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame, least: int = MIN_WORDS, prefix: int | None = None) -> DataFrame:
     """``docs`` with every later occurrence of a repeated run cut out of ``text``; all rows and columns stay."""
     spans = repeated_spans(docs, least, prefix).where("NOT is_first").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
-    out = docs.join(spans, "doc_id", "left").select(*(docs[c] for c in docs.columns), "spans").mapInArrow(_cut, docs.schema)
+    rows = carried(docs).join(spans, "doc_id", "left")
+    out = restored(rows.mapInArrow(_cut, rows.drop("spans").schema), docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -6,8 +6,8 @@ read at any place without copying. ``attention_mask`` tells ids from the padding
 marks the last id of each document and ``doc_ids`` names the documents that end in a sequence. Files are numbered in
 document order; a file's place in the whole stream is the sum of the ids before it, which the manifest gives.
 
-Defined results: a null or empty text is its end id alone; null ``doc_id``s come first; repeated rows are documents of
-their own; an empty table gives no files and no rows; other columns are ignored.
+Defined results: a null or empty text is its end id alone; null ``doc_id``s come first; rows of one ``doc_id`` are in the order of
+their texts, each a document of its own; an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def _write(folder: str, path: str, length: int, end: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, length: int = SEQUENCE, end: int = END) -> DataFrame:
     """Write ``docs(doc_id, text)`` and return the manifest ``(part, path, n_docs, n_ids)``, one row for each file."""
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return scratch(ordered.mapInArrow(_write(_files.normal(folder), tokenizer, length, end), "part long, path string, n_docs long, n_ids long"), "token-manifest")
 
 

@@ -405,6 +405,56 @@ def test_quality_on_gold_labels(spark):
     assert sum(right) / len(right) > 0.97 and all(got[i] for i, q in gold.items() if q)
 
 
+def slow_shares(text):
+    """The shares that labellers look at, word by word."""
+    w = WORD.findall(text or "")
+    n, letters = len(w), sum(c.isalpha() for x in w for c in x)
+    mark = lambda c: not (c.isalpha() or c.isdigit())
+    part = lambda a, b: a / b if b else 0.0
+    return {
+        "words": n, "symbols": part(sum(mark(c) for x in w for c in x), sum(map(len, w))), "capitals": part(sum(c.isupper() for x in w for c in x), letters),
+        "bars": part(sum(all(map(mark, x)) for x in w), n), "same": part(sum(a == b for a, b in zip(w, w[1:], strict=False)), n),
+        "tailed": part(sum(len(x) > 2 and mark(x[-1]) and mark(x[-2]) for x in w), n), "distinct": part(len(set(w)), n),
+        "ended": part(sum(len(x) > 1 and x[-1] in quality.SENTENCE_ENDS for x in w), n), "single": part(sum(len(x) == 1 for x in w), n),
+    }
+
+
+def slow_votes(f):
+    three = lambda x, b: 0 if x >= b[0] else 1 if x < b[1] else -1
+    v = [three(f[k], b) if f["words"] >= 5 else -1 for k, b in (("symbols", quality.MARKED), ("capitals", quality.CAPITAL), ("bars", quality.LISTED), ("same", quality.SAME), ("tailed", quality.TAILED))]
+    d, e = f["distinct"], f["ended"]
+    v.append((0 if d < 0.25 else 1 if d >= 0.5 else -1) if 20 <= f["words"] < 2000 else -1)
+    v.append((1 if 1 / 60 <= e <= 1 / 4 else 0 if e < 1 / 240 or e > 1 / 2 else -1) if f["words"] >= 20 else -1)
+    return [*v, three(f["single"], quality.SINGLE) if f["words"] >= 5 else -1]
+
+
+def test_quality_against_brute_force(spark, texts):
+    """Votes, estimated accuracies and scores of the whole query, document by document."""
+    texts = [*texts, "AB CD " * 30, "a | b | c " * 20, "odd### word$$$ " * 15, "Plain words end here. And there, too. " * 5, "same same same same same same " * 9]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in quality.classified(docs).collect()}
+    model = quality.train(docs)
+    shares = [slow_shares(t) for t in texts]
+    v = [slow_votes(f) for f in shares]
+    assert quality.votes(quality.features(pa.array([t or "" for t in texts]))).tolist() == v
+    good, says = 0.9, None
+    post = [(1 - max(0.6, (x.count(0) + 0.5) / (sum(y >= 0 for y in x) + 2)) if 0 in x else 0.9) for x in v]
+    for _ in range(quality.EM_ROUNDS):
+        good = min(0.99, max(0.01, sum(post) / len(post)))
+        says = [[min(0.999, max(0.001, (sum(q for q, x in zip(p, v, strict=True) if x[k] == 1) + 1) / (sum(q for q, x in zip(p, v, strict=True) if x[k] >= 0) + 2))) for k in range(len(v[0]))] for p in (post, [1 - q for q in post])]
+        like = [[math.prod(s if y == 1 else 1 - s for y, s in zip(x, row, strict=True) if y >= 0) for row in says] for x in v]
+        post = [good * a / (good * a + (1 - good) * b) for a, b in like]
+    assert math.isclose(model.labels.good, good, rel_tol=1e-6) and np.allclose(model.labels.says_good, says)
+    for i, (text, f) in enumerate(zip(texts, shares, strict=True)):
+        w = WORD.findall(text or "")
+        dense = [min(2, f[k] / b[0]) for k, b in (("symbols", quality.MARKED), ("capitals", quality.CAPITAL), ("bars", quality.LISTED), ("same", quality.SAME), ("tailed", quality.TAILED), ("single", quality.SINGLE))]
+        z = float(np.dot(model.scorer.dense, [*dense, f["ended"] < 1 / 240, f["ended"] > 1 / 2, f["distinct"], 1]))
+        for word, n in Counter(w).items():
+            z += n / math.sqrt(len(w)) * model.scorer.words[int(quality.mix(quality.hash_strings([word.lower()]))[0]) % quality.BUCKETS]
+        assert math.isclose(got[i]["quality_score"], 1 / (1 + math.exp(-z)) if w else 0.0, rel_tol=1e-6) and got[i]["quality_keep"] == (got[i]["quality_score"] >= 0.5)
+        assert math.isclose(got[i]["weak_posterior"], post[i] if w else 0.0, rel_tol=1e-4, abs_tol=1e-9)
+
+
 def test_weak_labels():
     """Accuracies of labellers that err independently are found without gold labels."""
     rng = np.random.default_rng(0)
@@ -427,6 +477,26 @@ def reference_ids(texts):
     return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
 
 
+def test_words_equal_whole_texts():
+    """Ids of words in a row equal those of whole texts, for letters that change under folding and composition too."""
+    from tokenizers import Tokenizer
+
+    from quillspark.llm._tokens import WordTokenizer
+
+    library, own = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), WordTokenizer(vocabulary("word_bpe_49k.json"), most=3000)
+    rng = random.Random(9)
+    letters = "aZéİıßΣσςǅŉÅ한ᄒㅏ日ж\u0301\u0307\u0338न्ªⁿ²Ⅷ𝔸😀'’.,!?$#<>|[]()-_`~^%&*@/\\\"«»…\u200d\u00ad\u1e9e\u0130"
+    texts = ["İ. x", "SİZİN, AΣ. AΣ, ΑΣ.Α it's. he'll!! x'. '..", "e\u0301. e\u0301!!", "<|endoftext|> A<|startoftext|>. x"]
+    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) + rng.choice(["", ".", ",", "...", "$$$", "'s."]) for _ in range(6)) for _ in range(6000)]
+    texts += ["".join(chr(c) for c in (rng.randrange(33, 0x3000), rng.randrange(0x41, 0x600), 46, 44)) for _ in range(6000)]
+    for k in range(0, len(texts), 500):
+        some = texts[k : k + 500]
+        ids, counts = own.encode(pa.array(some))
+        at = np.cumsum(counts)
+        for text, a, b in zip(some, at - counts, at, strict=True):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files(spark, texts, docs):
     wanted, start = {}, 0
     for i, ids in enumerate(reference_ids(texts)):

@@ -1,6 +1,10 @@
 """The pipeline against a brute-force version of each stage's decision on its own input."""
 
+import zlib
+
 import corpus_pipeline as pipeline
+import numpy as np
+from pyspark.sql import functions as F
 from test_operators import WORD, check_packing, components, reference_ids, shingles
 
 from quillspark.llm import language_id, quality
@@ -56,7 +60,7 @@ def test_stages(spark, tmp_path):
     packed = frames[-1].collect()
     ids = dict(zip(tables[4], reference_ids([r["text"] for r in tables[4].values()]), strict=True))
     assert sum(r["length"] for r in packed) == sum(map(len, ids.values()))
-    assert all(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]] for r in packed)
+    assert all(zlib.crc32(np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for r in packed)
     assert check_packing(packed, 4096) <= -(-sum(map(len, ids.values())) // 4096) + 1
 
 
@@ -70,3 +74,24 @@ def test_odd_documents(spark):
         assert stage(spark, odd, SF).count() >= 0
     kept = pipeline.near_duplicates_removed(spark, odd, SF).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept) == [(False, 1), (False, 2), (False, 3), (True, None)]
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Further columns pass through all stages whatever their names; a text of 10 MB is one document like others."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["score", "lang_pred", "_text", "spans", "rest", "quality_score", "quality_keep", "row", "component_id", "key", "a b.c"]
+    more = base.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    long = more.where("lang = 'en'").orderBy(F.desc("n_chars")).limit(1).select(*[
+        F.lit(10**6).cast("long").alias(c) if c == "doc_id" else F.expr("concat_ws(' ', transform(sequence(1, cast(ceil(10485760 / n_chars) as int)), i -> concat(i, ' ', text)))").alias(c) if c == "text" else F.col(f"`{c}`") for c in more.columns
+    ])
+    docs, plain = more.unionByName(long.select(*(F.col(f"`{c}`") for c in more.columns))), None
+    for name, stage in pipeline.STAGES[:-1]:
+        before = docs.columns
+        docs = pipeline.scratch(stage(spark, docs, SF), f"test-{name}")
+        assert docs.columns == before
+    rows = docs.collect()
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names if r["doc_id"] < 10**6)
+    assert 10**6 in {r["doc_id"] for r in rows}
+    pieces = pipeline.STAGES[-1][1](spark, docs, SF).where("doc_id = 1000000").collect()
+    text = next(r["text"] for r in rows if r["doc_id"] == 10**6)
+    assert sum(r["length"] for r in pieces) == len(reference_ids([text])[0])
