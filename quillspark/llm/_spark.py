@@ -20,6 +20,21 @@ from pyspark.sql import types as T
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 3 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of about one step of an operator, however long texts are.
+
+    The setting stays in the session: what an operator returns is computed later. One that the user made smaller stands.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``. Local mode may do without and gets one of its own."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
