@@ -61,13 +61,11 @@ class Engine:
         """(hits, what lies around the first of them); by keyword where there is no embedder."""
         k = search.clamp(top_k, graph.RESEARCH_MOST)
         hits = self.search_semantic(query, k) if self.embedder is not None else self.search_text(query, top_k=k)
-        shown, out = {h["chunk_id"] for h in hits}, []
-        for hit in hits[: graph.MOST_SEEDS]:
-            for r in self.traverse(hit["chunk_id"], search.clamp(depth, graph.RESEARCH_MOST_DEPTH)):
-                if r["chunk_id"] not in shown:
-                    shown.add(r["chunk_id"])
-                    out.append(r)
-        return hits, out
+        if not hits:
+            return hits, []
+        chunks, edges, urls = self._links()
+        found = graph.around([(h["chunk_id"], h["source_id"]) for h in hits], edges, chunks, urls, depth, [h["chunk_id"] for h in hits])
+        return hits, _rows(found.orderBy("seed_rank", "depth", "chunk_id").drop("seed_rank"))
 
     def traverse(self, chunk_id: str, depth: int = graph.DEPTH) -> list[dict]:
         chunks, edges, urls = self._links()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import asdict
+from datetime import UTC, datetime
 
 from quillspark.errors import EngineError, PathError, QueryError
 
@@ -71,3 +73,48 @@ def reply(result: object, request_id: object = 1) -> str:
 def failure(error: EngineError, request_id: object = 1) -> str:
     kind = "invalid request" if isinstance(error, PathError | QueryError) else "failure"
     return json.dumps({"jsonrpc": "2.0", "id": request_id, "error": {"code": error.code, "message": f"{kind}: {error}"}}, ensure_ascii=False)
+
+
+# Cycles
+
+
+def iso_time(seconds: float) -> str:
+    """Seconds since 1970 as a UTC time."""
+    return datetime.fromtimestamp(int(seconds), UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def file_size(n: int) -> str:
+    """Whole bytes, or tenths (rounded down) of the largest unit that fits."""
+    for unit, power in (("GiB", 30), ("MiB", 20), ("KiB", 10)):
+        if n >> power:
+            return f"{n >> power}.{(n & (1 << power) - 1) * 10 >> power} {unit}"
+    return f"{n} B"
+
+
+def duration(ms: int) -> str:
+    seconds, rest = divmod(ms, 1000)
+    if seconds < 60:
+        return f"{seconds}.{rest:03}s" if seconds else f"{ms}ms"
+    minutes, seconds = divmod(seconds, 60)
+    return f"{minutes // 60}h{minutes % 60:02}m{seconds:02}s" if minutes >= 60 else f"{minutes}m{seconds:02}s"
+
+
+def percent(current: int, total: int) -> int:
+    return 100 * current // total if total else 0
+
+
+def metrics(found) -> str:
+    """The figures of a cycle as one JSON line."""
+    return json.dumps(asdict(found), ensure_ascii=False)
+
+
+def prewarm_record(found, sources_count: int, now: float) -> str:
+    """The JSON line that tells that a first load has ended."""
+    done = found.added + found.modified
+    payload = {"files_total": done + found.unchanged, "files_synced": done - len(found.errors), "chunks_created": found.chunks, "duration_ms": found.duration_ms, "sources_count": sources_count}
+    return json.dumps({"event_type": "prewarm.complete", "timestamp": iso_time(now), "payload": payload})
+
+
+def exit_code(outcome) -> int:
+    """0: all went well, 1: some files or sources did not, 2: nothing could be done (``outcome`` is what was raised)."""
+    return 2 if isinstance(outcome, Exception) else outcome.exit_code

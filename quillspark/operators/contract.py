@@ -104,7 +104,7 @@ def validate(front: str | None, body: str) -> Front:
     path = source_path(given.get("source_path"))
     version = given.get("schema_version") or DEFAULT_VERSION
     major = version.split(".")[0].strip()
-    if not (major.isdigit() and int(major) == MAJOR):
+    if not (major.isascii() and major.isdigit() and len(major) < 10 and int(major) == MAJOR):
         raise ContractError(f"schema_version {version!r} is not supported", "schema_version")
     digest = given.get("content_sha256") or ""
     if digest and digest.lower() != hashlib.sha256(body.replace("\r\n", "\n").encode()).hexdigest():

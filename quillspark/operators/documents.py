@@ -20,11 +20,23 @@ PARSED = (
 )
 
 
-def parse_file(raw: bytes, source_id: str, fs_rel: str) -> dict:
-    """One document as a row. What is wrong with it stands in ``error``; ``path`` is told whenever it can be."""
+def parse_file(raw: bytes, source_id: str, fs_rel: str, contract: bool = True) -> dict:
+    """One document as a row. What is wrong with it stands in ``error``; ``path`` is told whenever it can be.
+
+    Without ``contract`` any text is a document: it is under its file's path, frontmatter that is there and readable gives
+    title and URL, and the first heading of the first level is the title where there is no other.
+    """
     row = {"source_id": source_id, "fs_rel": fs_rel, "path": None, "title": None, "canonical_url": None, "error": None, "error_field": None, "chunks": [], "links": [], "code": []}
     try:
         front, body = split(bytes(raw).decode("utf-8", "strict"))
+        if not contract:
+            try:
+                given = fields(front) if front is not None else {}
+            except ContractError:
+                given = {}
+            row["path"] = fs_rel
+            row["chunks"], row["links"], row["code"], first = parse_body(body, source_id, fs_rel)
+            return row | {"title": given.get("title") or first, "canonical_url": (given.get("canonical_url") or "").strip() or None}
         if front is not None:
             try:
                 row["path"] = source_path(fields(front).get("source_path"))
@@ -37,18 +49,25 @@ def parse_file(raw: bytes, source_id: str, fs_rel: str) -> dict:
         row["error"] = f"not UTF-8: {e.reason} at byte {e.start}"
     except ContractError as e:
         row["error"], row["error_field"] = str(e), e.field
+    except Exception as e:  # whatever is wrong with a file costs that file only
+        row["error"] = f"not parsed: {type(e).__name__}: {e}"
+    if row["error"] is not None:
+        row |= {"chunks": [], "links": [], "code": []}
     return row
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [parse_file(raw, s, f) for raw, s, f in zip(batch["raw"], batch["source_id"], batch["fs_rel"], strict=True)]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("source_id", "fs_rel", "path", "title", "canonical_url", "error", "error_field", "chunks", "links", "code")])
+def _parse(contract: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [parse_file(raw, s, f, contract) for raw, s, f in zip(batch["raw"], batch["source_id"], batch["fs_rel"], strict=True)]
+            yield pd.DataFrame(rows, columns=["source_id", "fs_rel", "path", "title", "canonical_url", "error", "error_field", "chunks", "links", "code"])
+
+    return run
 
 
-def parse(files: DataFrame) -> DataFrame:
+def parse(files: DataFrame, contract: bool = True) -> DataFrame:
     """``files(source_id, fs_rel, raw)`` -> one row for each file, with its chunks, links and code, or its error."""
-    return files.select("source_id", "fs_rel", "raw").mapInPandas(_parse, PARSED)
+    return files.select("source_id", "fs_rel", "raw").mapInPandas(_parse(contract), PARSED)
 
 
 def tables_of(parsed: DataFrame) -> dict[str, DataFrame]:

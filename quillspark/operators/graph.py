@@ -14,6 +14,8 @@ from quillspark.functions.session import checkpoint
 from quillspark.operators.search import clamp
 
 DEPTH, MOST_DEPTH = 2, 5
+#: Rows of a level that are sent to all tasks; more are shuffled.
+BROADCAST_ROWS = 100_000
 RESEARCH_TOP, RESEARCH_MOST, RESEARCH_DEPTH, RESEARCH_MOST_DEPTH, MOST_SEEDS = 5, 20, 1, 3, 3
 
 
@@ -22,39 +24,47 @@ def resolve_url(urls: DataFrame, chunks: DataFrame) -> DataFrame:
     return urls.join(chunks, "chunk_id")
 
 
-def resolve(edges: DataFrame, chunks: DataFrame, urls: DataFrame) -> DataFrame:
+def resolve(edges: DataFrame, chunks: DataFrame, urls: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """``edges`` that carry ``source_id``, their own chunk's -> ``(…, to_chunk_id, to_source_id, to_path, tier)``.
 
     Tier 1: all chunks of the document at the target path in the same source. Tier 2, for absolute targets: the chunk
-    that has the target as its canonical URL, in whatever source.
+    that has the target as its canonical URL, in whatever source. Links stay within equal values of ``within``.
     """
-    to = chunks.select(F.col("chunk_id").alias("to_chunk_id"), F.col("source_id").alias("to_source_id"), F.col("path").alias("to_path"))
-    near = edges.join(to, (edges["source_id"] == to["to_source_id"]) & (edges["target_path"] == to["to_path"])).withColumn("tier", F.lit(1))
-    owned = urls.select("canonical_url", F.col("chunk_id").alias("to_chunk_id")).join(to, "to_chunk_id")
-    absolute = edges.where(F.startswith("target_path", F.lit("/")))
-    far = absolute.join(owned, absolute["target_path"] == owned["canonical_url"]).withColumn("tier", F.lit(2))
+    to = chunks.select(F.col("chunk_id").alias("to_chunk_id"), F.col("source_id").alias("to_source_id"), F.col("path").alias("to_path"), *within)
+    near = edges.join(to.withColumnsRenamed({"to_source_id": "source_id", "to_path": "target_path"}), ["source_id", "target_path", *within])
+    near = near.withColumns({"to_source_id": F.col("source_id"), "to_path": F.col("target_path"), "tier": F.lit(1)})
+    owned = urls.select(F.col("canonical_url").alias("target_path"), F.col("chunk_id").alias("to_chunk_id"), *within).join(to, ["to_chunk_id", *within])
+    far = edges.where(F.startswith("target_path", F.lit("/"))).join(owned, ["target_path", *within]).withColumn("tier", F.lit(2))
     columns = [*edges.columns, "to_chunk_id", "to_source_id", "to_path", "tier"]
     return near.select(*columns).unionByName(far.select(*columns))
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, urls: DataFrame, depth: int) -> DataFrame:
+def _sent(rows: DataFrame, number: int) -> DataFrame:
+    return F.broadcast(rows) if number <= BROADCAST_ROWS else rows
+
+
+def bfs(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, urls: DataFrame, depth: int, within: Sequence[str] = ()) -> DataFrame:
     """``seeds(seed, source_id)`` -> ``(seed, chunk_id, source_id, path, depth, cross_source)``.
 
     The seed itself is left out; each chunk is found once for each seed, at its least depth; ``cross_source`` tells that
-    its source is not the seed's.
+    its source is not the seed's. With ``within`` (``store_idx``) all four tables have these columns, and so has the
+    result: chunks of different values are apart. A level is counted when it is cut, and broadcast while it is small.
     """
-    seen = checkpoint(seeds.select("seed", F.col("seed").alias("chunk_id"), "source_id", F.lit(None).cast("string").alias("path"), F.lit(0).alias("depth")))
-    frontier = seen
+    seen = checkpoint(seeds.select("seed", F.col("seed").alias("chunk_id"), "source_id", F.lit(None).cast("string").alias("path"), F.lit(0).alias("depth"), *within))
+    frontier, number = seen, seen.count()
     for level in range(1, depth + 1):
-        out = frontier.select("seed", F.col("chunk_id").alias("src_chunk_id"), "source_id").join(edges.select("src_chunk_id", "target_path"), "src_chunk_id")
-        found = resolve(out, chunks, urls).select("seed", F.col("to_chunk_id").alias("chunk_id"), F.col("to_source_id").alias("source_id"), F.col("to_path").alias("path"))
-        fresh = found.distinct().join(seen.select("seed", "chunk_id"), ["seed", "chunk_id"], "left_anti")
+        start = frontier.select("seed", F.col("chunk_id").alias("src_chunk_id"), "source_id", *within)
+        out = checkpoint(edges.select("src_chunk_id", "target_path", *within).join(_sent(start, number), ["src_chunk_id", *within]))
+        found = resolve(_sent(out, out.count()), chunks, urls, within)
+        found = found.select("seed", F.col("to_chunk_id").alias("chunk_id"), F.col("to_source_id").alias("source_id"), F.col("to_path").alias("path"), *within)
+        fresh = found.distinct().join(seen.select("seed", "chunk_id", *within), ["seed", "chunk_id", *within], "left_anti")
         frontier = checkpoint(fresh.withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+        number = frontier.count()
+        if not number:
             break
         seen = seen.unionByName(frontier)
-    home = seeds.select("seed", F.col("source_id").alias("home"))
-    return seen.where("depth > 0").join(home, "seed").withColumn("cross_source", F.col("source_id") != F.col("home")).drop("home")
+    home = seeds.select("seed", F.col("source_id").alias("home"), *within)
+    return seen.where("depth > 0").join(home, ["seed", *within]).withColumn("cross_source", F.col("source_id") != F.col("home")).drop("home")
 
 
 def traverse(spark: SparkSession, chunks: DataFrame, edges: DataFrame, urls: DataFrame, chunk_id: str, depth: int = DEPTH) -> DataFrame:
@@ -67,12 +77,17 @@ def traverse(spark: SparkSession, chunks: DataFrame, edges: DataFrame, urls: Dat
 
 
 def around(hits: Sequence[tuple[str, str]], edges: DataFrame, chunks: DataFrame, urls: DataFrame, depth: int, shown: Sequence[str]) -> DataFrame:
-    """What lies around the first hits ``(chunk_id, source_id)`` and is not shown already.
+    """What lies around the first hits ``(chunk_id, source_id)`` and is not shown already, in one search for all of them.
 
-    A chunk that several seeds find keeps the depth of the first of them.
+    A chunk that several seeds find keeps the depth of the first of them. Where the tables have ``store_idx``, each seed is
+    searched around in the first store that has it.
     """
     spark = edges.sparkSession
     seeds = spark.createDataFrame([(c, s, i) for i, (c, s) in enumerate(hits[:MOST_SEEDS])], "seed string, source_id string, seed_rank int")
-    found = bfs(seeds.select("seed", "source_id"), edges, chunks, urls, clamp(depth, RESEARCH_MOST_DEPTH)).where(~F.col("chunk_id").isin(list(shown)))
+    within = [c for c in ("store_idx",) if c in chunks.columns]
+    if within:
+        owner = chunks.where(F.col("chunk_id").isin([c for c, _ in hits[:MOST_SEEDS]])).groupBy(F.col("chunk_id").alias("seed"))
+        seeds = checkpoint(seeds.drop("source_id").join(owner.agg(F.min("store_idx").alias("store_idx"), F.min_by("source_id", "store_idx").alias("source_id")), "seed"))
+    found = bfs(seeds.select("seed", "source_id", *within), edges, chunks, urls, clamp(depth, RESEARCH_MOST_DEPTH), within).where(~F.col("chunk_id").isin(list(shown)))
     first = F.row_number().over(Window.partitionBy("chunk_id").orderBy("seed_rank"))
-    return found.join(F.broadcast(seeds.select("seed", "seed_rank")), "seed").withColumn("_first", first).where("_first = 1").drop("_first", "seed")
+    return found.join(F.broadcast(seeds.select("seed", "seed_rank")), "seed").withColumn("_first", first).where("_first = 1").drop("_first", "seed", *within)

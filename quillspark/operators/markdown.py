@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 
@@ -24,43 +25,96 @@ class Node(NamedTuple):
     extra: object = None
 
 
+#: Block quotes and lists, and images in images, that may stand in each other; more is an error of the document.
+MOST_NESTED, MOST_IMAGES = 100, 6
+
+
+class ParseError(ValueError):
+    """A document that can't be parsed."""
+
+
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*([^\n]*)$")
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_RULE = re.compile(r" {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
+_ATX = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)")
 _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])([ \t]+|$)")
+_FIRST_ITEM = re.compile(r" {0,3}(?:[-+*]|1[.)])[ \t]+\S")
+_UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
+_QUOTE = re.compile(r" {0,3}>")
+_COLUMNS = re.compile(r"\|?[ \t]*:?-+:?(?:[ \t]*\|[ \t]*:?-+:?)*[ \t]*\|?$")
 _DEFINITION = re.compile(r" {0,3}\[([^\]\[]+)\]:[ \t]*<?([^\s>]+)>?(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?[ \t]*$")
 _HTML = re.compile(r" {0,3}<(?:[a-zA-Z/!?])")
 _AUTOLINK = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^\s<>]*$")
+_MAIL = re.compile(r"[\w.+-]+@[\w.-]+$")
+_TAG = re.compile(r"/?[a-zA-Z][^<>]*$|!--")
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);")
+_PLAIN_TEXT, _TICKS, _RUNS = re.compile(r"[^\\`<\[\]()!*_~&\n]+"), re.compile("`+"), re.compile(r"\*+|_+|~+")
+_LABEL = re.compile(r"\[([^\]]*)\]")
+_TARGET = re.compile(r"\s*(?:<([^<>\n]*)>|([^\s<]\S*|))(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*$")
+#: Of CommonMark: the most characters of a reference's name.
+_LONGEST_NAME = 999
 _PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
-def _closing(text: str, at: int, open_: str, close: str) -> int:
-    """The place of the bracket that closes the one at ``at``, or -1; code spans and escapes are skipped."""
-    depth, i = 0, at
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            i += 1
-        elif c == "`":
-            run = len(text) - i - len(text[i:].lstrip("`"))
-            end = text.find("`" * run, i + run)
-            i = end + run - 1 if end >= 0 else i + run - 1
-        elif c == open_:
-            depth += 1
-        elif c == close:
-            depth -= 1
-            if not depth:
-                return i
-        i += 1
-    return -1
-
-
-def _target(text: str, at: int) -> tuple[str, int] | None:
+class _Scan:
+    """What one pass over a text tells: where code spans end, which brackets belong together, how long runs of marks are."""
+
+    def __init__(self, text: str):
+        self.span: dict[int, int] = {}  # start of a code span's opening run -> start of its closing run
+        open_runs: dict[int, list[int]] = {}
+        for m in _TICKS.finditer(text):
+            open_runs.setdefault(len(m[0]), []).append(m.start())
+        at = 0
+        follow = {n: 0 for n in open_runs}
+        ticks = sorted((s, n) for n, starts in open_runs.items() for s in starts)
+        for start, n in ticks:
+            if start < at or (start and text[start - 1] == "\\" and self._escapes(text, start)):
+                continue
+            starts, k = open_runs[n], follow[n]
+            while k < len(starts) and starts[k] <= start:
+                k += 1
+            follow[n] = k
+            if k < len(starts):
+                self.span[start], at = starts[k], starts[k] + n
+        self.closing: dict[int, int] = {}
+        stacks: dict[str, list[int]] = {"]": [], ")": []}
+        i = 0
+        for m in re.finditer(r"\\|`+|[\[\]()]", text):
+            if m.start() < i:
+                continue
+            c = m[0]
+            if c == "\\":
+                i = m.start() + 2
+            elif c[0] == "`":
+                i = self.span[m.start()] + len(c) if m.start() in self.span else m.end()
+            elif c in "[(":
+                stacks["]" if c == "[" else ")"].append(m.start())
+            elif stacks[c]:
+                self.closing[stacks[c].pop()] = m.start()
+        self.runs: dict[str, list[int]] = {}
+        for m in _RUNS.finditer(text):
+            self.runs.setdefault(m[0][0], []).append(len(m[0]))
+        for lengths in self.runs.values():
+            lengths.sort()
+
+    @staticmethod
+    def _escapes(text: str, at: int) -> bool:
+        """Whether the backslashes before ``at`` escape what stands there."""
+        k = at
+        while k and text[k - 1] == "\\":
+            k -= 1
+        return (at - k) % 2 == 1
+
+    def elsewhere(self, mark: str, length: int) -> bool:
+        """Whether another run of the mark is as long."""
+        lengths = self.runs.get(mark, [])
+        return len(lengths) - bisect_left(lengths, length) > 1
+
+
+def _target(text: str, at: int, scan: _Scan) -> tuple[str, int] | None:
     """The destination of an inline link whose ``(`` is at ``at``, and the place after its ``)``."""
-    end = _closing(text, at, "(", ")")
+    end = scan.closing.get(at, -1)
     if end < 0:
         return None
-    m = re.match(r"\s*(?:<([^<>\n]*)>|([^\s<]\S*|))(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^)]*\)))?\s*$", text[at + 1 : end])
+    m = _TARGET.match(text, at + 1, end)
     return None if m is None else (_plain(m[1] if m[1] is not None else m[2] or ""), end + 1)
 
 
@@ -68,53 +122,66 @@ def _plain(text: str) -> str:
     return html.unescape(re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", text))
 
 
-def inline(text: str, references: dict[str, str], links: list[Node], inside: bool = False) -> str:
-    """The text that a reader sees; links are added to ``links`` in the order in which they end."""
-    out, i = [], 0
+def inline(text: str, references: dict[str, str], links: list[Node], inside: int = 0) -> str:
+    """The text that a reader sees; links are added to ``links`` in the order in which they end.
+
+    ``inside`` counts the labels around the text. The time is in proportion to its length.
+    """
+    if inside > MOST_IMAGES:
+        raise ParseError("labels are nested too deeply")
+    out, i, scan, angle = [], 0, _Scan(text), -1
     while i < len(text):
+        m = _PLAIN_TEXT.match(text, i)
+        if m:
+            out.append(m[0])
+            i = m.end()
+            continue
         c = text[i]
         if c == "\\" and i + 1 < len(text):
             out.append(text[i + 1] if text[i + 1] in _PUNCTUATION else "" if text[i + 1] == "\n" else "\\" + text[i + 1])
             i += 2
         elif c == "`":
-            run = re.match("`+", text[i:])[0]
-            m = re.compile(rf"(?<!`){run}(?!`)").search(text, i + len(run))
-            if m:
-                code = text[i + len(run) : m.start()].replace("\n", " ")
+            run = _TICKS.match(text, i)
+            end = scan.span.get(i)
+            if end is not None:
+                code = text[run.end() : end].replace("\n", " ")
                 out.append(code[1:-1] if len(code) > 2 and code[0] == code[-1] == " " and code.strip() else code)
-                i = m.end()
+                i = end + len(run[0])
             else:
-                out.append(run)
-                i += len(run)
+                out.append(run[0])
+                i = run.end()
         elif c == "<":
-            end = text.find(">", i)
-            body = text[i + 1 : end] if end > 0 else ""
-            if body and (_AUTOLINK.match(body) or re.match(r"[\w.+-]+@[\w.-]+$", body)):
+            if angle < i:  # looked for once for all that stands before it
+                angle = text.find(">", i)
+                angle = len(text) if angle < 0 else angle
+            closed = angle < len(text) and (text.startswith("<!--", i) or text.find("<", i + 1, angle) < 0)
+            body = text[i + 1 : angle] if closed else ""
+            if body and (_AUTOLINK.match(body) or _MAIL.match(body)):
                 links.append(Node("link", body, body if ":" in body else f"mailto:{body}"))
                 out.append(body)
-                i = end + 1
-            elif body and re.match(r"/?[a-zA-Z][^<>]*$|!--", body):
-                i = end + 1
+                i = angle + 1
+            elif body and _TAG.match(body):
+                i = angle + 1
             else:
                 out.append(c)
                 i += 1
         elif c == "[" or (c == "!" and text[i + 1 : i + 2] == "["):
             image = c == "!"
             at = i + image
-            end = _closing(text, at, "[", "]")
-            label = text[at + 1 : end] if end > 0 else ""
+            end = scan.closing.get(at, -1)
             target, after = None, end + 1
             if end > 0 and text[after : after + 1] == "(":
-                found = _target(text, after)
+                found = _target(text, after, scan)
                 if found:
                     target, after = found
-            if end > 0 and target is None:
-                m = re.match(r"\[([^\]]*)\]", text[end + 1 :])
-                name = " ".join((m[1] if m and m[1] else label).lower().split())
+            if end > 0 and target is None and references:
+                m = _LABEL.match(text, end + 1)
+                name = m[1] if m and m[1] else text[at + 1 : end] if end - at <= _LONGEST_NAME else ""
+                name = " ".join(name.lower().split())
                 if name in references:
-                    target, after = references[name], end + 1 + (len(m[0]) if m else 0)
+                    target, after = references[name], m.end() if m else end + 1
             if target is not None and not (inside and not image):
-                shown = inline(label, references, links, inside=True)
+                shown = inline(text[at + 1 : end], references, links, inside + 1)
                 out.append(shown)
                 if not image:
                     links.append(Node("link", shown, target))
@@ -123,15 +190,15 @@ def inline(text: str, references: dict[str, str], links: list[Node], inside: boo
                 out.append(text[i : at + 1])
                 i = at + 1
         elif c in "*_~":
-            run = re.match(re.escape(c) + "+", text[i:])[0]
+            run = _RUNS.match(text, i)[0]
             before, after = text[i - 1 : i] if i else " ", text[i + len(run) : i + len(run) + 1] or " "
             lone = (before.isspace() and after.isspace()) or (c == "_" and before.isalnum() and after.isalnum()) or (c == "~" and len(run) > 2)
-            out.append(run if lone or run not in text[i + len(run) :] + text[:i] else "")
+            out.append(run if lone or not scan.elsewhere(c, len(run)) else "")
             i += len(run)
         elif c == "&":
-            m = re.match(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", text[i:])
+            m = _ENTITY.match(text, i)
             out.append(html.unescape(m[0]) if m else c)
-            i += len(m[0]) if m else 1
+            i = m.end() if m else i + 1
         elif c == "\n":
             i += 1
         else:
@@ -140,8 +207,25 @@ def inline(text: str, references: dict[str, str], links: list[Node], inside: boo
     return "".join(out)
 
 
-def _blocks(lines: list[str], references: dict[str, str], nodes: list[Node], paragraphs: bool = True) -> None:
+def _is_rule(line: str) -> bool:
+    marks = line.replace(" ", "").replace("\t", "") if line.lstrip(" ")[:1] in ("-", "*", "_") and not line.strip("-*_ \t") else ""
+    return len(marks) > 2 and marks == marks[0] * len(marks) and not line.startswith("    ")
+
+
+def _atx(line: str) -> tuple[int, str] | None:
+    """Level and text of an ATX heading."""
+    m = _ATX.match(line)
+    if not m:
+        return None
+    text = line[m.end() :].strip(" \t")
+    bare = text.rstrip("#")
+    return len(m[1]), bare.rstrip(" \t") if not bare or bare[-1] in " \t" else text
+
+
+def _blocks(lines: list[str], references: dict[str, str], nodes: list[Node], paragraphs: bool = True, depth: int = 0) -> None:
     """Appends the nodes of ``lines``; without ``paragraphs`` plain text is dropped (but its links stay)."""
+    if depth > MOST_NESTED:
+        raise ParseError("blocks are nested too deeply")
 
     def text_node(kind: str, text: str, level: int | None = None) -> None:
         links: list[Node] = []
@@ -165,7 +249,7 @@ def _blocks(lines: list[str], references: dict[str, str], nodes: list[Node], par
             flush()
             i += 1
             continue
-        fence, atx = _FENCE.match(line), _ATX.match(line)
+        fence, atx = _FENCE.match(line), _atx(line)
         if fence and not (fence[1][0] == "`" and "`" in fence[2]):
             flush()
             indent, body, i = len(line) - len(line.lstrip(" ")), [], i + 1
@@ -177,14 +261,14 @@ def _blocks(lines: list[str], references: dict[str, str], nodes: list[Node], par
             i += 1
         elif atx:
             flush()
-            text_node("heading", (atx[2] or "").strip(), len(atx[1]))
+            text_node("heading", atx[1], atx[0])
             i += 1
-        elif held and re.match(r" {0,3}(=+|-+)[ \t]*$", line):
+        elif held and _UNDERLINE.match(line):
             text = "\n".join(x.strip() for x in held)
             held.clear()
             text_node("heading", text, 1 if "=" in line else 2)
             i += 1
-        elif _RULE.match(line):
+        elif _is_rule(line):
             flush()
             i += 1
         elif line.startswith(("    ", "\t")) and not held:
@@ -193,20 +277,20 @@ def _blocks(lines: list[str], references: dict[str, str], nodes: list[Node], par
                 body.append(lines[i][1:] if lines[i].startswith("\t") else lines[i][4:])
                 i += 1
             nodes.append(Node("code", "\n".join(body).rstrip("\n"), None))
-        elif re.match(r" {0,3}>", line):
+        elif _QUOTE.match(line):
             flush()
             inner = []
-            while i < len(lines) and lines[i].strip() and (re.match(r" {0,3}>", lines[i]) or inner):
+            while i < len(lines) and lines[i].strip() and (_QUOTE.match(lines[i]) or inner):
                 inner.append(re.sub(r"^ {0,3}> ?", "", lines[i]))
                 i += 1
-            _blocks(inner, references, nodes, paragraphs)
-        elif _ITEM.match(line) and not (held and not re.match(r" {0,3}(?:[-+*]|1[.)])[ \t]+\S", line)):
+            _blocks(inner, references, nodes, paragraphs, depth + 1)
+        elif _ITEM.match(line) and not (held and not _FIRST_ITEM.match(line)):
             flush()
-            i = _list(lines, i, references, nodes)
+            i = _list(lines, i, references, nodes, depth)
         elif _HTML.match(line) and not held and not _AUTOLINK.match(line.strip()[1:].split(">")[0]):
             while i < len(lines) and lines[i].strip():
                 i += 1
-        elif not held and "|" in line and i + 1 < len(lines) and re.match(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$", lines[i + 1]) and "|" in lines[i + 1]:
+        elif not held and "|" in line and i + 1 < len(lines) and "|" in lines[i + 1] and not lines[i + 1].startswith(("    ", "\t")) and _COLUMNS.match(lines[i + 1].strip()):
             while i < len(lines) and lines[i].strip():
                 for cell in lines[i].strip().strip("|").split("|"):
                     inline(cell, references, nodes)  # links only
@@ -219,22 +303,27 @@ def _blocks(lines: list[str], references: dict[str, str], nodes: list[Node], par
     flush()
 
 
-def _list(lines: list[str], i: int, references: dict[str, str], nodes: list[Node]) -> int:
+def _list(lines: list[str], i: int, references: dict[str, str], nodes: list[Node], depth: int) -> int:
     """One list from line ``i``; returns the line after it. The paragraphs of a tight list are dropped."""
     items, loose = [], False
     while i < len(lines):
         m = _ITEM.match(lines[i])
-        if not m or _RULE.match(lines[i]):
+        if not m or _is_rule(lines[i]):
             break
         width = len(m[0]) if m[3].strip(" \t") == "" and 0 < len(m[3]) <= 4 else len(m[1]) + len(m[2]) + 1
         item, i = [lines[i][width:]], i + 1
         while i < len(lines):
             if not lines[i].strip():
-                ahead = next((x for x in lines[i:] if x.strip()), "")
+                next_ = i + 1
+                while next_ < len(lines) and not lines[next_].strip():
+                    next_ += 1
+                ahead = lines[next_] if next_ < len(lines) else ""
                 if not (ahead.startswith(" " * width) or _ITEM.match(ahead)):
                     break
                 loose = True
-                item.append("")
+                item += [""] * (next_ - i)
+                i = next_
+                continue
             elif lines[i].startswith(" " * width):
                 item.append(lines[i][width:])
             elif _ITEM.match(lines[i]) or not item[-1].strip() or _ATX.match(lines[i]) or _FENCE.match(lines[i]):
@@ -244,7 +333,7 @@ def _list(lines: list[str], i: int, references: dict[str, str], nodes: list[Node
             i += 1
         items.append(item)
     for item in items:
-        _blocks(item, references, nodes, paragraphs=loose)
+        _blocks(item, references, nodes, loose, depth + 1)
     return i
 
 

@@ -42,16 +42,37 @@ def nearest(chunks: DataFrame, vector: Sequence[float], k: int, by_store: bool =
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+#: Leading characters of a chunk's id that make a stretch of the order.
+STRETCH = 3
+
+
+def ranked(hits: DataFrame) -> DataFrame:
+    """``hits`` with ``rn``, their place by ``chunk_id`` among all hits of their store, without one task for a store.
+
+    Ids with the same first characters make a stretch; places within a stretch go on from the number of hits before it.
+    """
+    hits = hits.withColumn("_stretch", F.substring("chunk_id", 1, STRETCH))
+    counts = hits.groupBy("store_idx", "_stretch").count()
+    before = F.sum("count").over(Window.partitionBy("store_idx").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("store_idx", "_stretch", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("store_idx", "_stretch").orderBy("chunk_id"))
+    out = hits.withColumn("_inside", inside).join(counts, ["store_idx", "_stretch"])
+    return out.withColumn("rn", (F.col("_before") + F.col("_inside")).cast("int")).drop("_before", "_inside", "_stretch")
+
+
 def round_robin(hits: DataFrame, order: Sequence[str] = ("chunk_id",), limit: int | None = None) -> DataFrame:
     """``hits`` with the place ``rn`` in their store's list, each ``chunk_id`` at its first turn only.
 
     With a limit only the first ``limit`` of each store are ranked: after r turns at least r different chunks are out.
+    Without one they are in the order of ``chunk_id``.
     """
-    ranked = hits.withColumn("rn", F.row_number().over(Window.partitionBy("store_idx").orderBy(*order)))
-    if limit is not None:
-        ranked = ranked.where(F.col("rn") <= limit)
+    if limit is None:
+        places = ranked(hits)
+    else:
+        place = F.row_number().over(Window.partitionBy("store_idx").orderBy(*order))
+        places = hits.withColumn("rn", place).where(F.col("rn") <= limit)
     first = F.row_number().over(Window.partitionBy("chunk_id").orderBy("rn", "store_idx"))
-    merged = ranked.withColumn("_turn", first).where("_turn = 1").drop("_turn")
+    merged = places.withColumn("_turn", first).where("_turn = 1").drop("_turn")
     return merged.orderBy("rn", "store_idx").limit(limit) if limit is not None else merged
 
 

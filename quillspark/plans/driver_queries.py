@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {}
 WITH = r"""
 v_chunks AS (SELECT sha256(concat_ws(chr(0), text, source, lang||'/'||(doc_id % 7)||'.md')) AS chunk_id, source AS source_id,
   lang||'/'||(doc_id % 7)||'.md' AS path, doc_id AS position, 0::BIGINT AS char_offset, text AS content, (doc_id % 3)::INT AS store_idx FROM documents),
+v_one AS (SELECT * REPLACE (0 AS store_idx) FROM v_chunks),
 v_vectors AS (SELECT 'v'||vec_id AS chunk_id, (vec_id % 3)::INT AS store_idx, CASE WHEN vec_id % 10 <> 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
 v_scored AS (SELECT chunk_id, store_idx, round(1 - list_cosine_similarity(e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance
   FROM v_vectors WHERE e IS NOT NULL),
@@ -135,17 +136,18 @@ def sections_from_lines(spark, sf_dir):
 # Search
 
 
-def _hits(where: str) -> str:
-    return f"SELECT *, row_number() OVER (PARTITION BY store_idx ORDER BY chunk_id, position) AS rn FROM v_chunks WHERE {where}"
+def _hits(where: str, of: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY store_idx ORDER BY chunk_id, position) AS rn FROM {of} WHERE {where}"
 
 
-def _merged(where: str, tail: str) -> str:
-    return f""", h AS ({_hits(where)}), f AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY rn, store_idx) AS turn FROM h)
+def _merged(where: str, tail: str, of: str = "v_chunks") -> str:
+    return f""", h AS ({_hits(where, of)}), f AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY rn, store_idx) AS turn FROM h)
 SELECT chunk_id, source_id, path, content, rn::INT AS rn, store_idx FROM f WHERE turn = 1 {tail}"""
 
 
-def _one_store(spark, sf_dir, k=0):
-    return V.chunks(spark, sf_dir).where(F.col("store_idx") == k)
+def _one_store(spark, sf_dir):
+    """The whole table as one store."""
+    return V.chunks(spark, sf_dir).withColumn("store_idx", F.lit(0))
 
 
 def _text(chunks, q, **more):
@@ -157,17 +159,17 @@ def keyword_filter(spark, sf_dir):
     return search.keyword_hits(V.chunks(spark, sf_dir), WORD.upper()).select("chunk_id", "source_id", "path", "content", "store_idx")
 
 
-@query(_merged(f"store_idx = 0 AND contains(lower(content), '{WORD}')", "ORDER BY rn, store_idx LIMIT 10"))
+@query(_merged(f"contains(lower(content), '{WORD}')", "ORDER BY rn, store_idx LIMIT 10", "v_one"))
 def keyword_search(spark, sf_dir):
     return _text(_one_store(spark, sf_dir), WORD)
 
 
-@query(_merged(f"store_idx = 0 AND contains(lower(content), '{WORD}')", "AND source_id = 'src3' ORDER BY rn, store_idx LIMIT 10"))
+@query(_merged(f"contains(lower(content), '{WORD}')", "AND source_id = 'src3' ORDER BY rn, store_idx LIMIT 10", "v_one"))
 def keyword_search_source_filter(spark, sf_dir):
     return _text(_one_store(spark, sf_dir), WORD, source_id=" src3 ")
 
 
-@query(_merged(f"store_idx = 0 AND contains(lower(content), '{WORD}')", "ORDER BY rn, store_idx LIMIT 50"))
+@query(_merged(f"contains(lower(content), '{WORD}')", "ORDER BY rn, store_idx LIMIT 50", "v_one"))
 def keyword_topk_clamp(spark, sf_dir):
     return _text(_one_store(spark, sf_dir), WORD, top_k=5000)
 
@@ -182,9 +184,9 @@ def round_robin_then_source_filter(spark, sf_dir):
     return _text(V.chunks(spark, sf_dir), PHRASE, source_id="src5", top_k=20)
 
 
-@query("SELECT chunk_id, distance FROM v_scored WHERE store_idx = 0 ORDER BY distance, chunk_id LIMIT 10")
+@query("SELECT chunk_id, distance FROM v_scored ORDER BY distance, chunk_id LIMIT 10")
 def semantic_topk(spark, sf_dir):
-    v = V.vectors(spark, sf_dir).where("store_idx = 0")
+    v = V.vectors(spark, sf_dir)
     return search.nearest(v, V.query_vector(spark, sf_dir), 10).select("chunk_id", "distance")
 
 
@@ -260,10 +262,10 @@ def list_sources(spark, sf_dir):
     return catalog.list_sources(_sources(spark, sf_dir))
 
 
-@query("SELECT (SELECT count(DISTINCT source_id) FROM v_chunks WHERE store_idx = 0) AS source_count, count(*) AS chunk_count, 4::BIGINT AS schema_version FROM v_chunks WHERE store_idx = 0")
+@query("SELECT (SELECT count(DISTINCT source_id) FROM v_chunks) AS source_count, count(*) AS chunk_count, 4::BIGINT AS schema_version FROM v_chunks")
 def status(spark, sf_dir):
-    one = lambda df: df.where("store_idx = 0")
-    return catalog.status(one(_sources(spark, sf_dir)), one(V.chunks(spark, sf_dir)), spark.createDataFrame([(4,)], "schema_version int"))
+    sources = _one_store(spark, sf_dir).select("source_id", "store_idx").distinct()
+    return catalog.status(sources, _one_store(spark, sf_dir), spark.createDataFrame([(4,)], "schema_version int"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT DISTINCT source_id, store_idx FROM v_chunks)) AS source_count, count(*) AS chunk_count, 4::BIGINT AS schema_version FROM v_chunks")

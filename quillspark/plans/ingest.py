@@ -7,20 +7,22 @@ source become current together. Wrong files are rows with an error and leave wha
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.errors import SyncError
+from quillspark.errors import ConfigError, SyncError
 from quillspark.functions.embed import Embedder, embedded
+from quillspark.functions.exprs import allowed_format
 from quillspark.functions.session import checkpoint
 from quillspark.operators import sync
 from quillspark.operators.catalog import last_wins
 from quillspark.operators.documents import parse, tables_of
-from quillspark.operators.upsert import delete_chunks, delete_documents, upsert, upsert_chunks
-from quillspark.sources.config import Source
-from quillspark.sources.listing import contents, list_files
+from quillspark.operators.upsert import delete_chunks, delete_documents, upsert, upsert_chunks, url_collisions
+from quillspark.sources.config import Source, duplicate_intake
+from quillspark.sources.listing import contained, contents, list_files
 from quillspark.sources.store import Store
 
 #: Changes when what is derived from a file changes; a stored other value makes the next cycle a full one.
@@ -37,11 +39,14 @@ class Metrics:
     chunks: int = 0
     links: int = 0
     code: int = 0
+    #: Files that pass the globs but have another format, and canonical URLs that went from one chunk to another.
+    skipped: int = 0
+    moved_urls: int = 0
     errors: list[dict] = field(default_factory=list)
     duration_ms: int = 0
 
     def __add__(self, other: Metrics) -> Metrics:
-        names = ("added", "modified", "deleted", "unchanged", "chunks", "links", "code", "duration_ms")
+        names = ("added", "modified", "deleted", "unchanged", "chunks", "links", "code", "skipped", "moved_urls", "duration_ms")
         return Metrics(**{n: getattr(self, n) + getattr(other, n) for n in names}, errors=self.errors + other.errors)
 
     @property
@@ -49,10 +54,40 @@ class Metrics:
         return 1 if self.errors else 0
 
 
-def _listing(store: Store, source: Source) -> DataFrame:
+@dataclass(frozen=True)
+class Planned:
+    """A source that a run will scan, and the real directory that it will read."""
+
+    source: Source
+    directory: str
+
+
+def plan(sources: Sequence[Source], allowed_root: str, spark: SparkSession | None = None) -> list[Planned]:
+    """What a run over ``sources`` would scan; nothing is written. Served stores are left out.
+
+    Directories outside ``allowed_root`` are refused, and so are sources that would put one file into several stores.
+    """
+    twice = duplicate_intake(sources, spark=spark)
+    if twice:
+        raise ConfigError("files would go into several stores: " + ", ".join(f"{a} and {b}" for a, b in twice))
+    return [Planned(s, contained(s.path, allowed_root)) for s in sources if s.ingestible]
+
+
+def dry_run(spark: SparkSession, planned: Sequence[Planned]) -> DataFrame:
+    """The files that a run would read: ``(source_id, root, fs_rel, mtime)``."""
+    out = spark.createDataFrame([], "source_id string, root string, fs_rel string, mtime long")
+    for p in planned:
+        out = out.unionByName(list_files(spark, p.source.id, p.directory, p.source.include, p.source.exclude, p.source.formats))
+    return out
+
+
+def _listing(store: Store, source: Source) -> tuple[DataFrame, int]:
+    """The files of a source, and how many more have another format."""
     if not source.ingestible:
         raise SyncError(f"source {source.id} is only served")
-    return checkpoint(list_files(store.spark, source.id, source.path, source.include, source.exclude, source.formats, ignored=[store.path]))
+    every = checkpoint(list_files(store.spark, source.id, source.path, source.include, source.exclude, ignored=[store.path]))
+    files = every.where(allowed_format(F.col("fs_rel"), source.formats))
+    return files, every.count() - files.count() if source.formats else 0
 
 
 def _own(store: Store, source_id: str) -> dict[str, DataFrame]:
@@ -84,7 +119,7 @@ def _loaded(old: dict[str, DataFrame], good: DataFrame, embedder: Embedder | Non
     }
 
 
-def _commit(store: Store, source: Source, tables: dict[str, DataFrame], files: DataFrame, rebuilt: bool = False) -> None:
+def _commit(store: Store, source: Source, tables: dict[str, DataFrame], files: DataFrame) -> None:
     spark = store.spark
     known = store._read("sources").where(F.col("source_id") != source.id)
     own = spark.createDataFrame([(source.id, source.path, source.type, source.id, None)], known.schema)
@@ -93,8 +128,7 @@ def _commit(store: Store, source: Source, tables: dict[str, DataFrame], files: D
         {
             ("sources", ""): known.unionByName(own), ("urls", ""): tables["urls"], ("files", source.id): files, ("syncs", source.id): stamp,
             **{(t, source.id): tables[t] for t in ("chunks", "edges", "code")},
-        },
-        rebuilt,
+        }
     )
 
 
@@ -107,8 +141,13 @@ def _count(metrics: Metrics, good: DataFrame, errors: DataFrame) -> Metrics:
 
 def full_sync(store: Store, source: Source, embedder: Embedder | None = None, prune: bool = False) -> Metrics:
     """Load every file of a source. What files that are gone left behind stays until an incremental cycle, or ``prune``."""
+    with store.lock():
+        return _full_sync(store, source, embedder, prune)
+
+
+def _full_sync(store: Store, source: Source, embedder: Embedder | None, prune: bool) -> Metrics:
     began = time.time()
-    files = _listing(store, source)
+    files, skipped = _listing(store, source)
     parsed = checkpoint(parse(contents(files)))
     twice = sync.duplicate_paths(parsed.where("path IS NOT NULL").select(*FILE, "path"))
     good, errors = _split(parsed, _reason(twice, "source_path is used by several files"))
@@ -122,29 +161,41 @@ def full_sync(store: Store, source: Source, embedder: Embedder | None = None, pr
     # Files that failed, and stored ones that are not listed now, are remembered as they were unless their identity is taken.
     rest = old["files"].join(state.select(*FILE), FILE, "left_anti").withColumn("_path", F.coalesce("contract_path", "fs_rel"))
     rest = rest.join(done.select("source_id", F.col("contract_path").alias("_path")), ["source_id", "_path"], "left_anti").drop("_path")
-    metrics = _count(Metrics(added=files.count()), good, errors)
+    metrics = _count(Metrics(added=files.count(), skipped=skipped), good, errors)
+    metrics.moved_urls = url_collisions(old["urls"], tables["urls"]).count()
     _commit(store, source, tables, state.unionByName(rest.select(*state.columns)) if not prune else state)
     metrics.duration_ms = max(1, int(1000 * (time.time() - began)))
     return metrics
 
 
 def incremental_sync(store: Store, source: Source, embedder: Embedder | None = None) -> Metrics:
-    """Load what has changed since the last cycle and delete what is gone; nothing is written if nothing changed."""
+    """Load what has changed since the last cycle and delete what is gone; nothing is written if nothing changed.
+
+    Where what is derived from a file has changed, or the store's layout, a cycle loads all files of the source. Without an
+    embedder it is refused if embeddings are stored, which it would lose.
+    """
+    with store.lock():
+        return _incremental_sync(store, source, embedder)
+
+
+def _incremental_sync(store: Store, source: Source, embedder: Embedder | None) -> Metrics:
     began = time.time()
-    files, old = _listing(store, source), _own(store, source.id)
+    (files, skipped), old = _listing(store, source), _own(store, source.id)
     last = old["syncs"].first()
-    force = store.needs_rebuild or last is None or last["contract_epoch"] != EPOCH
-    if force and embedder is None and not old["chunks"].where("embedding IS NOT NULL").isEmpty() and store.needs_rebuild:
+    force = store.outdated(source.id) or last is None or last["contract_epoch"] != EPOCH
+    if force and embedder is None and not old["chunks"].where("embedding IS NOT NULL").isEmpty():
         raise SyncError("a rebuild without an embedder would lose the stored embeddings")
     diff = checkpoint(sync.file_diff(files, old["files"], force))
     counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
-    metrics = Metrics(**{k: counts.get(k, 0) for k in ("added", "modified", "deleted", "unchanged")})
+    metrics = Metrics(**{k: counts.get(k, 0) for k in ("added", "modified", "deleted", "unchanged")}, skipped=skipped)
     if not (metrics.added or metrics.modified or metrics.deleted):
         metrics.duration_ms = max(1, int(1000 * (time.time() - began)))
         return metrics
     changed = files.join(diff.where("change IN ('added', 'modified')").select(*FILE), FILE, "left_semi")
     parsed = checkpoint(parse(contents(changed)))
     named = parsed.where("path IS NOT NULL").select(*FILE, "path")
+    if store.outdated(source.id) and not sync.duplicate_paths(named).isEmpty():
+        raise SyncError("the store can't be rebuilt: a source_path is used by several files")
     rejected = (
         _reason(sync.duplicate_paths(named), "source_path is used by several files")
         .unionByName(_reason(sync.collisions_with_unchanged(named, diff, old["files"]), "source_path belongs to an unchanged file"))
@@ -172,7 +223,8 @@ def incremental_sync(store: Store, source: Source, embedder: Embedder | None = N
     }
     state = sync.next_state(diff, old["files"], done, errors)
     metrics = _count(metrics, good, errors)
-    _commit(store, source, tables, state, rebuilt=False)
+    metrics.moved_urls = url_collisions(old["urls"], tables["urls"]).count()
+    _commit(store, source, tables, state)
     metrics.duration_ms = max(1, int(1000 * (time.time() - began)))
     return metrics
 

@@ -8,9 +8,12 @@ from dataclasses import dataclass, replace
 from pathlib import Path, PurePosixPath
 
 import yaml
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.errors import ConfigError
 from quillspark.functions.exprs import glob_regex
+from quillspark.sources.listing import list_files
 
 FORMATS = ("md", "markdown")
 _KEYS = {"local": {"type", "id", "path", "include", "exclude", "formats", "database"}, "database": {"type", "id", "path"}}
@@ -98,13 +101,26 @@ def normal(path: str) -> str:
     return os.path.normpath(path.replace("\\", "/")).replace(os.sep, "/")
 
 
-def duplicate_intake(sources: Sequence[Source], default: str = "default") -> list[tuple[str, str]]:
-    """Pairs of local sources that would put one directory tree into different stores. There are tens of sources at most."""
+def duplicate_intake(sources: Sequence[Source], default: str = "default", spark: SparkSession | None = None) -> list[tuple[str, str]]:
+    """Pairs of local sources that would put one file into different stores. There are tens of sources at most.
+
+    Directory trees must overlap; with a session the files of both are listed, and only a common one is a conflict. A
+    directory that isn't there counts as one.
+    """
     local = [(s, PurePosixPath(normal(s.path))) for s in sources if s.ingestible]
-    return [
-        (a.id, b.id) for i, (a, p) in enumerate(local) for b, q in local[i + 1 :]
+    pairs = [
+        (a, b) for i, (a, p) in enumerate(local) for b, q in local[i + 1 :]
         if (a.database or default) != (b.database or default) and (p.is_relative_to(q) or q.is_relative_to(p))
     ]
+    return [(a.id, b.id) for a, b in pairs if spark is None or _common_file(spark, a, b)]
+
+
+def _common_file(spark: SparkSession, a: Source, b: Source) -> bool:
+    if not (os.path.isdir(a.path) and os.path.isdir(b.path)):
+        return True
+    full = F.concat("root", F.lit("/"), "fs_rel").alias("file")
+    one, other = (list_files(spark, s.id, os.path.realpath(s.path), s.include, s.exclude, s.formats).select(full) for s in (a, b))
+    return not one.join(other, "file", "left_semi").isEmpty()
 
 
 def by_store(sources: Sequence[Source], base: str, default: str = "default") -> dict[str, list[Source]]:

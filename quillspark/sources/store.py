@@ -1,7 +1,9 @@
 """A store: Parquet tables in immutable versions, and one pointer file that says which are current.
 
 Tables are kept by source (``urls`` and ``sources`` whole), so a cycle rewrites the sources it touches and no others. All
-tables of a commit become current at once, by one rename; readers keep the version they opened.
+tables of a commit become current at once, by one rename; readers keep the version they opened. Writers hold the lock:
+taking it reads what is current, so that a commit always goes on from the last one. Sources that an older layout left
+are remembered one by one until each has been rebuilt.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,22 +28,36 @@ _POINTER, _LOCK = "_current", "_lock"
 class Store:
     def __init__(self, spark: SparkSession, path: str, writable: bool = True):
         self.spark, self.path, self.writable, self.files = spark, path.rstrip("/"), writable, Files(spark)
-        at = f"{self.path}/{_POINTER}"
-        if self.files.exists(at):
-            self.state = json.loads(self.files.read(at))
-        elif writable:
-            self.state = {"version": 0, "schema": SCHEMA_VERSION, "tables": {}}
-        else:
+        self.held: Lock | None = None
+        if not self.reload() and not writable:
             raise StoreError(f"no store at {path}")
 
+    def _current(self) -> dict | None:
+        at = f"{self.path}/{_POINTER}"
+        return json.loads(self.files.read(at)) if self.files.exists(at) else None
+
+    def reload(self) -> bool:
+        """Read what is current; false if nothing was ever committed."""
+        found = self._current()
+        self.state = {"version": 0, "schema": SCHEMA_VERSION, "tables": {}} | (found or {})
+        if "old" not in self.state:  # of each source that has an older layout, which
+            outdated = self.state["schema"] < SCHEMA_VERSION
+            self.state["old"] = dict.fromkeys(self.source_ids(), self.state["schema"]) if outdated else {}
+        return found is not None
+
     @property
     def schema_version(self) -> int:
-        return self.state["schema"]
+        """The oldest layout that a source of the store has."""
+        return min(self.state["old"].values(), default=self.state["schema"])
 
     @property
     def needs_rebuild(self) -> bool:
         return 0 < self.schema_version < SCHEMA_VERSION
 
+    def outdated(self, source_id: str) -> bool:
+        """Whether this source must be rebuilt."""
+        return self.needs_rebuild and (source_id in self.state["old"] or not self.state["old"])
+
     def read(self, table: str, source_id: str | None = None) -> DataFrame:
         """A table, or what one source has of it; empty where nothing was written."""
         if self.needs_rebuild:
@@ -58,20 +75,28 @@ class Store:
     def source_ids(self) -> list[str]:
         return sorted(self.state["tables"].get("chunks", {}))
 
-    def commit(self, parts: dict[tuple[str, str], DataFrame], rebuilt: bool = False) -> int:
+    def commit(self, parts: dict[tuple[str, str], DataFrame]) -> int:
         """Write ``(table, source_id) -> rows`` (``""`` for whole tables) and make them current together."""
         if not self.writable:
             raise StoreError("the store was opened for reading")
+        if self.held is None:
+            raise LockError("a commit needs the store's lock")
         version = self.state["version"] + 1
-        tables = {t: dict(p) for t, p in self.state["tables"].items()} if not rebuilt else {}
+        folder = f"v{version}-{uuid.uuid4().hex[:12]}"  # a name of its own: no commit can write over another's tables
+        tables = {t: dict(p) for t, p in self.state["tables"].items()}
         for (table, source), rows in parts.items():
-            place = f"v{version}/{table}/{source.encode().hex() or 'all'}"
+            place = f"{folder}/{table}/{source.encode().hex() or 'all'}"
             ordered = rows.select(*TABLES[table].names)
             if table == "chunks":  # documents side by side, so that a path is found by row group statistics
                 ordered = ordered.repartitionByRange("path", "chunk_id").sortWithinPartitions("path", "position")
-            ordered.write.mode("overwrite").parquet(f"{self.path}/{place}")
+            ordered.write.parquet(f"{self.path}/{place}")
             tables.setdefault(table, {})[source] = place
-        self.state = {"version": version, "schema": SCHEMA_VERSION, "tables": tables}
+        done = {source for _, source in parts}
+        old = {s: layout for s, layout in self.state["old"].items() if s not in done}
+        if not self.held.own() or (self._current() or {"version": 0})["version"] != self.state["version"]:
+            self.files.delete(f"{self.path}/{folder}")
+            raise LockError("another process has committed in between; nothing was changed")
+        self.state = {"version": version, "schema": SCHEMA_VERSION, "tables": tables, "old": old}
         self.files.replace(f"{self.path}/{_POINTER}", json.dumps(self.state))
         return version
 
@@ -80,7 +105,8 @@ class Store:
         used = {p.split("/")[0] for t in self.state["tables"].values() for p in t.values()}
         for folder in self.files.folders(self.path):
             name = folder.rsplit("/", 1)[-1]
-            if name[:1] == "v" and name[1:].isdigit() and name not in used and int(name[1:]) <= self.state["version"] - keep:
+            number = name[1:].split("-")[0]
+            if name[:1] == "v" and number.isdigit() and name not in used and int(number) <= self.state["version"] - keep:
                 self.files.delete(folder)
 
     def lock(self, force: bool = False) -> Lock:
@@ -88,26 +114,41 @@ class Store:
 
 
 class Lock:
-    """One writer at a time; a lock older than an hour, or of a process that is gone from this host, is taken over."""
+    """One writer at a time; a lock older than an hour, or of a process that is gone from this host, is taken over.
+
+    Entering reads the store's state anew. Within a lock that the same ``Store`` holds, another one is the same.
+    """
 
     def __init__(self, store: Store, force: bool = False):
-        self.files, self.path, self.force = store.files, f"{store.path}/{_LOCK}", force
+        self.store, self.files, self.path, self.force = store, store.files, f"{store.path}/{_LOCK}", force
+        self.text, self.inner = "", False
+
+    def own(self) -> bool:
+        return self.files.exists(self.path) and self.files.read(self.path) == self.text
 
     def __enter__(self):
-        own = json.dumps({"pid": os.getpid(), "host": os.uname().nodename, "since": time.time()})
-        if self.files.create(self.path, own):
+        if self.store.held is not None:
+            self.inner = True
             return self
-        held = json.loads(self.files.read(self.path) or "{}")
-        stale = self.files.age_seconds(self.path) > STALE_SECONDS or (held.get("host") == os.uname().nodename and not _alive(held.get("pid", 0)))
-        if not (stale or self.force):
-            raise LockError(f"the store is being written by process {held.get('pid')} on {held.get('host')}")
-        self.files.delete(self.path)
-        if not self.files.create(self.path, own):
-            raise LockError("another process took the lock over")
+        self.text = json.dumps({"pid": os.getpid(), "host": os.uname().nodename, "since": time.time(), "token": uuid.uuid4().hex})
+        if not self.files.create(self.path, self.text):
+            held = json.loads(self.files.read(self.path) or "{}")
+            stale = self.files.age_seconds(self.path) > STALE_SECONDS or (held.get("host") == os.uname().nodename and not _alive(held.get("pid", 0)))
+            if not (stale or self.force):
+                raise LockError(f"the store is being written by process {held.get('pid')} on {held.get('host')}")
+            self.files.delete(self.path)
+            if not self.files.create(self.path, self.text):
+                raise LockError("another process took the lock over")
+        self.store.reload()
+        self.store.held = self
         return self
 
     def __exit__(self, *_):
-        self.files.delete(self.path)
+        if self.inner:
+            return
+        self.store.held = None
+        if self.own():  # one that was taken over is another's
+            self.files.delete(self.path)
 
 
 def _alive(pid: int) -> bool:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillspark.functions import session
 from quillspark.functions.embed import Embedder
 from quillspark.operators.documents import parse
 from quillspark.plans import ingest
@@ -44,18 +45,27 @@ def watch(store: Store, sources: Sequence[Source], embedder: Embedder | None = N
 
 
 def stream_documents(spark: SparkSession, folder: str, source_id: str) -> DataFrame:
-    """New files of a folder as parsed documents, each once."""
+    """New files of a folder as parsed documents, each once; they are named by their path from the folder."""
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
-    name = F.regexp_replace("_metadata.file_path", r"^.*/", "")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    path = F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", ""), r"\+", "%2B"))
+    name = F.when(F.startswith(path, F.lit(root)), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
     return parse(files.select(F.lit(source_id).alias("source_id"), name.alias("fs_rel"), F.encode("value", "UTF-8").alias("raw")))
 
 
 def load_stream(store: Store, parsed: DataFrame, source: Source, checkpoint: str, embedder: Embedder | None = None) -> StreamingQuery:
-    """Load each micro-batch of ``parsed`` into the store; a batch that is run again writes the same rows again."""
+    """Load each micro-batch of ``parsed`` into the store; a batch that is run again writes the same rows again.
+
+    Loaded files are remembered with the time of loading, so that a later cycle over the same folder knows them.
+    """
 
     def load(batch: DataFrame, _: int) -> None:
-        old = ingest._own(store, source.id)
-        good = batch.where("error IS NULL")
-        ingest._commit(store, source, ingest._loaded(old, good, embedder), old["files"])
+        with store.lock():
+            old = ingest._own(store, source.id)
+            good = session.checkpoint(batch.where("error IS NULL"))
+            now = good.select("source_id", "fs_rel", F.unix_timestamp().alias("mtime"), F.col("path").alias("contract_path"))
+            rest = old["files"].join(now.select("source_id", "fs_rel"), ["source_id", "fs_rel"], "left_anti")
+            ingest._commit(store, source, ingest._loaded(old, good, embedder), rest.unionByName(now))
 
     return parsed.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

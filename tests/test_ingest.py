@@ -7,9 +7,9 @@ import pytest
 
 from quillspark import format as fmt
 from quillspark.engine import Engine
-from quillspark.errors import ConfigError, EmbeddingError, LockError, PathError, QueryError, StoreError
+from quillspark.errors import ConfigError, EmbeddingError, LockError, PathError, QueryError, StoreError, SyncError
 from quillspark.functions.embed import HashingEmbedder, resolve
-from quillspark.plans.ingest import full_sync, incremental_sync, sync_all
+from quillspark.plans.ingest import dry_run, full_sync, incremental_sync, plan, sync_all
 from quillspark.sources import config
 from quillspark.sources.config import Source
 from quillspark.sources.listing import contained, list_files
@@ -118,19 +118,119 @@ def test_engine(spark, world):
 
 
 def test_lock_and_layout(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"))
+    store, other = (Store(spark, str(tmp_path / "s")) for _ in range(2))
     with store.lock():
         with pytest.raises(LockError):
-            store.lock().__enter__()
-        with store.lock(force=True):
+            other.lock().__enter__()
+        with store.lock():  # the same writer
             pass
-    store.state["schema"] = 3
+        with other.lock(force=True):
+            assert not store.held.own()
+        with pytest.raises(LockError):
+            store.commit({})
+    with store.lock():
+        pass
+    with pytest.raises(LockError):
+        store.commit({})
+    store.state |= {"schema": 3, "old": {"s": 3}}
     with pytest.raises(StoreError):
         store.read("chunks")
     with pytest.raises(StoreError):
         Store(spark, str(tmp_path / "none"), writable=False)
 
 
+def test_a_lock_that_was_taken_over_stays(spark, tmp_path):
+    mine, other = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    lock = mine.lock().__enter__()
+    other_lock = other.lock(force=True).__enter__()
+    lock.__exit__()
+    assert other_lock.own()
+    other_lock.__exit__()
+    assert not other_lock.own()
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Two stores opened at the same version commit one after the other: both commits are there."""
+    for name in ("a", "b"):
+        write(tmp_path / name, "x.md", f"# {name}")
+    stores = [Store(spark, str(tmp_path / "s")) for _ in range(2)]
+    for store, name in zip(stores, ("a", "b"), strict=True):
+        full_sync(store, Source("local", name, str(tmp_path / name)))
+    now = Store(spark, str(tmp_path / "s"), writable=False)
+    assert sorted(r["source_id"] for r in now.read("chunks").collect()) == ["a", "b"] and now.state["version"] == 2
+    assert sorted(r["source_id"] for r in now.read("sources").collect()) == ["a", "b"]
+    now.vacuum(keep=0)
+    assert now.read("chunks").count() == 2
+
+
+def test_each_source_of_an_old_layout_is_rebuilt(spark, tmp_path):
+    import json
+
+    for name in ("a", "b"):
+        write(tmp_path / name, "x.md", f"# {name}")
+    sources, store = [Source("local", n, str(tmp_path / n)) for n in ("a", "b")], Store(spark, str(tmp_path / "s"))
+    for source in sources:
+        full_sync(store, source, HashingEmbedder(8))
+    store.files.replace(f"{store.path}/_current", json.dumps({k: v for k, v in store.state.items() if k != "old"} | {"schema": 3}))
+    store = Store(spark, store.path)
+    with pytest.raises(SyncError):
+        incremental_sync(store, sources[0])  # would lose the embeddings
+    assert incremental_sync(store, sources[0], HashingEmbedder(8)).modified == 1
+    with pytest.raises(StoreError):
+        Store(spark, store.path, writable=False).read("chunks")
+    assert incremental_sync(store, sources[1], HashingEmbedder(8)).modified == 1
+    assert Store(spark, store.path, writable=False).read("chunks").count() == 2 and incremental_sync(store, sources[0]).modified == 0
+
+
+def test_changed_epoch_without_an_embedder_is_refused(spark, world, monkeypatch):
+    from quillspark.plans import ingest
+
+    _, store, source = world
+    full_sync(store, source, HashingEmbedder(8))
+    monkeypatch.setattr(ingest, "EPOCH", "2")
+    with pytest.raises(SyncError):
+        incremental_sync(store, source)
+    assert incremental_sync(store, source, HashingEmbedder(8)).chunks == 3
+
+
+def test_rebuild_stops_at_duplicate_paths(spark, world):
+    root, store, source = world
+    full_sync(store, source)
+    store.files.replace(f"{store.path}/_current", store.files.read(f"{store.path}/_current").replace('"schema": 4', '"schema": 3').replace(', "old": {}', ""))
+    write(root, "again.md", "x", "a.md")
+    with pytest.raises(SyncError, match="several files"):
+        incremental_sync(Store(spark, store.path), source)
+
+
+def test_plan_and_duplicate_intake(spark, tmp_path, world):
+    root, _, source = world
+    docs = str(root)
+    assert [p.directory for p in plan([source, Source("database", "d", "x")], str(tmp_path))] == [docs]
+    assert sorted(r["fs_rel"] for r in dry_run(spark, plan([source], str(tmp_path))).collect()) == ["a.md", "bad.md", "home.markdown", "sub/b.md"]
+    with pytest.raises(PathError):
+        plan([source], str(root / "sub"))
+    both = [source, Source("local", "t", str(root / "sub"), database="other")]
+    with pytest.raises(ConfigError):
+        plan(both, str(tmp_path), spark)
+    apart = [Source("local", "s", docs, exclude=("sub/*",)), both[1]]
+    assert config.duplicate_intake(apart) == [("s", "t")] and config.duplicate_intake(apart, spark=spark) == []
+    missing = [source, Source("local", "m", str(root / "none"), database="other")]
+    assert config.duplicate_intake(missing, spark=spark) == [("s", "m")]
+    assert config.served(both, str(tmp_path / "stores"), [str(tmp_path / "stores/default")]) == [str(tmp_path / "stores/default"), str(tmp_path / "stores/other")]
+
+
+def test_figures_as_text(spark, world):
+    _, store, source = world
+    m = full_sync(store, source)
+    assert m.skipped == 1 and m.moved_urls == 0 and '"skipped": 1' in fmt.metrics(m)
+    assert fmt.iso_time(951_782_400) == "2000-02-29T00:00:00Z" and fmt.percent(1, 3) == 33 and fmt.percent(1, 0) == 0
+    assert [fmt.file_size(n) for n in (1023, 1536, 1 << 20, 5 << 30)] == ["1023 B", "1.5 KiB", "1.0 MiB", "5.0 GiB"]
+    assert [fmt.duration(n) for n in (7, 1500, 61_000, 3_723_000)] == ["7ms", "1.500s", "1m01s", "1h02m03s"]
+    record = fmt.prewarm_record(m, 1, 0)
+    assert '"prewarm.complete"' in record and '"1970-01-01T00:00:00Z"' in record and '"files_synced": 3' in record
+    assert fmt.exit_code(m) == 1 and fmt.exit_code(QueryError("x")) == 2
+
+
 def test_listing(spark, tmp_path, world):
     root, _, _ = world
     names = lambda **k: sorted(r["fs_rel"] for r in list_files(spark, "s", str(root), **k).collect())
@@ -172,6 +272,7 @@ def test_stream(spark, world, tmp_path):
     (root / "bad.md").unlink()
     load_stream(store, stream_documents(spark, str(root), "s"), source, str(tmp_path / "cp")).awaitTermination()
     assert "b.md" in paths(store)
+    assert {"a.md", "sub/b.md"} <= {r["fs_rel"] for r in store.read("files").collect()}
     told = Progress()
     query = watch(store, [source], every="1 second", progress=told)
     try:

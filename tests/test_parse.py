@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 
@@ -84,3 +85,35 @@ def test_tables(spark):
     tables = {n: t.collect() for n, t in tables_of(parse(files)).items()}
     assert [len(tables[n]) for n in ("chunks", "edges", "code", "urls")] == [1, 1, 1, 1]
     assert tables["urls"][0]["chunk_id"] == tables["chunks"][0]["chunk_id"] and tables["chunks"][0]["title"] is None
+
+
+HOSTILE = {
+    "open brackets": "[" * 10**6, "quotes": ">" * 10**6, "stars": "*" * 10**6, "emphasis": "*a" * 500_000, "ticks": "`a``b" * 200_000, "angles": "<" * 10**6,
+    "nested brackets": "[" * 500_000 + "]" * 500_000, "open links": "[a]( x " * 140_000, "images": "![a" * 100_000 + "](x)" * 100_000, "blanks": "# " + " " * 10**6 + "x",
+    "items": "- " * 500_000 + "x", "blank lines": "- a\n" + "\n" * 10**6 + "b", "parentheses": "(" * 10**6, "names": "[x]: y\n" * 100_000 + "[x] " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_texts_take_linear_time(name):
+    """A megabyte of marks costs at most a few times what a tenth of it costs, and is a document or an error row."""
+    text, took = GOOD.format("", HOSTILE[name]), []
+    for size in (len(text) // 10, len(text)):
+        began = time.process_time()
+        row = parse_file(text[:size].encode(), "s", "f")
+        took.append(time.process_time() - began)
+    assert row["path"] == "a/b.md" and (row["error"] is None or row["error"].startswith("not parsed: ParseError")) and took[1] < 25 * max(took[0], 0.2)
+
+
+def test_any_fault_costs_its_file_only(spark):
+    bad = {"version.md": GOOD.format("schema_version: ²\n", "x"), "deep.md": GOOD.format("", ">" * 1500), "yaml.md": "---\n" + "[" * 5000 + "\n---\nx", "good.md": GOOD.format("", "# A")}
+    files = spark.createDataFrame([("s", n, bytearray(t.encode())) for n, t in bad.items()], "source_id string, fs_rel string, raw binary")
+    rows = {r["fs_rel"]: r for r in parse(files).collect()}
+    assert len(rows) == 4 and [n for n in rows if rows[n]["error"] is None] == ["good.md"] and rows["version.md"]["error_field"] == "schema_version"
+    assert all(r["chunks"] == [] for n, r in rows.items() if n != "good.md")
+
+
+def test_permissive(spark):
+    files = spark.createDataFrame([("s", "x/y.md", bytearray(b"# First\n\ntext")), ("s", "z.md", bytearray(b"---\ntitle: T\n---\n# A"))], "source_id string, fs_rel string, raw binary")
+    rows = {r["path"]: r for r in parse(files, contract=False).collect()}
+    assert {p: (r["title"], r["error"], len(r["chunks"])) for p, r in rows.items()} == {"x/y.md": ("First", None, 1), "z.md": ("T", None, 1)}
