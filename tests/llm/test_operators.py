@@ -209,6 +209,114 @@ def test_passages(spark):
     assert got[12, 5]["n_words"] == 79 and got[12, 5]["other_n_words"] == 80 and got[12, 5]["equal_words"] == 76
 
 
+def fresh(rng, n):
+    return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_no_anchor_hides_a_pair(spark):
+    """A passage of two documents is found although other, earlier documents hold its parts."""
+    rng = random.Random(11)
+    passage = fresh(rng, 135)
+    docs = [fresh(rng, 60) + passage[k : k + 45] + fresh(rng, 60) for k in (0, 30, 60, 90)] + [passage + fresh(rng, 50), fresh(rng, 50) + passage]
+    b, c = fresh(rng, 80), fresh(rng, 30)
+    docs += [c + b[:40], b[35:] + c[:5], b + fresh(rng, 20), fresh(rng, 20) + b]
+    got = {(r["doc_id"], r["other_doc_id"]): r for r in substring_dedup.shared_passages(frame(spark, [" ".join(d) for d in docs])).collect()}
+    assert set(got) == {(5, 4), (9, 8)} and (got[5, 4]["n_words"], got[5, 4]["share"], got[9, 8]["n_words"]) == (135, 1.0, 80)
+
+
+def reached(pairs, n):
+    up = list(range(n))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return [top(i) for i in range(n)]
+
+
+def alike(x, y, least=50, share=0.8):
+    """Whether two texts share a passage: the best local alignment of words, over all places of both."""
+    code = {w: i for i, w in enumerate(dict.fromkeys(x + y))}
+    a, b = (np.array([code[w] for w in t]) for t in (x, y))
+    score, best, at = np.zeros(len(b) + 1), 0, None
+    rows = [score]
+    for w in a:  # 1 for an equal word, -2 for an edit: a share above about 0.75 grows
+        new = np.maximum(0, np.maximum(np.concatenate([[0], score[:-1] + np.where(b == w, 1, -2)]), score - 2))
+        for j in range(1, len(new)):
+            new[j] = max(new[j], new[j - 1] - 2)
+        score = new
+        rows.append(score)
+        if score.max() > best:
+            best, at = score.max(), (len(rows) - 1, int(score.argmax()))
+    if at is None:
+        return False
+    (i, j), same = at, 0
+    stop = at
+    while i and j and rows[i][j] > 0:
+        if rows[i][j] == rows[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -2):
+            same += a[i - 1] == b[j - 1]
+            i, j = i - 1, j - 1
+        elif rows[i][j] == rows[i - 1][j] - 2:
+            i -= 1
+        else:
+            j -= 1
+    n, m = stop[0] - i, stop[1] - j
+    return min(n, m) >= least and same >= share * max(n, m)
+
+
+def test_recall_of_passages(spark):
+    """Against brute force over all pairs: passages with 5 to 20 % of edits, evenly spread or at random, in two to twelve documents."""
+    rng = random.Random(12)
+    docs = []
+    for k in range(60):
+        passage, share = fresh(rng, rng.randrange(60, 120)), rng.choice([0.05, 0.08, 0.1, 0.12])
+        for _ in range(rng.choice([2, 2, 3, 12])):
+            copy = list(passage)
+            places = range(k % 5, len(copy), int(1 / share)) if k % 2 else rng.sample(range(len(copy)), int(share * len(copy)))
+            for p in places:
+                copy[p] = rng.choice(["", f"x{rng.randrange(10**9)}", copy[p] + f" y{rng.randrange(10**9)}"])
+            docs.append((" ".join(fresh(rng, rng.randrange(60)) + copy + fresh(rng, rng.randrange(60)))).split())
+    docs += [fresh(rng, 100) for _ in range(20)]
+    words_of = [set(d) for d in docs]
+    wanted = [(j, i) for i in range(len(docs)) for j in range(i) if len(words_of[i] & words_of[j]) >= 40 and alike(docs[i], docs[j])]
+    rows = substring_dedup.shared_passages(frame(spark, [" ".join(d) for d in docs])).collect()
+    pairs = {(r["other_doc_id"], r["doc_id"]) for r in rows}
+    group = reached(pairs, len(docs))
+    found = sum(group[a] == group[b] for a, b in wanted) / len(wanted)
+    direct = sum(p in pairs for p in wanted if all(x < 10**9 for x in p)) / len(wanted)
+    print(f"recall {found:.3f}, direct {direct:.3f} of {len(wanted)}")
+    assert found >= 0.9
+    assert all(len(words_of[a] & words_of[b]) >= 35 for a, b in pairs)
+
+
+def test_hot_seeds_in_lanes(spark, monkeypatch):
+    """A passage of many documents links them all, in one order or in lanes; copies lead to their first text."""
+    rng = random.Random(13)
+    passage = fresh(rng, 70)
+    docs = [" ".join(fresh(rng, 20) + passage) for _ in range(40)] + [" ".join(passage)] * 5
+    for most in (4096, 10):
+        monkeypatch.setattr(substring_dedup, "MANY", most)
+        rows = substring_dedup.shared_passages(frame(spark, docs)).collect()
+        pairs = [(r["doc_id"], r["other_doc_id"]) for r in rows]
+        assert len(set(reached(pairs, len(docs)))) == 1 and len(rows) == len(set(pairs)) < 80
+        assert {p for p in pairs if p[0] > 40} == {(41, 40), (42, 40), (43, 40), (44, 40)}
+
+
+def test_alignment_goes_on_beyond_the_margin(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MARGIN", 1)
+    monkeypatch.setattr(substring_dedup, "STRETCH", 2)
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 16)
+    rng = random.Random(14)
+    passage = fresh(rng, 400)
+    docs = [" ".join(fresh(rng, 30) + passage + fresh(rng, 30)) for _ in range(2)]
+    rows = substring_dedup.shared_passages(frame(spark, docs)).collect()
+    assert [(r["start_word"], r["n_words"], r["other_n_words"], r["share"]) for r in rows] == [(30, 400, 400, 1.0)]
+
+
 # 1
 
 
