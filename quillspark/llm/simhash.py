@@ -5,9 +5,10 @@ to ``BITS`` signed votes, so a term weighs as often as it occurs; the sign of ea
 likeness of two fingerprints is the cosine that their Hamming distance estimates, ``cos(pi * distance / BITS)``, and 0
 beyond a right angle; a pair of equal fingerprints has 1.
 
-``near_pairs`` finds every pair of fingerprints within a radius: the bits are cut into ``radius + 1`` blocks, and two
-fingerprints that close agree in one block at least, so one equi-join of permuted block tables, followed by the exact
-distance, finds all of them. Equal fingerprints are one entry.
+``near`` finds all fingerprints within a radius of those asked for: the bits are cut into ``radius + 1`` blocks, and two
+fingerprints that close agree in one block at least, so one equi-join of permuted block tables with the exact distance as
+its condition finds all of them, each in the first block that they share. Equal fingerprints are one entry. The query asks
+for the fingerprints of every document whose id is divisible by 20.
 
 ``neighbours`` gives each document the text of the next one in descending ``doc_id`` order without a global sort in one
 task: ids are cut into ranges, each range is sorted where it is, and the first document of each range also goes to the
@@ -29,10 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import partitions
+from quillspark.llm._spark import discard, partitions, scratch
 from quillspark.llm._text import U64, grams, hash_strings, mix, slices, split_words
 
-BITS, TERM_WORDS = 128, 3
+BITS, TERM_WORDS, RADIUS = 128, 3, 3
 
 
 def _votes(terms: np.ndarray, owner: np.ndarray, rows: int, bits: int) -> np.ndarray:
@@ -120,7 +121,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     # The head of each range is also the guest at the end of the range before it; the first range's, of the last.
     guests = {heads[k][1]: heads[k - 1][0] for k in range(len(heads))}
     # Among equal ids the first text in order is the head, so one row of it alone must travel.
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("range", place)
+    text = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("range", place)
     own = text.withColumn("guest", F.lit(False))
     lent = text.where(F.col("doc_id").isin([h for h in guests if h is not None])) if guests else text.limit(0)
     if None in guests:
@@ -133,24 +134,54 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_next_in_range, "doc_id long, text string, next_text string")
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """The fingerprints of ``docs(doc_id, text)``, of their edited texts and of the next documents, with their likeness."""
-    return neighbours(docs).mapInArrow(
+def edited_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The fingerprints of ``docs(doc_id, text)``, of their edited texts and of the next documents, with their likeness.
+
+    ``near_prints`` and ``near_docs`` count the other fingerprints within ``radius`` and their documents, for documents
+    whose id is divisible by 20; they are null for others.
+    """
+    rows = neighbours(docs).mapInArrow(
         _edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
+    rows = scratch(rows, "simhash-rows")
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    prints = scratch(rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.max(asked).alias("asked")), "simhash-prints")
+    found = near(prints.where("asked"), prints, radius).join(prints.select(F.col("fingerprint").alias("b"), "n"), "b")
+    found = scratch(found.groupBy(F.col("a").alias("fingerprint")).agg(F.count("*").alias("near_prints"), F.sum("n").alias("near_docs")), "simhash-near")
+    discard(prints)
+    counts = (F.when(asked, F.coalesce(c, F.lit(0).cast("long"))).alias(c) for c in ("near_prints", "near_docs"))
+    return rows.join(found, "fingerprint", "left").select(*rows.columns, *counts)
 
 
-def near_pairs(prints: DataFrame, radius: int = 3, bits: int = BITS) -> DataFrame:
-    """``prints(fingerprint)`` -> every pair ``(a, b, distance)`` of different fingerprints at most ``radius`` apart, a < b."""
+def _tables(prints: DataFrame, name: str, radius: int, bits: int) -> DataFrame:
+    """Each distinct fingerprint once for each block: ``(name, key)``, the key being which block and its bits."""
+    cuts = _cuts(radius, bits)
+    blocks = F.array(*(F.struct(F.lit(k).alias("table"), F.substring("fingerprint", a + 1, b - a).alias("block")) for k, (a, b) in enumerate(cuts)))
+    return prints.select("fingerprint").where("fingerprint IS NOT NULL").distinct().select(F.col("fingerprint").alias(name), F.explode(blocks).alias("key"))
+
+
+def _cuts(radius: int, bits: int) -> list[tuple[int, int]]:
     digits = bits // 4
-    cuts = [digits * k // (radius + 1) for k in range(radius + 2)]
-    blocks = F.array(*(F.struct(F.lit(k).alias("table"), F.substring("fingerprint", a + 1, b - a).alias("block")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
-    rows = prints.select("fingerprint").where("fingerprint IS NOT NULL").distinct().select("fingerprint", F.explode(blocks).alias("key"))
+    bounds = [digits * k // (radius + 1) for k in range(radius + 2)]
+    return list(zip(bounds, bounds[1:], strict=False))
+
+
+def near(asked: DataFrame, prints: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+    """``(a, b, distance)``: for every fingerprint of ``asked`` all others of ``prints`` at most ``radius`` bits away."""
+    digits, cuts = bits // 4, _cuts(radius, bits)
     parts = [(k + 1, min(16, digits - k)) for k in range(0, digits, 16)]
     apart = sum((_hex_distance(F.substring("a", k, n), F.substring("b", k, n)) for k, n in parts), F.lit(0))
-    x, y = rows.select(F.col("fingerprint").alias("a"), "key"), rows.select(F.col("fingerprint").alias("b"), "key")
-    found = x.join(y, "key").where("a < b").withColumn("distance", apart).where(F.col("distance") <= radius)
-    return found.select("a", "b", "distance").distinct()
+    x, y = _tables(asked, "a", radius, bits), _tables(prints, "b", radius, bits)
+    once = F.lit(True)  # no block before this one is the same
+    for k, (a, b) in enumerate(cuts):
+        once = once & ((x["key.table"] <= k) | (F.substring("a", a + 1, b - a) != F.substring("b", a + 1, b - a)))
+    found = x.join(y, (x["key"] == y["key"]) & (F.col("a") != F.col("b")) & once & (apart <= radius))
+    return found.select("a", "b", apart.alias("distance"))
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+    """``prints(fingerprint)`` -> every pair ``(a, b, distance)`` of different fingerprints at most ``radius`` apart, a < b."""
+    return near(prints, prints, radius, bits).where("a < b")
 
 
 def _hex_distance(a, b):

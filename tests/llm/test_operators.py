@@ -695,6 +695,27 @@ def test_simhash(spark, texts, docs):
             apart = sum((x ^ y).bit_count() for x, y in zip(a, other, strict=True))
             assert math.isclose(near, 1 if not apart else min(1, max(0, math.cos(math.pi * apart / 128))), abs_tol=1e-12)
     assert rows[3]["fingerprint"] == rows[40]["fingerprint"] == rows[41]["fingerprint"]
+    number = {i: int(r["fingerprint"], 16) for i, r in rows.items()}
+    for i, r in rows.items():
+        others = {number[j] for j in rows if 0 < (number[i] ^ number[j]).bit_count() <= simhash.RADIUS}
+        assert (r["near_prints"], r["near_docs"]) == ((len(others), sum(n in others for n in number.values())) if i % 20 == 0 else (None, None))
+
+
+def test_near_fingerprints_are_counted(spark):
+    """Near copies of query documents are found by the block tables of the whole query."""
+    rng = random.Random(21)
+    base = fresh(rng, 900)
+    texts = [" ".join(base)] + [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(1, 30)] + [" ".join(fresh(rng, 300)) for _ in range(20)]
+    rows = {r["doc_id"]: r for r in simhash.edited_fingerprints(frame(spark, texts)).collect()}
+    number = {i: int(r["fingerprint"], 16) for i, r in rows.items()}
+    wanted = {i: len({number[j] for j in rows if 0 < (number[i] ^ number[j]).bit_count() <= 3}) for i in (0, 20, 40)}
+    assert {i: rows[i]["near_prints"] for i in wanted} == wanted and wanted[0] > 0
+
+
+def test_next_of_null_text(spark):
+    """A null text is an empty one, in the order of equal ids too."""
+    rows = simhash.edited_fingerprints(spark.createDataFrame([(2, "t"), (1, None), (1, "u")], "doc_id long, text string")).collect()
+    assert next(r["near_next"] for r in rows if r["doc_id"] == 2) == simhash.likeness(*simhash.fingerprints(pa.array(["t", ""]))[:, None])[0]
 
 
 def test_fingerprint_votes():
