@@ -2,7 +2,8 @@
 
 A payload is stored losslessly as an 8-bit greyscale PNG of ``WIDTH`` pixels a row (filter 0, deflated), under its own
 SHA-256, in a tar shard. Each writing task keeps one shard and one copy of each digest; where several tasks stored the
-same digest, every row points to the first shard that has it. Rows carry ``media_sha256``, ``shard``, ``offset`` and
+same digest, every row points to the first shard that has it. Shards get their names when they are complete, so rows are
+used only after the storing job has ended, which ``store_payloads`` waits for. Rows carry ``media_sha256``, ``shard``, ``offset`` and
 ``length``: a member is read by one range read, without the tar index. ``with_metadata`` fills width, height, bit depth
 and colour type from the first ``HEADER`` bytes alone.
 
@@ -34,6 +35,7 @@ from quillspark.llm._text import slices
 WIDTH, LEVEL = 192, 3
 #: Signature, then the IHDR chunk: all that metadata need.
 HEADER = 33
+_HEAD = ("width", "height", "bit_depth", "colour_type")
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -115,6 +117,7 @@ def store_payloads(rows: DataFrame, folder: str) -> DataFrame:
     stored = scratch(stored, "media-rows")
     # One place for each digest.
     place = stored.groupBy("media_sha256").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    place = scratch(place, "media-places")  # a table of its own, so that a join partition with a hot digest can be split
     return stored.drop("shard", "offset", "length").join(place, "media_sha256").select(*(f.name for f in rows.schema if f.name != "payload"), "media_sha256", "at.*")
 
 
@@ -131,13 +134,13 @@ def _ranges(batch: pa.RecordBatch, most: int | None) -> Iterator[bytes]:
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         heads = [png_header(data) for data in _ranges(batch, HEADER)]
-        extra = [pa.array([h[c] for h in heads], pa.int32()) for c in ("width", "height", "bit_depth", "colour_type")]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "width", "height", "bit_depth", "colour_type"])
+        extra = [pa.array([h[c] for h in heads], pa.int32()) for c in _HEAD]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *_HEAD])
 
 
 def with_metadata(media: DataFrame) -> DataFrame:
     """``media`` with the columns that the stored headers tell; the samples are not read."""
-    return _near_shards(media).mapInArrow(_headers, schema_with(media.schema, "width int, height int, bit_depth int, colour_type int"))
+    return _near_shards(media).mapInArrow(_headers, schema_with(media.schema, ", ".join(f"{c} int" for c in _HEAD)))
 
 
 def _near_shards(media: DataFrame) -> DataFrame:
@@ -165,8 +168,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if pc.any(pc.not_equal(pa.array(media), batch.column("media_sha256"))).as_py():
                 raise ValueError("a stored object does not match its digest")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(size, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), batch.column("length"), pa.array(media), pa.array(text)],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(size, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), batch.column("length"), pa.array(media), pa.array(text), *(batch.column(c) for c in _HEAD)],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *_HEAD],
             )
 
 
@@ -179,9 +182,10 @@ def text_payloads(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def text_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Store the payloads of ``docs``, then read every stored object back and compute features from what was read."""
+    """Store the payloads of ``docs``, fill metadata columns from headers, then read objects back and compute features from them."""
     media = store_payloads(text_payloads(docs), folder or scratch_path(docs.sparkSession, "media"))
-    return _near_shards(media).mapInArrow(
+    return with_metadata(media).mapInArrow(
         _features,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        + ", ".join(f"{c} int" for c in _HEAD),
     )
