@@ -53,8 +53,3 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with one key, the last one in ``order``. A pre-aggregated maximum: no key's rows meet in one sort."""
     columns = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
-
-
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows whose key occurs more than once."""
-    return rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n > 1").drop("_n")

@@ -73,8 +73,3 @@ def current_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("source_id"), F.concat(F.lit("f"), F.col("doc_id")).alias("fs_rel"), F.col("n_chars").alias("mtime"),
         F.concat(F.lit("c"), F.expr("(doc_id + 20) div 40")).alias("path"),
     )
-
-
-def ordered(df: DataFrame, *by: str) -> DataFrame:
-    """The order of a small result as the column ``place``."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*by)).cast("long"))

@@ -84,3 +84,30 @@ def test_catalogue(spark):
     c = chunks(spark, [("a", "s", "p", "1", 1), ("a", "t", "p", "0", 0)])
     assert catalog.get_chunk(c, "a").first()["source_id"] == "t" and catalog.get_chunk(c, "zz").first() is None
     assert [r["content"] for r in catalog.first_store_wins(c, "chunk_id").collect()] == ["0"]
+
+
+def test_mean_pool():
+    import numpy as np
+
+    from quillspark.functions.embed import mean_pool
+
+    states = np.arange(12, dtype=np.float32).reshape(2, 3, 2)
+    assert mean_pool(states, np.array([[1, 1, 0], [0, 0, 0]], bool)).tolist() == [[1, 2], [0, 0]]
+
+
+def test_ranks_without_a_window_over_a_store(spark):
+    import random
+
+    rng = random.Random(0)
+    ids = rng.sample([f"{i:x}é" for i in range(5000)], 400) + ["", "é", "日本語の文", "日本語の本"]
+    hits = spark.createDataFrame([(c, k % 3) for k, c in enumerate(ids)], "chunk_id string, store_idx int")
+    wanted = {c: n for s in range(3) for n, c in enumerate(sorted(ids[s::3], key=str.encode), 1)}
+    assert {r["chunk_id"]: r["rn"] for r in search.ranked(hits).collect()} == wanted
+
+
+def test_search_stays_within_a_store(spark):
+    """With ``store_idx`` links don't lead into another store, and each hit is searched around in the first store that has it."""
+    c = chunks(spark, [("a", "s", "a.md", "", 1), ("a", "s", "a.md", "", 0), ("b", "s", "b.md", "", 1), ("c", "s", "c.md", "", 0), ("d", "t", "d.md", "", 1)])
+    e = spark.createDataFrame([("a", "b.md", 0), ("a", "b.md", 1), ("a", "c.md", 0), ("c", "/d", 0), ("d", "b.md", 1)], "src_chunk_id string, target_path string, store_idx int")
+    u = spark.createDataFrame([("/d", "d", 1)], "canonical_url string, chunk_id string, store_idx int")
+    assert [(r["chunk_id"], r["depth"]) for r in graph.around([("a", "s")], e, c, u, 3, ["a"]).collect()] == [("c", 1)]
