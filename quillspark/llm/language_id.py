@@ -10,7 +10,11 @@ is an aggregate over them, of which one number for each piece and language at mo
 Words, runs without white space of any length, are scored once where they are distinct; a worker keeps the scores of up to
 ``KEPT_WORDS`` of them, which changes time, not results. Texts are read whole.
 
-Defined results: a null text or one without letters is ``und`` with score 0; so is every text if nothing could be
+Beside the posterior, which is near one for any long text, stands how well the language fits at all: ``fit`` is the
+language's usual log-likelihood of a character (that of its training words) over the text's, 1 for a usual text and less
+for one in a language or an alphabet that was not learned, or of random letters.
+
+Defined results: a null text or one without letters is ``und`` with score and fit 0; so is every text if nothing could be
 learned; rows whose ``lang`` is null are predicted but not learned from; equal scores go to the language that sorts
 first; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
 """
@@ -44,11 +48,13 @@ class Model(NamedTuple):
     langs: list[str]
     #: A row for each piece (the last for characters without one), a column for each language.
     weight: np.ndarray
+    #: Of each language: the log-likelihood of a character of its training words.
+    usual: np.ndarray | None = None
 
 
 def _folded(texts: pa.Array) -> pa.Array:
-    """Lower case, with a space in front, so that first words are like others."""
-    return pc.binary_join_element_wise(pa.scalar(" "), pc.utf8_lower(pc.fill_null(texts, "")), "")
+    """Lower case, with one space for any white space and one in front, so that all words are alike wherever they stand."""
+    return pc.replace_substring_regex(pc.binary_join_element_wise(pa.scalar(" "), pc.utf8_lower(pc.fill_null(texts, "")), ""), r"\s+", " ")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +93,23 @@ def _expected(path: str, langs: list[str], weight: np.ndarray | None):
     return run
 
 
+def _likelihood(path: str, model: Model):
+    """For word counts: characters and log-likelihood by language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, column = vocabulary(path), pa.array(model.langs, pa.string())
+        for part in slices(batches, "word", ROUND_BYTES):
+            words = pc.binary_join_element_wise(pa.scalar(" "), part.column("word"), "")
+            lang, n = pc.index_in(part.column("lang"), column).to_numpy(), part.column("n").to_numpy()
+            for found in segments(*code_points(words)):
+                logs, k = Lattice(voc, found.points, found.starts).forward(model.weight)[0], lang[found.owner]
+                size = np.diff(found.starts)[found.which] * n[found.owner]
+                sums = np.bincount(k, logs[found.which, k] * n[found.owner], len(model.langs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(model.langs)), pa.int32()), pa.array(np.bincount(k, size, len(model.langs))), pa.array(sums)], names=["k", "chars", "log"])
+
+    return run
+
+
 def train(docs: DataFrame, path: str | None = None, most_docs: int = TRAIN_DOCS) -> Model:
     """Learn from ``docs(doc_id, text, lang)``; give it training documents only."""
     spark, path = docs.sparkSession, path or tokenizer_path("piece_bpe_32k.model")
@@ -112,8 +135,11 @@ def train(docs: DataFrame, path: str | None = None, most_docs: int = TRAIN_DOCS)
         pooled = used.sum(1, keepdims=True) / used.sum()
         weight = np.maximum((used + SMOOTH * pooled) / (used.sum(0) + SMOOTH), FLOOR)
         weight[voc.unknown] = FLOOR
+    model, usual = Model(langs, weight), np.zeros(len(langs))
+    sums = counts.mapInArrow(_likelihood(path, model), "k int, chars double, log double").groupBy("k").agg(*(F.sum(F.col(c).cast("decimal(28,6)")).cast("double").alias(c) for c in ("chars", "log"))).toArrow()
+    usual[sums.column("k").to_numpy()] = sums.column("log").to_numpy() / np.maximum(sums.column("chars").to_numpy(), 1)
     discard(counts)
-    return Model(langs, weight)
+    return model._replace(usual=usual)
 
 
 class Scorer:
@@ -135,14 +161,15 @@ class Scorer:
                 self.names, self.logs = names, logs
         return logs[np.searchsorted(names, found.name)]
 
-    def texts(self, texts: pa.Array) -> np.ndarray:
-        """A row for each text, a column for each language."""
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each text, a column for each language; and how many characters each text was scored by."""
         sums = np.zeros((len(texts), len(self.model.langs)))
-        for found in segments(*code_points(_folded(texts))):
+        points, counts = code_points(_folded(texts))
+        for found in segments(points, counts):
             logs = self._words(found)
             for k in range(sums.shape[1]):
                 sums[:, k] += np.bincount(found.owner, logs[found.which, k], len(texts))
-        return sums
+        return sums, counts
 
 
 def _score(path: str, model: Model, keep_text: bool):
@@ -151,27 +178,28 @@ def _score(path: str, model: Model, keep_text: bool):
         for part in slices(batches):
             text = pc.fill_null(part.column("text"), "")
             has = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
-            sums = scorer.texts(text)
+            sums, chars = scorer.texts(text)
             best = sums.argmax(1)
             share = np.exp(sums - sums.max(1, keepdims=True))
             score = np.where(has, 1 / share.sum(1), 0.0)
+            fit = np.where(has, model.usual[best] * chars / np.minimum(sums.max(1), -1e-9), 0.0)
             names = pa.array(model.langs, pa.string()).take(pa.array(best))
             lang = pc.if_else(pa.array(has), names, pa.scalar(UNKNOWN))
             rest = [c for c in part.schema.names if keep_text or c != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lang, pa.array(score)], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), lang, pa.array(score), pa.array(fit)], names=[*rest, "lang_pred", "score", "fit"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, path: str | None = None, keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (the posterior of the language, all equally likely before).
+    """``docs`` with ``lang_pred``, ``score`` (the posterior of the language, all equally likely before) and ``fit``.
 
-    ``text`` goes unless ``keep_text``; other columns of these two names are replaced.
+    ``text`` goes unless ``keep_text``; other columns of these three names are replaced.
     """
-    docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    schema = schema_with([f for f in docs.schema if keep_text or f.name != "text"], "lang_pred string, score double")
+    docs = docs.drop("lang_pred", "score", "fit").withColumn("text", F.col("text").cast("string"))
+    schema = schema_with([f for f in docs.schema if keep_text or f.name != "text"], "lang_pred string, score double, fit double")
     if not model.langs:
-        return (docs if keep_text else docs.drop("text")).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return (docs if keep_text else docs.drop("text")).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "fit": F.lit(0.0)})
     return docs.mapInArrow(_score(path or tokenizer_path("piece_bpe_32k.model"), model, keep_text), schema)
 
 
@@ -181,7 +209,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identified(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Learn from the documents that are not held out and predict all: ``(doc_id, held_out, lang_pred, score)``."""
+    """Learn from the documents that are not held out and predict all: ``(doc_id, held_out, lang_pred, score, fit)``."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     model = train(docs.where(~held_out()), path)
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model, path)

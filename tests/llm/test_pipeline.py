@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of each stage's decision on its own input."""
 
+import random
 import zlib
 
 import corpus_pipeline as pipeline
@@ -32,7 +33,8 @@ def test_stages(spark, tmp_path):
     assert all(i in tables[1] for i, g in gold.items() if g["quality"])
 
     told = rows(language_id.identified(frames[1]))
-    assert set(tables[2]) == {i for i, r in told.items() if r["lang_pred"] != "und" and r["score"] >= pipeline.LEAST_LANGUAGE_SCORE}
+    assert set(tables[2]) == {i for i, r in told.items() if r["lang_pred"] != "und" and r["score"] >= 0.5 and r["fit"] >= 1 / 3}
+    assert all(i in tables[2] for i, g in gold.items() if g["quality"])
 
     ids = sorted(tables[2])
     groups = components([shingles(tables[2][i]["text"]) for i in ids])
@@ -95,3 +97,15 @@ def test_clashing_columns_and_long_texts(spark):
     pieces = pipeline.STAGES[-1][1](spark, docs, SF).where("doc_id = 1000000").collect()
     text = next(r["text"] for r in rows if r["doc_id"] == 10**6)
     assert sum(r["length"] for r in pieces) == len(reference_ids([text])[0])
+
+
+def test_foreign_and_random_texts_go(spark):
+    """Texts in a language or alphabet that was not learned, and random letters, are rejected; clean ones stay."""
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    gibberish = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(60))
+    odd = ["Это предложение написано на русском языке и не похоже на другие тексты. " * 3, "这是一个用中文写的句子，与其他文本没有任何相似之处。" * 3, gibberish, "d41d8cd98f00b204e9800998ecf8427e " * 9]
+    rows = spark.createDataFrame([(10**6 + i, t, None, "x", len(t)) for i, t in enumerate(odd)], docs.schema)
+    kept = {r["doc_id"] for r in pipeline.known_language(spark, docs.unionByName(rows), SF).collect()}
+    gold = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    assert not kept & set(range(10**6, 10**6 + 4)) and gold <= kept
