@@ -269,7 +269,7 @@ def alike(x, y, least=50, share=0.8):
 
 
 def test_recall_of_passages(spark):
-    """Against brute force over all pairs: passages with 5 to 20 % of edits, evenly spread or at random, in two to twelve documents."""
+    """Against brute force over all pairs: passages with 5 to 12 % of edits, evenly spread or at random, in two to twelve documents."""
     rng = random.Random(12)
     docs = []
     for k in range(60):
