@@ -53,3 +53,9 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with one key, the last one in ``order``. A pre-aggregated maximum: no key's rows meet in one sort."""
     columns = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
+def vectors_of(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(chunk_id, embedding)`` of ``ids(chunk_id)``: those that are there and have one."""
+    found = chunks.where("embedding IS NOT NULL").select("chunk_id", "embedding")
+    return found.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")

@@ -204,9 +204,10 @@ def semantic_null_excluded(spark, sf_dir):
     return search.scored(v, V.query_vector(spark, sf_dir)).select("chunk_id", "distance")
 
 
-@query("SELECT chunk_id, unnest(range(len(e))) AS place, round(unnest(e), 4) AS value FROM v_vectors WHERE chunk_id = 'v11'")
+@query("SELECT chunk_id, unnest(range(len(e))) AS place, round(unnest(e), 4) AS value FROM v_vectors WHERE chunk_id IN ('v11', 'v12', 'v20', 'v29')")
 def vector_point_fetch(spark, sf_dir):
-    v = V.vectors(spark, sf_dir).where("chunk_id = 'v11'")
+    """Four ids, of which one has no vector, and one that is nowhere."""
+    v = catalog.vectors_of(V.vectors(spark, sf_dir), spark.createDataFrame([(f"v{i}",) for i in (11, 12, 20, 29)] + [("none",)], "chunk_id string"))
     each = v.select("chunk_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("place", "x"))
     return each.select("chunk_id", F.col("place").cast("long").alias("place"), F.round("x", 4).alias("value"))
 
