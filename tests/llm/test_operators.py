@@ -187,6 +187,18 @@ def test_chaining():
             c = chains[0]
             gaps = sum((b[0] - a[0]) + (b[1] - a[1]) for a, b in zip(c, c[1:], strict=False))
             assert math.isclose(10 * len(c) - 0.1 * gaps, best, abs_tol=1e-6)
+    def slow_equal(x, y):
+        row = [(j, 0) for j in range(len(y) + 1)]  # (distance, -equal)
+        for i, a in enumerate(x, 1):
+            last, row[0] = row[0], (i, 0)
+            for j, b in enumerate(y, 1):
+                step = (last[0], last[1] - 1) if a == b else (last[0] + 1, last[1])
+                last, row[j] = row[j], min(step, (row[j][0] + 1, row[j][1]), (row[j - 1][0] + 1, row[j - 1][1]))
+        return -row[-1][1]
+
+    for _ in range(500):
+        x, y = ([rng.randrange(5) for _ in range(rng.randrange(9))] for _ in range(2))
+        assert substring_dedup.equal_words(x, y) == slow_equal(x, y)
     assert substring_dedup.equal_words([1, 2, 3, 4], [1, 9, 3]) == 2 and substring_dedup.equal_words([], [1]) == 0
     assert substring_dedup.extend([1, 2, 9, 4, 5, 6], [1, 2, 3, 4, 5, 6]) == (6, 6, 5)
 
