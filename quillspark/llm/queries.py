@@ -99,5 +99,48 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_sampling, op2_suffix_array_dedup, op3_language_id, op4_substring_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints, op8_media_columns, op9_arrow_token_files, op10_quality_classifier)}
-ORACLES: dict[str, str] = {"op2_suffix_array_dedup": SQL_OP2, "op5_ngram_jaccard_join": SQL_OP5}
+def op11_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.fertility import fertility_rules
+
+    return fertility_rules(documents(spark, sf_dir))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded(spark)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(embeddings(spark, sf_dir))
+
+
+SQL_OP12 = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(CAST(c AS DOUBLE) * 256)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+  s.other_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id) <= 3
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.whitening import whitened_components
+
+    return whitened_components(embeddings(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece_sampling, op2_suffix_array_dedup, op3_language_id, op4_substring_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op7_simhash_fingerprints,
+        op8_media_columns, op9_arrow_token_files, op10_quality_classifier, op11_tokeniser_fertility, op12_hard_negatives, op13_embedding_whitening,
+    )
+}
+ORACLES: dict[str, str] = {"op2_suffix_array_dedup": SQL_OP2, "op5_ngram_jaccard_join": SQL_OP5, "op12_hard_negatives": SQL_OP12}
