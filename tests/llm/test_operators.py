@@ -236,6 +236,46 @@ def test_no_anchor_hides_a_pair(spark):
     assert set(got) == {(5, 4), (9, 8)} and (got[5, 4]["n_words"], got[5, 4]["share"], got[9, 8]["n_words"]) == (135, 1.0, 80)
 
 
+def test_many_holders_of_parts_hide_no_pair(spark):
+    """Two documents share a passage; each piece of it stands in eight more documents."""
+    rng = random.Random(21)
+    passage = fresh(rng, 135)
+    docs = [fresh(rng, 30) + passage + fresh(rng, 30) for _ in range(2)]
+    docs += [fresh(rng, 9) + passage[a : a + 12] + fresh(rng, 9) for a in range(0, 124, 6) for _ in range(8)]
+    rows = substring_dedup.shared_passages(frame(spark, [" ".join(d) for d in docs]), few=4).collect()
+    assert [(r["doc_id"], r["other_doc_id"], r["n_words"], r["class_id"]) for r in rows] == [(1, 0, 135, 0)]
+
+
+def test_recall_among_repeated_pieces(spark):
+    """Edited passages of two or three documents whose pieces of four to twenty words many other documents repeat."""
+    rng = random.Random(22)
+    docs = []
+    for k in range(12):
+        passage = fresh(rng, rng.randrange(70, 120))
+        for _ in range(2 + k % 2):
+            copy = list(passage)
+            for p in range(rng.randrange(9), len(copy), 14):
+                copy[p] = f"x{rng.randrange(10**9)}"
+            docs.append(fresh(rng, 20) + copy + fresh(rng, 20))
+        for _ in range(60):
+            a, n = rng.randrange(len(passage) - 20), rng.randrange(4, 20)
+            docs.append(fresh(rng, 5) + passage[a : a + n] + fresh(rng, 5))
+    words_of = [set(d) for d in docs]
+    wanted = [(j, i) for i in range(len(docs)) for j in range(i) if len(words_of[i] & words_of[j]) >= 40 and alike(docs[i], docs[j])]
+    rows = substring_dedup.shared_passages(frame(spark, [" ".join(d) for d in docs]), few=6).collect()
+    direct, classes = {(r["other_doc_id"], r["doc_id"]) for r in rows}, {r[c]: r["class_id"] for r in rows for c in ("doc_id", "other_doc_id")}
+    found = [p for p in wanted if p in direct or (p[0] in classes and classes[p[0]] == classes.get(p[1]))]
+    assert len(wanted) >= 15 and len(found) >= 0.9 * len(wanted), (len(found), len(wanted))
+
+
+def test_classes_are_components(spark):
+    rng = random.Random(23)
+    a, b = fresh(rng, 60), fresh(rng, 60)
+    docs = [a, a + fresh(rng, 9), b + fresh(rng, 5), a + b, fresh(rng, 90), b + fresh(rng, 7)]
+    rows = substring_dedup.shared_passages(frame(spark, [" ".join(d) for d in docs])).collect()
+    assert {r["class_id"] for r in rows} == {0} and {r[c] for r in rows for c in ("doc_id", "other_doc_id")} == {0, 1, 2, 3, 5}
+
+
 def reached(pairs, n):
     up = list(range(n))
 
