@@ -102,6 +102,43 @@ def test_jaccard(spark, seed):
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, components(sets), strict=True))}
 
 
+def near_misses(rng, number, size, changed):
+    """Texts that are alike, every two below 0.8."""
+    base = fresh(rng, size)
+    return [" ".join(f"v{rng.randrange(10**9)}" if rng.random() < changed else w for w in base) for _ in range(number)]
+
+
+def test_jaccard_forms_few_pairs_of_near_misses(spark, monkeypatch):
+    """Of texts that are alike but not enough, of any length, a few pairs each are verified, not all pairs."""
+    made, verified = [], jaccard_join._verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    rng = random.Random(31)
+    for number, size in ((40, 6000), (80, 6000), (500, 400)):
+        made.clear()
+        texts = near_misses(rng, number, size, 0.026 if size > 1000 else 0.03)
+        got = jaccard_join.jaccard_components(frame(spark, texts)).collect()
+        assert all(r["component_id"] == r["doc_id"] for r in got if size > 1000), size
+        assert sum(made[:-1]) <= jaccard_join.STARS * jaccard_join.PIVOTS * number and made[-1] <= 2 * number, (number, size, made)
+
+
+def test_jaccard_parts_of_long_texts(spark):
+    """Links of texts of many parts, on both sides of the threshold and of the bands."""
+    rng, texts = random.Random(32), []
+    for size in (250, 300, 1000, 1060, 4080, 4600):
+        base = fresh(rng, size)
+        for share in (0.0, 0.01, 0.018, 0.0215, 0.0225, 0.024, 0.03):
+            texts.append(" ".join(f"v{rng.randrange(10**9)}" if rng.random() < share else w for w in base))
+        texts += [" ".join(base + fresh(rng, size // 5)), " ".join(base + fresh(rng, size * 6 // 25)), " ".join(base + fresh(rng, size * 13 // 50))]
+    sets = [shingles(t) for t in texts]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(components(sets)))
+
+
 def test_jaccard_frequent_grams(spark, monkeypatch):
     """With most grams taken for frequent the result is the same."""
     monkeypatch.setattr(jaccard_join, "frequent_grams", lambda docs, words: np.unique(np.concatenate([jaccard_join.gram_sets(pa.array(corpus(2)[:50]))[1][::2]])))
