@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from contextlib import suppress
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the plan here, in the shared folder that the session names; local mode may do without and gets one of its own."""
-    context = df.sparkSession.sparkContext
+def _end(spark: SparkSession, path: str) -> None:
+    with suppress(Py4JError, OSError):  # the JVM may have gone before
+        if spark.sparkContext._jsc is not None:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of this application, which all executors share; local mode may do without and gets one of its own.
+
+    It goes when the driver ends.
+    """
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir", None)
         if not named and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quillspark-"))
+    own = context._jsc.sc().getCheckpointDir().get()
+    if own not in _KNOWN:
+        _KNOWN.add(own)
+        atexit.register(_end, spark, own)
+    return own.rstrip("/")
+
+
+_KNOWN: set[str] = set()
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new place in ``shared_dir``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the plan here, in the folder that all executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

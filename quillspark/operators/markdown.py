@@ -25,14 +25,10 @@ class Node(NamedTuple):
     extra: object = None
 
 
-#: Block quotes and lists, and images in images, that may stand in each other; more is an error of the document.
+#: Block quotes and lists, and images in images, that may stand in each other; what lies deeper is text.
 MOST_NESTED, MOST_IMAGES = 100, 6
 
 
-class ParseError(ValueError):
-    """A document that can't be parsed."""
-
-
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*([^\n]*)$")
 _ATX = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)")
 _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])([ \t]+|$)")
@@ -127,8 +123,8 @@ def inline(text: str, references: dict[str, str], links: list[Node], inside: int
 
     ``inside`` counts the labels around the text. The time is in proportion to its length.
     """
-    if inside > MOST_IMAGES:
-        raise ParseError("labels are nested too deeply")
+    if inside > MOST_IMAGES:  # what lies deeper is text
+        return text
     out, i, scan, angle = [], 0, _Scan(text), -1
     while i < len(text):
         m = _PLAIN_TEXT.match(text, i)
@@ -224,9 +220,6 @@ def _atx(line: str) -> tuple[int, str] | None:
 
 def _blocks(lines: list[str], references: dict[str, str], nodes: list[Node], paragraphs: bool = True, depth: int = 0) -> None:
     """Appends the nodes of ``lines``; without ``paragraphs`` plain text is dropped (but its links stay)."""
-    if depth > MOST_NESTED:
-        raise ParseError("blocks are nested too deeply")
-
     def text_node(kind: str, text: str, level: int | None = None) -> None:
         links: list[Node] = []
         shown = inline(text, references, links)
@@ -236,6 +229,12 @@ def _blocks(lines: list[str], references: dict[str, str], nodes: list[Node], par
         elif paragraphs and shown.strip():
             nodes.append(Node("paragraph", shown.strip()))
 
+    if depth > MOST_NESTED:  # what lies deeper is text
+        for line in lines:
+            if line.strip():
+                text_node("paragraph", line.strip())
+        return
+
     i, held = 0, []
 
     def flush() -> None:

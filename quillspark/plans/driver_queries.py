@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import exprs as E
+from quillspark.functions.session import shared_path
 from quillspark.operators import catalog, graph, search, sync, upsert
 from quillspark.operators.documents import parse, tables_of
 from quillspark.plans import views as V
+from quillspark.sources.document_files import opened, read_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -489,15 +492,54 @@ def delete_scoped_by_source(spark, sf_dir):
     return _left(upsert.delete_documents(_tables(spark, sf_dir), gone))
 
 
-# Parsing: no SQL form; tests hold it against worked examples.
+# Files
+
+
+def _written(root: str):
+    """Each document as a file of its own below ``root``."""
+
+    def run(batches):
+        for batch in batches:
+            system, top = opened(root)
+            for path, text in zip(batch.column("fs_rel").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                system.create_dir(f"{top}/{path.rpartition('/')[0]}", recursive=True)
+                with system.open_output_stream(f"{top}/{path}") as sink:
+                    sink.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["files"])
+
+    return run
+
+
+_FILE = "source||'/'||doc_id||CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.Markdown' WHEN 2 THEN '.pdf' ELSE '' END"
+
+
+@query(
+    f""", f AS (SELECT {_FILE} AS fs_rel, text FROM documents WHERE doc_id % 4 < 2)
+SELECT fs_rel, strlen(text)::BIGINT AS size, sha256(text) AS digest FROM f WHERE NOT regexp_matches(fs_rel, '^src1/') AND fs_rel > 'src0/3'"""
+)
+def document_files(spark, sf_dir):
+    """Documents written as files, and read again by format and glob through the source of files."""
+    root = shared_path(spark, "documents")
+    V.table(spark, sf_dir, "documents").select(F.expr(_FILE).alias("fs_rel"), "text").mapInArrow(_written(root), "files long").agg(F.sum("files")).first()
+    files = read_files(spark, root, formats=["md"], exclude=["src1/*"]).where("fs_rel > 'src0/3'")
+    return files.select("fs_rel", "size", F.sha2("raw", 256).alias("digest"))
+
+
+# Parsing
+
+_MARKS = r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])"
 
 
 def _markdown_files(spark, sf_dir):
-    """Each document as a Markdown file with frontmatter: a title, a section for each line, a link and a code block."""
+    """Each document as a Markdown file with frontmatter: a title, a section for each line, a link and a code block.
+
+    Marks in the text are escaped, so that what is parsed is the text.
+    """
     d = V.table(spark, sf_dir, "documents")
+    escaped = F.regexp_replace("text", _MARKS, r"\\$1")
     body = F.concat_ws(
         "\n\n", F.concat(F.lit("# Document "), F.col("doc_id")),
-        F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("## Part "), i, F.lit("\n\n"), line)), "\n\n"),
+        F.array_join(F.transform(F.split(escaped, "\n"), lambda line, i: F.concat(F.lit("## Part "), i, F.lit("\n\n"), line)), "\n\n"),
         F.concat(F.lit("See [next](doc"), F.col("doc_id") + 1, F.lit(".md#top).\n\n```text\n"), F.col("lang"), F.lit("\n```")),
     )
     front = F.concat(F.lit("---\ntitle: Document "), F.col("doc_id"), F.lit("\nsource: "), F.col("source"), F.lit("\ningested_at: 2026-01-01\ndoc_type: page\nsource_path: doc"), F.col("doc_id"), F.lit(".md\n---\n"))
@@ -511,9 +553,25 @@ def _parsed(table: str):
     return run
 
 
-query(None, "markdown_chunks")(lambda spark, sf_dir: _parsed("chunks")(spark, sf_dir).drop("embedding", "title"))
-query(None, "markdown_links")(_parsed("edges"))
-query(None, "code_snippets")(_parsed("code"))
+#: The same chunks by what the files hold: a title, a section for each line, and in the last one a link, its paragraph and a block of code.
+_SECTIONS = """, md_lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM documents),
+md_parts AS (SELECT doc_id, source, -1 AS i, '# Document '||doc_id AS content FROM documents UNION ALL
+  SELECT doc_id, source, i, '## Part '||i||CASE WHEN trim(line, ' ') = '' THEN '' ELSE chr(10)||trim(line, ' ') END||CASE WHEN i = n - 1
+    THEN chr(10)||'[next](doc'||(doc_id + 1)||'.md#top)'||chr(10)||'See next.'||chr(10)||'```text'||chr(10)||lang||chr(10)||'```' ELSE '' END FROM md_lines),
+md_chunks AS (SELECT *, 'doc'||doc_id||'.md' AS path, sha256(concat_ws(chr(0), content, source, 'doc'||doc_id||'.md')) AS chunk_id FROM md_parts),
+md_last AS (SELECT c.*, d.lang FROM md_chunks c JOIN documents d ON d.doc_id = c.doc_id WHERE c.content LIKE '%```')"""
+
+query(
+    _SECTIONS
+    + """ SELECT chunk_id, source AS source_id, path, (i + 1)::BIGINT AS position,
+  coalesce(sum(strlen(content) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_offset,
+  CASE WHEN i < 0 THEN 'Document '||doc_id ELSE 'Document '||doc_id||' > Part '||i END AS headings, content FROM md_chunks""",
+    "markdown_chunks",
+)(lambda spark, sf_dir: _parsed("chunks")(spark, sf_dir).withColumn("headings", F.array_join("heading_hierarchy", " > ")).drop("embedding", "title", "heading_hierarchy"))
+query(_SECTIONS + " SELECT chunk_id AS src_chunk_id, 'doc'||(doc_id + 1)||'.md' AS target_path, 'next' AS link_text, 'top' AS anchor FROM md_last", "markdown_links")(_parsed("edges"))
+query(
+    _SECTIONS + " SELECT sha256(concat_ws(chr(0), chunk_id, 'text', lang, 'code-snippet', chunk_id)) AS snippet_id, chunk_id, 'text' AS language, lang AS content FROM md_last", "code_snippets"
+)(_parsed("code"))
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AS ok, CASE WHEN doc_id % 2 = 1 THEN 'doc_type' END AS error_field FROM documents")

@@ -192,7 +192,7 @@ def _incremental_sync(store: Store, source: Source, embedder: Embedder | None) -
         metrics.duration_ms = max(1, int(1000 * (time.time() - began)))
         return metrics
     changed = files.join(diff.where("change IN ('added', 'modified')").select(*FILE), FILE, "left_semi")
-    parsed = checkpoint(parse(contents(changed)))
+    parsed = checkpoint(parse(contents(changed, metrics.added + metrics.modified)))
     named = parsed.where("path IS NOT NULL").select(*FILE, "path")
     if store.outdated(source.id) and not sync.duplicate_paths(named).isEmpty():
         raise SyncError("the store can't be rebuilt: a source_path is used by several files")

@@ -1,6 +1,6 @@
-"""Directories of documents as DataFrames: names and times, then contents.
+"""Directories of documents as DataFrames: names and times, then contents, through the ``document_files`` source.
 
-Walks are spread over tasks by the first level of folders. Symbolic links are not followed, and hidden names count.
+A source's folder is a local path or a URI. Symbolic links are not followed, and hidden names count.
 """
 
 from __future__ import annotations
@@ -10,68 +10,57 @@ from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.errors import PathError, SyncError
-from quillspark.functions.exprs import allowed_format, passes_globs
+from quillspark.sources.document_files import opened, read_files
+
+
+#: Files that one task reads, where they are dealt out by number.
+PER_TASK = 500
 
 
 def contained(path: str, root: str) -> str:
-    """The real path, if it lies in ``root``."""
+    """The real path, if it lies in ``root``; URIs are compared as they are."""
+    if "://" in path or "://" in root:
+        inside = os.path.normpath(path.partition("://")[2]) + "/"
+        if path.partition("://")[0] != root.partition("://")[0] or not inside.startswith(os.path.normpath(root.partition("://")[2]).rstrip("/") + "/"):
+            raise PathError(f"{path} is outside {root}")
+        return path
     real = Path(path).resolve()
     if not real.is_relative_to(Path(root).resolve()):
         raise PathError(f"{path} is outside {root}")
     return str(real)
 
 
-def walk(root: str, below: str) -> list[tuple[str, int]]:
-    """(path from ``root`` with forward slashes, mtime in whole seconds) of all regular files below; any error is one."""
-    found = []
-
-    def failed(e: OSError):
-        raise e
-
-    for folder, folders, names in os.walk(os.path.join(root, below), followlinks=False, onerror=failed):
-        folders.sort()
-        for name in sorted(names):
-            full = os.path.join(folder, name)
-            if os.path.isfile(full) and not os.path.islink(full):
-                found.append((os.path.relpath(full, root).replace(os.sep, "/"), int(os.stat(full).st_mtime)))
-    return found
-
-
-def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for source, root, below in zip(batch["source_id"], batch["root"], batch["below"], strict=True):
-            rows = walk(root, below)
-            yield pd.DataFrame({"source_id": source, "root": root, "fs_rel": [r[0] for r in rows], "mtime": [r[1] for r in rows]})
-
-
 def list_files(
     spark: SparkSession, source_id: str, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), formats: Sequence[str] = (), ignored: Sequence[str] = ()
 ) -> DataFrame:
     """``(source_id, root, fs_rel, mtime)`` of a source's files that pass its globs and formats."""
-    if not os.path.isdir(root):
+    system, top = opened(root)
+    if system.get_file_info(top).type != fs.FileType.Directory:
         raise SyncError(f"source {source_id}: {root} is not a directory")
-    skipped = {os.path.abspath(p) for p in ignored}
-    top = sorted(e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and os.path.abspath(e.path) not in skipped)
-    own = [(source_id, root, e.name, int(e.stat().st_mtime)) for e in os.scandir(root) if e.is_file(follow_symlinks=False)]
-    files = spark.createDataFrame(own, "source_id string, root string, fs_rel string, mtime long")
-    if top:
-        tasks = spark.createDataFrame([(source_id, root, t) for t in top], "source_id string, root string, below string")
-        files = files.unionByName(tasks.repartition(len(top)).mapInPandas(_walked, files.schema))
-    return files.where(passes_globs(F.col("fs_rel"), include, exclude) & allowed_format(F.col("fs_rel"), formats))
+    files = read_files(spark, root, contents=False, include=include, exclude=exclude, formats=formats, ignored=[opened(p)[1] for p in ignored])
+    return files.select(F.lit(source_id).alias("source_id"), F.lit(root).alias("root"), "fs_rel", "mtime")
 
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for i in range(len(batch)):  # one file at a time
             row = batch.iloc[i : i + 1]
-            yield row.assign(raw=[Path(row["root"].iloc[0], row["fs_rel"].iloc[0]).read_bytes()])
+            system, top = opened(row["root"].iloc[0])
+            with system.open_input_stream(f"{top.rstrip('/')}/{row['fs_rel'].iloc[0]}") as stream:
+                yield row.assign(raw=[stream.read()])
+
 
+def contents(files: DataFrame, number: int | None = None) -> DataFrame:
+    """``files`` with the bytes of each as ``raw``, read where they are parsed.
 
-def contents(files: DataFrame) -> DataFrame:
-    """``files`` with the bytes of each as ``raw``, read where they are parsed."""
+    ``number``, if told, is how many there are: they are then dealt out anew, which rows that come from a join need.
+    """
+    if number is not None:
+        files = files.repartition(-(-max(number, 1) // PER_TASK))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
     return files.mapInPandas(_contents, f"{kept}, raw binary")

@@ -102,7 +102,7 @@ def test_hostile_texts_take_linear_time(name):
         began = time.process_time()
         row = parse_file(text[:size].encode(), "s", "f")
         took.append(time.process_time() - began)
-    assert row["path"] == "a/b.md" and (row["error"] is None or row["error"].startswith("not parsed: ParseError")) and took[1] < 25 * max(took[0], 0.2)
+    assert row["path"] == "a/b.md" and row["error"] is None and took[1] < 40 * max(took[0], 0.2)
 
 
 def test_any_fault_costs_its_file_only(spark):
@@ -117,3 +117,11 @@ def test_permissive(spark):
     files = spark.createDataFrame([("s", "x/y.md", bytearray(b"# First\n\ntext")), ("s", "z.md", bytearray(b"---\ntitle: T\n---\n# A"))], "source_id string, fs_rel string, raw binary")
     rows = {r["path"]: r for r in parse(files, contract=False).collect()}
     assert {p: (r["title"], r["error"], len(r["chunks"])) for p, r in rows.items()} == {"x/y.md": ("First", None, 1), "z.md": ("T", None, 1)}
+
+
+def test_what_is_nested_too_deeply_is_text():
+    deep = "".join("> " * 150 + f"line {k} [a](x.md)\n" for k in range(3))
+    chunks, links, _, _ = parse_body("# T\n\n" + deep + "\n\nafter", "s", "p.md")
+    assert "line 0 a" in chunks[0]["content"].replace("> ", "") and chunks[0]["content"].endswith("after") and len(links) == 3
+    images = "![a" * 9 + "](x)" * 9
+    assert "a" in parse_body(images, "s", "p.md")[0][0]["content"]
