@@ -237,7 +237,7 @@ def test_chaining():
         x, y = ([rng.randrange(5) for _ in range(rng.randrange(9))] for _ in range(2))
         assert substring_dedup.equal_words(x, y) == slow_equal(x, y)
     assert substring_dedup.equal_words([1, 2, 3, 4], [1, 9, 3]) == 2 and substring_dedup.equal_words([], [1]) == 0
-    assert substring_dedup.extend([1, 2, 9, 4, 5, 6], [1, 2, 3, 4, 5, 6]) == (6, 6, 5)
+    assert substring_dedup.extend(np.array([1, 2, 9, 4, 5, 6]), np.array([1, 2, 3, 4, 5, 6])) == (6, 6, 5)
 
 
 def test_passages(spark):
