@@ -28,6 +28,12 @@ def put_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(given, "chunk_id", "left").withColumn("embedding", F.coalesce("_new", "embedding")).select(*chunks.columns)
 
 
+def put_attempts(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row ``(attempted, stored)``: how many vectors were given, and how many of them have a chunk."""
+    known = chunks.select("chunk_id").distinct().withColumn("_has", F.lit(True))
+    return vectors.join(known, "chunk_id", "left").agg(F.count("*").alias("attempted"), F.count("_has").alias("stored"))
+
+
 def null_vectors(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """Chunks of ``ids(chunk_id)`` lose their embedding."""
     gone = ids.select("chunk_id").distinct().withColumn("_gone", F.lit(True))
@@ -35,11 +41,15 @@ def null_vectors(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(gone, "chunk_id", "left").withColumn("embedding", none).select(*chunks.columns)
 
 
+def chunks_of_documents(chunks: DataFrame, gone: DataFrame) -> DataFrame:
+    """``(chunk_id)`` of the chunks at ``gone(path)`` or ``gone(source_id, path)``: what ``delete_documents`` deletes."""
+    keys = [c for c in ("source_id", "path") if c in gone.columns]
+    return chunks.join(gone.select(*keys).distinct(), keys, "left_semi").select("chunk_id").distinct()
+
+
 def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """``tables`` without the chunks at ``gone(path)`` or ``gone(source_id, path)`` and what depends on them."""
-    keys = [c for c in ("source_id", "path") if c in gone.columns]
-    ids = tables["chunks"].join(gone.select(*keys).distinct(), keys, "left_semi").select("chunk_id").distinct()
-    return delete_chunks(tables, ids)
+    return delete_chunks(tables, chunks_of_documents(tables["chunks"], gone))
 
 
 def delete_chunks(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -6,14 +6,17 @@ import os
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from pathlib import Path, PurePosixPath
+from typing import NamedTuple
 
 import yaml
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.errors import ConfigError
+from quillspark.errors import ConfigError, PathError
 from quillspark.functions.exprs import glob_regex
-from quillspark.sources.listing import list_files
+from quillspark.sources.document_files import opened
+from quillspark.sources.listing import contained, list_files
 
 FORMATS = ("md", "markdown")
 _KEYS = {"local": {"type", "id", "path", "include", "exclude", "formats", "database"}, "database": {"type", "id", "path"}}
@@ -97,6 +100,48 @@ def problems_of(sources: Sequence[Source]) -> list[str]:
     return out
 
 
+class Problem(NamedTuple):
+    source_id: str
+    field: str
+    message: str
+
+
+class Report(NamedTuple):
+    """Everything that is wrong with the sources of a run, and how many sources have nothing wrong."""
+
+    problems: list[Problem]
+    valid: int
+    total: int
+
+    @property
+    def is_valid(self) -> bool:
+        return not self.problems
+
+
+def report(sources: Sequence[Source], allowed_root: str) -> Report:
+    """All problems of all local sources in one pass: directories, globs, formats. Served stores have none of these."""
+    found = []
+    for s in sources:
+        if not s.ingestible:
+            continue
+        try:
+            system, path = opened(s.path)
+            if system.get_file_info(path).type == fs.FileType.NotFound:
+                found.append(Problem(s.id, "path", f"path does not exist: {s.path!r}"))
+            else:
+                contained(s.path, allowed_root)
+        except (PathError, OSError, ValueError) as e:
+            found.append(Problem(s.id, "path", str(e)))
+        for field in ("include", "exclude"):
+            for glob in getattr(s, field):
+                try:
+                    glob_regex(glob)
+                except ValueError as e:
+                    found.append(Problem(s.id, field, str(e)))
+        found += [Problem(s.id, "formats", f"unknown format {f!r}") for f in s.formats if f.lower() not in FORMATS]
+    return Report(found, len(sources) - len({p.source_id for p in found}), len(sources))
+
+
 def normal(path: str) -> str:
     return os.path.normpath(path.replace("\\", "/")).replace(os.sep, "/")
 

@@ -13,6 +13,8 @@ import os
 import time
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,27 @@ from quillspark.sources.files import Files
 
 WHOLE = ("sources", "urls")
 STALE_SECONDS = 3600
-_POINTER, _LOCK = "_current", "_lock"
+_POINTER, _LOCK, _STATE = "_current", "_lock", "_state"
+#: Columns of tables by which single rows are looked up: Parquet keeps a Bloom filter of them for each row group.
+LOOKED_UP = {"chunks": ("chunk_id",), "edges": ("src_chunk_id",), "code": ("chunk_id",), "urls": ("canonical_url", "chunk_id")}
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, writable: bool = True):
         self.spark, self.path, self.writable, self.files = spark, path.rstrip("/"), writable, Files(spark)
         self.held: Lock | None = None
-        if not self.reload() and not writable:
-            raise StoreError(f"no store at {path}")
+        self.damaged = False
+        if not self._opened() and not writable:
+            raise StoreError(f"no store at {path}, or none that can be read")
+
+    def _opened(self) -> bool:
+        """As ``reload``; a pointer that can't be read leaves the store damaged: it is empty, and takes nothing but a repair."""
+        try:
+            self.damaged = False
+            return self.reload()
+        except (ValueError, KeyError, Py4JError):
+            self.damaged, self.state = True, {"version": 0, "schema": SCHEMA_VERSION, "tables": {}, "old": {}}
+            return False
 
     def _current(self) -> dict | None:
         at = f"{self.path}/{_POINTER}"
@@ -60,6 +74,8 @@ class Store:
 
     def read(self, table: str, source_id: str | None = None) -> DataFrame:
         """A table, or what one source has of it; empty where nothing was written."""
+        if self.damaged:
+            raise StoreError("the store's pointer can't be read: repair it")
         if self.needs_rebuild:
             raise SchemaError(f"the store has layout {self.schema_version}; sync it to rebuild it as {SCHEMA_VERSION}")
         return self._read(table, source_id)
@@ -81,6 +97,8 @@ class Store:
             raise StoreError("the store was opened for reading")
         if self.held is None:
             raise LockError("a commit needs the store's lock")
+        if self.damaged:
+            raise StoreError("the store's pointer can't be read: repair it")
         version = self.state["version"] + 1
         folder = f"v{version}-{uuid.uuid4().hex[:12]}"  # a name of its own: no commit can write over another's tables
         tables = {t: dict(p) for t, p in self.state["tables"].items()}
@@ -89,7 +107,10 @@ class Store:
             ordered = rows.select(*TABLES[table].names)
             if table == "chunks":  # documents side by side, so that a path is found by row group statistics
                 ordered = ordered.repartitionByRange("path", "chunk_id").sortWithinPartitions("path", "position")
-            ordered.write.parquet(f"{self.path}/{place}")
+            write = ordered.write
+            for column in LOOKED_UP.get(table, ()):  # ids have no order, so that statistics can't tell where one is
+                write = write.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            write.parquet(f"{self.path}/{place}")
             tables.setdefault(table, {})[source] = place
         done = {source for _, source in parts}
         old = {s: layout for s, layout in self.state["old"].items() if s not in done}
@@ -97,9 +118,75 @@ class Store:
             self.files.delete(f"{self.path}/{folder}")
             raise LockError("another process has committed in between; nothing was changed")
         self.state = {"version": version, "schema": SCHEMA_VERSION, "tables": tables, "old": old}
+        self.files.replace(f"{self.path}/{folder}/{_STATE}", json.dumps(self.state))
         self.files.replace(f"{self.path}/{_POINTER}", json.dumps(self.state))
         return version
 
+    def problems(self) -> list[str]:
+        """What is wrong with what lies on disk: an unreadable pointer, tables that are gone, torn or unreadable, left-over folders."""
+        try:
+            found = self._current()
+        except (ValueError, Py4JError):
+            return ["the pointer can't be read"]
+        out = [] if found is None else self._broken(found)
+        used = {p.split("/")[0] for t in (found or {"tables": {}})["tables"].values() for p in t.values()}
+        for folder in self.files.folders(self.path):
+            name = folder.rsplit("/", 1)[-1]
+            if name[:1] == "v" and name not in used and not self.files.exists(f"{folder}/{_STATE}"):
+                out.append(f"{name} is of a commit that never ended")
+        return out
+
+    def _broken(self, state: dict) -> list[str]:
+        out = []
+        for table, parts in state["tables"].items():
+            for place in parts.values():
+                at = f"{self.path}/{place}"
+                if not self.files.exists(at):
+                    out.append(f"{place} is gone")
+                elif not self.files.exists(f"{at}/_SUCCESS"):
+                    out.append(f"{place} was not written to the end")
+                else:
+                    try:  # footers of all its files
+                        have = self.spark.read.option("mergeSchema", "true").parquet(at).columns
+                        if not set(TABLES[table].names) <= set(have):
+                            out.append(f"{place} lacks columns")
+                    except (AnalysisException, Py4JError, SparkRuntimeException) as e:
+                        if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                            out.append(f"{place} can't be read")
+        return out
+
+    def repair(self) -> list[str]:
+        """Mend what can be: point to the last commit that is whole, and delete what commits that never ended left. Needs the lock.
+
+        Returns what was done; a store that has no whole commit is empty afterwards, and its next sync loads everything.
+        """
+        if self.held is None:
+            raise LockError("a repair needs the store's lock")
+        done = []
+        try:
+            found = self._current()
+        except (ValueError, Py4JError):
+            found = None
+        if self.problems() and (found is None or self._broken(found)):
+            states = []
+            for folder in self.files.folders(self.path):
+                try:
+                    states.append(json.loads(self.files.read(f"{folder}/{_STATE}")))
+                except (ValueError, Py4JError):
+                    continue
+            whole = next((s for s in sorted(states, key=lambda s: -s["version"]) if not self._broken(s)), None)
+            last = max([s["version"] for s in states], default=0)
+            kept = whole or {"schema": SCHEMA_VERSION, "tables": {}, "old": {}}
+            self.files.replace(f"{self.path}/{_POINTER}", json.dumps(kept | {"version": last + 1}))
+            done.append(f"version {whole['version']} is current again" if whole else "nothing whole was found: the store is empty")
+            self._opened()
+        for folder in self.files.folders(self.path):
+            name = folder.rsplit("/", 1)[-1]
+            if name[:1] == "v" and not self.files.exists(f"{folder}/{_STATE}") and name not in {p.split("/")[0] for t in self.state["tables"].values() for p in t.values()}:
+                self.files.delete(folder)
+                done.append(f"{name} is deleted")
+        return done
+
     def vacuum(self, keep: int = 2) -> None:
         """Delete versions that no current table is in, but for the latest ``keep``."""
         used = {p.split("/")[0] for t in self.state["tables"].values() for p in t.values()}
@@ -139,7 +226,7 @@ class Lock:
             self.files.delete(self.path)
             if not self.files.create(self.path, self.text):
                 raise LockError("another process took the lock over")
-        self.store.reload()
+        self.store._opened()
         self.store.held = self
         return self
 
