@@ -8,7 +8,8 @@ import uuid
 from contextlib import suppress
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def _end(spark: SparkSession, path: str) -> None:
@@ -53,3 +54,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the plan here, in the folder that all executors share."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``checkpoint`` and how many rows there are: the job that writes them counts them."""
+    seen = Observation()
+    cut = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return cut, seen.get["rows"]

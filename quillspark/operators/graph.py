@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.session import checkpoint
+from quillspark.functions.session import checkpoint, counted
 from quillspark.operators.search import clamp
 
 DEPTH, MOST_DEPTH = 2, 5
@@ -48,18 +48,17 @@ def bfs(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, urls: DataFrame,
 
     The seed itself is left out; each chunk is found once for each seed, at its least depth; ``cross_source`` tells that
     its source is not the seed's. With ``within`` (``store_idx``) all four tables have these columns, and so has the
-    result: chunks of different values are apart. A level is counted when it is cut, and broadcast while it is small.
+    result: chunks of different values are apart. A level is counted by the job that cuts it, and broadcast while it is small.
     """
-    seen = checkpoint(seeds.select("seed", F.col("seed").alias("chunk_id"), "source_id", F.lit(None).cast("string").alias("path"), F.lit(0).alias("depth"), *within))
-    frontier, number = seen, seen.count()
+    seen, number = counted(seeds.select("seed", F.col("seed").alias("chunk_id"), "source_id", F.lit(None).cast("string").alias("path"), F.lit(0).alias("depth"), *within))
+    frontier = seen
     for level in range(1, depth + 1):
         start = frontier.select("seed", F.col("chunk_id").alias("src_chunk_id"), "source_id", *within)
-        out = checkpoint(edges.select("src_chunk_id", "target_path", *within).join(_sent(start, number), ["src_chunk_id", *within]))
-        found = resolve(_sent(out, out.count()), chunks, urls, within)
+        out, links = counted(edges.select("src_chunk_id", "target_path", *within).join(_sent(start, number), ["src_chunk_id", *within]))
+        found = resolve(_sent(out, links), chunks, urls, within)
         found = found.select("seed", F.col("to_chunk_id").alias("chunk_id"), F.col("to_source_id").alias("source_id"), F.col("to_path").alias("path"), *within)
         fresh = found.distinct().join(seen.select("seed", "chunk_id", *within), ["seed", "chunk_id", *within], "left_anti")
-        frontier = checkpoint(fresh.withColumn("depth", F.lit(level)))
-        number = frontier.count()
+        frontier, number = counted(fresh.withColumn("depth", F.lit(level)))
         if not number:
             break
         seen = seen.unionByName(frontier)

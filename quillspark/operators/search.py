@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.exprs import cosine_distance, includes
+from quillspark.functions.session import checkpoint
 
 TOP_K, MOST = 10, 50
 
@@ -76,13 +77,35 @@ def round_robin(hits: DataFrame, order: Sequence[str] = ("chunk_id",), limit: in
     return merged.orderBy("rn", "store_idx").limit(limit) if limit is not None else merged
 
 
+def first_of_source(hits: DataFrame, source_id: str, k: int) -> DataFrame:
+    """The first ``k`` hits of a source in the merged list of all hits, with their places in it.
+
+    Only the first ``k`` of the source in each store can be among them, and only their places are told: hits are counted by
+    stretch, and within the stretches of those few they are held against them. Nothing is ordered but those few.
+    """
+    keys = checkpoint(hits.select("chunk_id", "source_id", "store_idx", F.substring("chunk_id", 1, STRETCH).alias("_stretch")))
+    place = F.row_number().over(Window.partitionBy("store_idx").orderBy("chunk_id"))
+    few = checkpoint(keys.where(F.col("source_id") == source_id).distinct().withColumn("_place", place).where(F.col("_place") <= k).drop("_place", "source_id"))
+    counts = keys.groupBy("store_idx", "_stretch").count()
+    before = F.sum("count").over(Window.partitionBy("store_idx").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("store_idx", "_stretch", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.broadcast(few)  # k rows a store
+    inside = keys.select(F.col("chunk_id").alias("_other"), "store_idx", "_stretch").join(own, ["store_idx", "_stretch"]).where("_other <= chunk_id")
+    inside = inside.groupBy("store_idx", "_stretch", "chunk_id").agg((F.count_if(F.col("_other") < F.col("chunk_id")) + 1).alias("_inside"))
+    places = inside.join(counts, ["store_idx", "_stretch"]).select("store_idx", "chunk_id", (F.col("_before") + F.col("_inside")).cast("int").alias("rn"))
+    first = F.row_number().over(Window.partitionBy("chunk_id").orderBy("rn", "store_idx"))
+    chosen = places.withColumn("_turn", first).where("_turn = 1").drop("_turn").orderBy("rn", "store_idx").limit(k)
+    rows = hits.where(F.col("source_id") == source_id).join(F.broadcast(chosen), ["store_idx", "chunk_id"])
+    return rows.dropDuplicates(["store_idx", "chunk_id"]).orderBy("rn", "store_idx")
+
+
 def search_text(chunks: DataFrame, query: str, source_id: str | None = None, top_k: int = TOP_K) -> DataFrame:
     """Keyword search. The source filter acts on the merged list: places in it are those of all sources."""
     k, source = clamp(top_k), (source_id or "").strip()
     hits = keyword_hits(chunks, query)
     if not source:
         return round_robin(hits, limit=k)
-    return round_robin(hits).where(F.col("source_id") == source).orderBy("rn", "store_idx").limit(k)
+    return first_of_source(hits, source, k)
 
 
 def search_semantic(chunks: DataFrame, vector: Sequence[float], top_k: int = TOP_K) -> DataFrame:

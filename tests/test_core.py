@@ -111,3 +111,21 @@ def test_search_stays_within_a_store(spark):
     e = spark.createDataFrame([("a", "b.md", 0), ("a", "b.md", 1), ("a", "c.md", 0), ("c", "/d", 0), ("d", "b.md", 1)], "src_chunk_id string, target_path string, store_idx int")
     u = spark.createDataFrame([("/d", "d", 1)], "canonical_url string, chunk_id string, store_idx int")
     assert [(r["chunk_id"], r["depth"]) for r in graph.around([("a", "s")], e, c, u, 3, ["a"]).collect()] == [("c", 1)]
+
+
+def test_first_of_a_source_is_that_of_the_merged_list(spark):
+    """Also with chunks that several stores have, and with rows that are there twice."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"{rng.randrange(400):03x}", f"s{rng.randrange(3)}", rng.randrange(3), "x") for _ in range(500)]
+    rows = [(c, f"s{int(c, 16) % 3}", i, x) for c, _, i, x in rows] + [("00f", "s0", 0, "x")] * 2
+    hits = spark.createDataFrame(rows, "chunk_id string, source_id string, store_idx int, content string")
+    for k in (1, 7, 50):
+        places = {}
+        for i in range(3):
+            for rn, c in enumerate(sorted(r[0] for r in rows if r[2] == i), 1):
+                places.setdefault(c, []).append((rn, i))
+        order = sorted((min(p), c) for c, p in places.items() if int(c, 16) % 3 == 1)[:k]
+        found = [(r["rn"], r["store_idx"], r["chunk_id"]) for r in search.first_of_source(hits, "s1", k).collect()]
+        assert found == [(*p, c) for p, c in order]
