@@ -59,3 +59,8 @@ def vectors_of(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """``(chunk_id, embedding)`` of ``ids(chunk_id)``: those that are there and have one."""
     found = chunks.where("embedding IS NOT NULL").select("chunk_id", "embedding")
     return found.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
+def paths_of_several_sources(chunks: DataFrame) -> DataFrame:
+    """``(path, n_sources)`` of documents whose path more than one source has taken in."""
+    return chunks.groupBy("path").agg(F.count_distinct("source_id").alias("n_sources")).where("n_sources > 1")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import yaml
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values of the contract.
 REQUIRED = ("title", "source", "ingested_at", "doc_type")
@@ -114,3 +118,21 @@ def validate(front: str | None, body: str) -> Front:
         given["title"], given["source"], given["ingested_at"], given["doc_type"], path, given.get("description") or "", digest,
         given.get("chunk_strategy") or DEFAULT_STRATEGY, version, url,
     )
+
+
+def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = []
+        for raw in batch["raw"]:
+            try:
+                found.append((source_path(raw), None))
+            except ContractError as e:
+                found.append((None, str(e).split(":", 1)[0].removeprefix("source_path ")))
+        yield batch.assign(path=[f[0] for f in found], problem=[f[1] for f in found])
+
+
+def checked_paths(paths: DataFrame, column: str) -> DataFrame:
+    """``paths`` with ``raw`` (the column), the ``path`` that a document with it gets, or the ``problem`` for which it is refused."""
+    rows = paths.withColumn("raw", F.col(column))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(_checked, f"{kept}, path string, problem string")

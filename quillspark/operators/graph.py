@@ -39,6 +39,16 @@ def resolve(edges: DataFrame, chunks: DataFrame, urls: DataFrame, within: Sequen
     return near.select(*columns).unionByName(far.select(*columns))
 
 
+def edges_of(edges: DataFrame, chunk_id: str) -> DataFrame:
+    """The links of one chunk; stores keep a Bloom filter for it."""
+    return edges.where(F.col("src_chunk_id") == chunk_id)
+
+
+def dangling(edges: DataFrame, urls: DataFrame) -> DataFrame:
+    """Links whose target is no canonical URL."""
+    return edges.join(urls.select(F.col("canonical_url").alias("target_path")).distinct(), "target_path", "left_anti").select(*edges.columns)
+
+
 def _sent(rows: DataFrame, number: int) -> DataFrame:
     return F.broadcast(rows) if number <= BROADCAST_ROWS else rows
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import exprs as E
 from quillspark.functions.session import shared_path
 from quillspark.operators import catalog, graph, search, sync, upsert
+from quillspark.operators.contract import checked_paths
 from quillspark.operators.documents import parse, tables_of
 from quillspark.plans import views as V
 from quillspark.sources.document_files import opened, read_files
@@ -102,6 +103,19 @@ def contract_path_check(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", E.normal_path(raw).alias("path"), E.path_problem(raw).alias("problem"))
 
 
+@query(
+    f""", p AS (SELECT doc_id, replace({_PATH}, '\\', '/') AS p FROM documents),
+c AS (SELECT doc_id, p, CASE WHEN p = '' THEN 'is required' WHEN p LIKE '/%' THEN 'must be relative' WHEN regexp_matches(p, '^[A-Za-z]:') THEN 'must not name a drive'
+ WHEN list_contains(string_split(p, '/'), '.') OR list_contains(string_split(p, '/'), '..') THEN 'must not have ''.'' or ''..'' segments'
+ WHEN list_contains(string_split(p, '/'), '') THEN 'must not have empty segments' END AS problem FROM p)
+SELECT doc_id, CASE WHEN problem IS NULL THEN p END AS path, problem FROM c"""
+)
+def contract_source_path(spark, sf_dir):
+    """The check that ingestion makes of each document's own path."""
+    raw = V.table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATH.replace("\\", "\\\\")).alias("given"))
+    return checked_paths(raw, "given").select("doc_id", "path", "problem")
+
+
 @query("SELECT chunk_id, path FROM v_chunks WHERE regexp_matches(path, '^(en/.*|.*/[0-3].md)$') AND NOT regexp_matches(path, '^.*5.md$')")
 def glob_filter(spark, sf_dir):
     return V.chunks(spark, sf_dir).select("chunk_id", "path").where(E.passes_globs(F.col("path"), ["en/*", "*/[0-3].md"], ["*5.md"]))
@@ -304,7 +318,7 @@ def url_resolve(spark, sf_dir):
 
 @query("SELECT src_chunk_id, target_path FROM v_edges WHERE target_path NOT IN (SELECT canonical_url FROM v_urls)")
 def url_dangling(spark, sf_dir):
-    return V.edges(spark, sf_dir).join(V.urls(spark, sf_dir).select(F.col("canonical_url").alias("target_path")), "target_path", "left_anti").select("src_chunk_id", "target_path")
+    return graph.dangling(V.edges(spark, sf_dir).select("src_chunk_id", "target_path"), V.urls(spark, sf_dir))
 
 
 @query(
@@ -337,7 +351,7 @@ def edges_resolve_two_tier(spark, sf_dir):
 
 @query("SELECT src_chunk_id, target_path FROM v_edges WHERE src_chunk_id = 'p7'")
 def edges_of_chunk(spark, sf_dir):
-    return V.edges(spark, sf_dir).where("src_chunk_id = 'p7'")
+    return graph.edges_of(V.edges(spark, sf_dir), "p7")
 
 
 def _walk(depth: int, seeds: str = "SELECT 'p0' AS seed, 0 AS seed_rank") -> str:
@@ -432,7 +446,7 @@ def swap_steal(spark, sf_dir):
 
 @query("SELECT path, count(DISTINCT source_id) AS n_sources FROM v_chunks GROUP BY 1 HAVING count(DISTINCT source_id) > 1")
 def duplicate_intake(spark, sf_dir):
-    return V.chunks(spark, sf_dir).groupBy("path").agg(F.count_distinct("source_id").alias("n_sources")).where("n_sources > 1")
+    return catalog.paths_of_several_sources(V.chunks(spark, sf_dir))
 
 
 # Writes
