@@ -22,10 +22,11 @@ from quillspark.functions.session import checkpoint
 from quillspark.operators import sync
 from quillspark.operators.catalog import last_wins
 from quillspark.operators.documents import parse, tables_of
-from quillspark.operators.upsert import delete_chunks, delete_documents, upsert, upsert_chunks, url_collisions
+from quillspark.operators.upsert import chunks_of_documents, delete_chunks, upsert, upsert_chunks, url_collisions
+from quillspark.schema import KEYS
 from quillspark.sources.config import Source, duplicate_intake, report
 from quillspark.sources.listing import contained, contents, list_files
-from quillspark.sources.store import Store
+from quillspark.sources.store import Change, Store
 
 #: Changes when what is derived from a file changes; a stored other value makes the next cycle a full one.
 EPOCH = "1"
@@ -135,7 +136,25 @@ def _loaded(old: dict[str, DataFrame], good: DataFrame, embedder: Embedder | Non
     }
 
 
-def _commit(store: Store, source: Source, tables: dict[str, DataFrame], files: DataFrame) -> None:
+def _changes(old: dict[str, DataFrame], good: DataFrame, gone: DataFrame, embedder: Embedder | None) -> dict[str, Change]:
+    """What the documents ``good`` change in the tables of a source from which those at ``gone(source_id, path)`` go.
+
+    Embeddings of chunks that come again are kept: they are looked up in what was stored before.
+    """
+    new = {t: last_wins(rows, KEYS[t], "seq").drop("seq") for t, rows in tables_of(good).items()}
+    chunks = new["chunks"]
+    if embedder is not None:
+        chunks = chunks.withColumn("embedding", embedded(F.col("content"), embedder))
+    stored = old["chunks"].where("embedding IS NOT NULL").select("chunk_id", F.col("embedding").alias("_had"))
+    chunks = chunks.join(stored, "chunk_id", "left").withColumn("embedding", F.coalesce("embedding", "_had")).drop("_had")
+    left = chunks_of_documents(old["chunks"], gone)
+    ids = checkpoint(left.unionByName(new["chunks"].select("chunk_id")).distinct().withColumnRenamed("chunk_id", "key"))
+    lost = old["urls"].join(ids.withColumnRenamed("key", "chunk_id"), "chunk_id", "left_semi").select("canonical_url")
+    urls = lost.unionByName(new["urls"].select("canonical_url")).distinct().withColumnRenamed("canonical_url", "key")
+    return {"chunks": Change(chunks, ids), "edges": Change(new["edges"], ids), "code": Change(new["code"], ids), "urls": Change(new["urls"], urls)}
+
+
+def _commit(store: Store, source: Source, tables: dict[str, DataFrame | Change], files: DataFrame, whole: bool = False) -> None:
     spark = store.spark
     known = store._read("sources").where(F.col("source_id") != source.id)
     own = spark.createDataFrame([(source.id, source.path, source.type, source.id, None)], known.schema)
@@ -144,7 +163,8 @@ def _commit(store: Store, source: Source, tables: dict[str, DataFrame], files: D
         {
             ("sources", ""): known.unionByName(own), ("urls", ""): tables["urls"], ("files", source.id): files, ("syncs", source.id): stamp,
             **{(t, source.id): tables[t] for t in ("chunks", "edges", "code")},
-        }
+        },
+        whole,
     )
 
 
@@ -224,25 +244,11 @@ def _incremental_sync(store: Store, source: Source, embedder: Embedder | None, a
     before = sync.identity_of(old["files"])
     gone = before.join(diff.where("change = 'deleted'").unionByName(diff.join(done.select(*FILE), FILE, "left_semi")).select(*FILE).distinct(), FILE, "left_semi")
     gone = gone.select("source_id", "path").unionByName(good.select("source_id", "path")).distinct()
-    had = old["chunks"]
-    tables = delete_documents(old, gone)
-    # Embeddings of chunks that come again are kept: they are looked up in what was stored before.
-    new = tables_of(good)
-    chunks = last_wins(new["chunks"], ["chunk_id"], "seq").drop("seq")
-    if embedder is not None:
-        chunks = chunks.withColumn("embedding", embedded(F.col("content"), embedder))
-    stored = had.where("embedding IS NOT NULL").select("chunk_id", F.col("embedding").alias("_had"))
-    chunks = chunks.join(stored, "chunk_id", "left").withColumn("embedding", F.coalesce("embedding", "_had")).drop("_had")
-    tables |= {
-        "chunks": upsert(tables["chunks"], chunks, ["chunk_id"]),
-        "edges": upsert(tables["edges"], new["edges"], ["src_chunk_id", "target_path"], "seq"),
-        "code": upsert(tables["code"], new["code"], ["snippet_id"], "seq"),
-        "urls": upsert(tables["urls"], new["urls"], ["canonical_url"], "seq"),
-    }
+    tables = _changes(old, good, gone, embedder)
     state = sync.next_state(diff, old["files"], done, errors)
     metrics = _count(metrics, counts, errors)
-    metrics.moved_urls = url_collisions(old["urls"], tables["urls"]).count()
-    _commit(store, source, tables, state)
+    metrics.moved_urls = url_collisions(old["urls"], tables["urls"].rows).count()
+    _commit(store, source, tables, state, whole=force)
     metrics.duration_ms = max(1, int(1000 * (time.time() - began)))
     return metrics
 

@@ -1,6 +1,9 @@
 """A store: Parquet tables in immutable versions, and one pointer file that says which are current.
 
-Tables are kept by source (``urls`` and ``sources`` whole), so a cycle rewrites the sources it touches and no others. All
+Tables are kept by source (``urls`` and ``sources`` whole), so a cycle touches its own sources and no others. What a source
+has of a table is one fragment, or several: a later one holds new rows and the keys of rows that earlier ones no longer
+count for, so that a small change is a small write. Reading joins these keys away; after ``MOST_FRAGMENTS`` a commit
+writes the table whole again. All
 tables of a commit become current at once, by one rename; readers keep the version they opened. Writers hold the lock:
 taking it reads what is current, so that a commit always goes on from the last one. Sources that an older layout left
 are remembered one by one until each has been rebuilt.
@@ -12,6 +15,8 @@ import json
 import os
 import time
 import uuid
+from functools import reduce
+from typing import NamedTuple
 
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, SparkRuntimeException
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.errors import LockError, SchemaError, StoreError
-from quillspark.schema import SCHEMA_VERSION, TABLES
+from quillspark.schema import GONE_BY, SCHEMA_VERSION, TABLES
 from quillspark.sources.files import Files
 
 WHOLE = ("sources", "urls")
@@ -28,6 +33,38 @@ _POINTER, _LOCK, _STATE = "_current", "_lock", "_state"
 #: Columns of tables by which single rows are looked up: Parquet keeps a Bloom filter of them for each row group.
 LOOKED_UP = {"chunks": ("chunk_id",), "edges": ("src_chunk_id",), "code": ("chunk_id",), "urls": ("canonical_url", "chunk_id")}
 
+#: Fragments that a read puts together at most; a commit beyond writes the table whole.
+MOST_FRAGMENTS = 16
+_KEY = "key string"
+
+
+class Change(NamedTuple):
+    """A change of a table: ``rows`` come in, and stored rows whose ``GONE_BY`` column is in ``gone(key)`` go."""
+
+    rows: DataFrame
+    gone: DataFrame
+
+
+def _fragments(value: str | list) -> list[tuple[str, str | None]]:
+    """``(place of rows, place of gone keys)`` of a table's entry in the state; one that was written whole is its place."""
+    return [(value, None)] if isinstance(value, str) else [(rows, gone) for rows, gone in value]
+
+
+def _places(state: dict) -> list[tuple[str, str | None]]:
+    """All places of a state: ``(place, table)``, and ``(place, None)`` for those of gone keys, each once."""
+    out = {}
+    for table, parts in state["tables"].items():
+        for value in parts.values():
+            for rows, gone in _fragments(value):
+                out[rows] = table
+                if gone:
+                    out[gone] = None
+    return list(out.items())
+
+
+def _folders(state: dict) -> set[str]:
+    return {place.split("/")[0] for place, _ in _places(state)}
+
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, writable: bool = True):
@@ -82,8 +119,26 @@ class Store:
 
     def _read(self, table: str, source_id: str | None = None) -> DataFrame:
         parts = self.state["tables"].get(table, {})
-        paths = [f"{self.path}/{p}" for s, p in sorted(parts.items()) if source_id in (None, s) or table in WHOLE]
-        return self.spark.read.schema(TABLES[table]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[table])
+        mine = [_fragments(v) for s, v in sorted(parts.items()) if source_id in (None, s) or table in WHOLE]
+        whole = [fragments[0][0] for fragments in mine if len(fragments) == 1]
+        found = [self._scan(TABLES[table], whole)] if whole else []
+        found += [self._layered(table, fragments) for fragments in mine if len(fragments) > 1]
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], TABLES[table])
+
+    def _scan(self, schema, places: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{p}" for p in places))
+
+    def _layered(self, table: str, fragments: list[tuple[str, str | None]]) -> DataFrame:
+        """Rows of all fragments whose key no later fragment has among its gone ones."""
+        rows = [self._scan(TABLES[table], [place]).withColumn("_n", F.lit(n)) for n, (place, _) in enumerate(fragments)]
+        gone = [self._scan(_KEY, [place]).select(F.col("key").alias("_gone"), F.lit(n).alias("_by")) for n, (_, place) in enumerate(fragments) if place]
+        later = (F.col(GONE_BY[table]) == F.col("_gone")) & (F.col("_n") < F.col("_by"))
+        return reduce(DataFrame.unionByName, rows).join(reduce(DataFrame.unionByName, gone), later, "left_anti").drop("_n")
+
+    def fragments(self, table: str, source_id: str) -> int:
+        """How many fragments a source's part of a table has."""
+        value = self.state["tables"].get(table, {}).get("" if table in WHOLE else source_id)
+        return len(_fragments(value)) if value else 0
 
     def tables(self) -> list[str]:
         return sorted(TABLES)
@@ -91,8 +146,12 @@ class Store:
     def source_ids(self) -> list[str]:
         return sorted(self.state["tables"].get("chunks", {}))
 
-    def commit(self, parts: dict[tuple[str, str], DataFrame]) -> int:
-        """Write ``(table, source_id) -> rows`` (``""`` for whole tables) and make them current together."""
+    def commit(self, parts: dict[tuple[str, str], DataFrame | Change], whole: bool = False) -> int:
+        """Write ``(table, source_id) -> rows`` (``""`` for whole tables) and make them current together.
+
+        A ``Change`` becomes a fragment beside those that are there, unless ``whole`` is set; changes with the same ``gone``
+        share its keys.
+        """
         if not self.writable:
             raise StoreError("the store was opened for reading")
         if self.held is None:
@@ -102,16 +161,23 @@ class Store:
         version = self.state["version"] + 1
         folder = f"v{version}-{uuid.uuid4().hex[:12]}"  # a name of its own: no commit can write over another's tables
         tables = {t: dict(p) for t, p in self.state["tables"].items()}
-        for (table, source), rows in parts.items():
-            place = f"{folder}/{table}/{source.encode().hex() or 'all'}"
-            ordered = rows.select(*TABLES[table].names)
-            if table == "chunks":  # documents side by side, so that a path is found by row group statistics
-                ordered = ordered.repartitionByRange("path", "chunk_id").sortWithinPartitions("path", "position")
-            write = ordered.write
-            for column in LOOKED_UP.get(table, ()):  # ids have no order, so that statistics can't tell where one is
-                write = write.option(f"parquet.bloom.filter.enabled#{column}", "true")
-            write.parquet(f"{self.path}/{place}")
-            tables.setdefault(table, {})[source] = place
+        keys: dict[int, str] = {}
+        for (table, source), new in parts.items():
+            place, before = f"{folder}/{table}/{source.encode().hex() or 'all'}", tables.get(table, {}).get(source)
+            entry: str | list = place
+            if isinstance(new, Change):
+                if before is None:
+                    new = new.rows
+                elif whole or len(_fragments(before)) >= MOST_FRAGMENTS:
+                    kept = self._read(table, source)
+                    new = kept.join(new.gone.select(F.col("key").alias(GONE_BY[table])), GONE_BY[table], "left_anti").unionByName(new.rows.select(*kept.columns))
+                else:
+                    if id(new.gone) not in keys:
+                        keys[id(new.gone)] = f"{folder}/gone/{len(keys)}"
+                        new.gone.select("key").write.parquet(f"{self.path}/{keys[id(new.gone)]}")
+                    entry, new = [*_fragments(before), (place, keys[id(new.gone)])], new.rows
+            self._write(table, new, place, small=entry is not place)
+            tables.setdefault(table, {})[source] = entry
         done = {source for _, source in parts}
         old = {s: layout for s, layout in self.state["old"].items() if s not in done}
         if not self.held.own() or (self._current() or {"version": 0})["version"] != self.state["version"]:
@@ -122,6 +188,15 @@ class Store:
         self.files.replace(f"{self.path}/{_POINTER}", json.dumps(self.state))
         return version
 
+    def _write(self, table: str, rows: DataFrame, place: str, small: bool) -> None:
+        ordered = rows.select(*TABLES[table].names)
+        if table == "chunks":  # documents side by side, so that a path is found by row group statistics
+            ordered = ordered.repartitionByRange("path", "chunk_id").sortWithinPartitions("path", "position")
+        write = ordered.write
+        for column in LOOKED_UP.get(table, ()):  # ids have no order, so that statistics can't tell where one is
+            write = write.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.bloom.filter.adaptive.enabled", str(small).lower())
+        write.parquet(f"{self.path}/{place}")
+
     def problems(self) -> list[str]:
         """What is wrong with what lies on disk: an unreadable pointer, tables that are gone, torn or unreadable, left-over folders."""
         try:
@@ -129,7 +204,7 @@ class Store:
         except (ValueError, Py4JError):
             return ["the pointer can't be read"]
         out = [] if found is None else self._broken(found)
-        used = {p.split("/")[0] for t in (found or {"tables": {}})["tables"].values() for p in t.values()}
+        used = _folders(found or {"tables": {}})
         for folder in self.files.folders(self.path):
             name = folder.rsplit("/", 1)[-1]
             if name[:1] == "v" and name not in used and not self.files.exists(f"{folder}/{_STATE}"):
@@ -138,21 +213,20 @@ class Store:
 
     def _broken(self, state: dict) -> list[str]:
         out = []
-        for table, parts in state["tables"].items():
-            for place in parts.values():
-                at = f"{self.path}/{place}"
-                if not self.files.exists(at):
-                    out.append(f"{place} is gone")
-                elif not self.files.exists(f"{at}/_SUCCESS"):
-                    out.append(f"{place} was not written to the end")
-                else:
-                    try:  # footers of all its files
-                        have = self.spark.read.option("mergeSchema", "true").parquet(at).columns
-                        if not set(TABLES[table].names) <= set(have):
-                            out.append(f"{place} lacks columns")
-                    except (AnalysisException, Py4JError, SparkRuntimeException) as e:
-                        if "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                            out.append(f"{place} can't be read")
+        for place, table in _places(state):
+            at = f"{self.path}/{place}"
+            if not self.files.exists(at):
+                out.append(f"{place} is gone")
+            elif not self.files.exists(f"{at}/_SUCCESS"):
+                out.append(f"{place} was not written to the end")
+            else:
+                try:  # footers of all its files
+                    have = self.spark.read.option("mergeSchema", "true").parquet(at).columns
+                    if not set(TABLES[table].names if table else ["key"]) <= set(have):
+                        out.append(f"{place} lacks columns")
+                except (AnalysisException, Py4JError, SparkRuntimeException) as e:
+                    if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                        out.append(f"{place} can't be read")
         return out
 
     def repair(self) -> list[str]:
@@ -182,14 +256,14 @@ class Store:
             self._opened()
         for folder in self.files.folders(self.path):
             name = folder.rsplit("/", 1)[-1]
-            if name[:1] == "v" and not self.files.exists(f"{folder}/{_STATE}") and name not in {p.split("/")[0] for t in self.state["tables"].values() for p in t.values()}:
+            if name[:1] == "v" and not self.files.exists(f"{folder}/{_STATE}") and name not in _folders(self.state):
                 self.files.delete(folder)
                 done.append(f"{name} is deleted")
         return done
 
     def vacuum(self, keep: int = 2) -> None:
         """Delete versions that no current table is in, but for the latest ``keep``."""
-        used = {p.split("/")[0] for t in self.state["tables"].values() for p in t.values()}
+        used = _folders(self.state)
         for folder in self.files.folders(self.path):
             name = folder.rsplit("/", 1)[-1]
             number = name[1:].split("-")[0]

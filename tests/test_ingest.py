@@ -283,3 +283,71 @@ def test_stream(spark, world, tmp_path):
     finally:
         query.stop()
     assert told.cycles and "home.markdown" in paths(Store(spark, store.path))
+
+
+def folder_size(root):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names)
+
+
+def test_a_small_change_is_a_small_write(spark, tmp_path):
+    root, store, source = tmp_path / "many", Store(spark, str(tmp_path / "store")), Source("local", "m", str(tmp_path / "many"))
+    for i in range(200):
+        write(root, f"{i:03}.md", f"# Title {i}\n\n" + " ".join(f"word{i * j % 9973}" for j in range(1, 300)) + f"\n\n[next]({(i + 1) % 200:03}.md)\n\n```py\nx = {i}\n```", canonical_url=f"/u/{i}")
+    full_sync(store, source)
+    first = folder_size(store.path)
+    write(root, "007.md", "# Title 7\n\nchanged [to](008.md)", canonical_url="/u/7")
+    write(root, "008.md", "# Title 8", canonical_url="/u/7777")
+    (root / "009.md").unlink()
+    m = incremental_sync(store, source)
+    assert (m.added, m.modified, m.deleted, m.unchanged) == (0, 2, 1, 197)
+    assert folder_size(store.path) - first < first / 5
+    assert all(store.fragments(t, "m") == 2 for t in ("chunks", "edges", "code", "urls")) and store.fragments("files", "m") == 1
+    # What is read is what a store that loads the folder anew has.
+    anew = Store(spark, str(tmp_path / "anew"))
+    full_sync(anew, source)
+    for table in ("chunks", "edges", "code", "urls", "files"):
+        a, b = (sorted(map(str, s.read(table).collect())) for s in (store, anew))
+        assert a == b and a, table
+    # A reader that opens the store anew and a point lookup see the fragments as well.
+    there = Store(spark, store.path, writable=False)
+    content = there.read("chunks", "m").where("path = '007.md'").collect()
+    assert len(content) == 1 and "changed" in content[0]["content"] and there.read("chunks").where("path = '009.md'").count() == 0
+    assert store.problems() == []
+
+
+def test_fragments_become_one_table_again(spark, world, monkeypatch):
+    root, store, source = world
+    (root / "bad.md").unlink()
+    monkeypatch.setattr("quillspark.sources.store.MOST_FRAGMENTS", 3)
+    full_sync(store, source)
+    seen = []
+    for n in range(4):
+        write(root, "a.md", f"# Alpha\n\nversion {n} [b](b.md)")
+        incremental_sync(store, source)
+        seen.append(store.fragments("chunks", "s"))
+        rows = store.read("chunks").where("path = 'a.md'").collect()
+        assert len(rows) == 1 and f"version {n}" in rows[0]["content"] and paths(store) == ["a.md", "b.md", "home.markdown"]
+        assert [r["target_path"] for r in store.read("edges").collect()] == ["b.md"]
+    assert seen == [2, 3, 1, 2]
+    # A row that went and comes again counts; old versions are kept while a fragment of theirs is current.
+    (root / "a.md").rename(root / "a.off")
+    incremental_sync(store, source)
+    assert paths(store) == ["b.md", "home.markdown"]
+    (root / "a.off").rename(root / "a.md")
+    incremental_sync(store, source)
+    with store.lock():
+        store.vacuum(keep=0)
+    assert paths(store) == ["a.md", "b.md", "home.markdown"] and store.problems() == []
+
+
+def test_a_lost_fragment_is_told_and_repaired(spark, world):
+    root, store, source = world
+    full_sync(store, source)
+    write(root, "a.md", "# Alpha\n\nnewer")
+    incremental_sync(store, source)
+    rows, gone = store.state["tables"]["chunks"]["s"][-1]
+    store.files.delete(f"{store.path}/{gone}")
+    assert store.problems() == [f"{gone} is gone"]
+    with store.lock():
+        store.repair()
+    assert store.problems() == [] and "hello" in store.read("chunks").where("path = 'a.md'").first()["content"]
