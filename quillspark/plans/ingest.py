@@ -154,7 +154,13 @@ def _changes(old: dict[str, DataFrame], good: DataFrame, gone: DataFrame, embedd
     return {"chunks": Change(chunks, ids), "edges": Change(new["edges"], ids), "code": Change(new["code"], ids), "urls": Change(new["urls"], urls)}
 
 
-def _commit(store: Store, source: Source, tables: dict[str, DataFrame | Change], files: DataFrame, whole: bool = False) -> None:
+def _files_change(old: DataFrame, state: DataFrame) -> Change:
+    """What turns the remembered files ``old`` of a source into ``state``."""
+    state = state.select(*old.columns)
+    return Change(state.exceptAll(old), old.exceptAll(state).select(F.col("fs_rel").alias("key")))
+
+
+def _commit(store: Store, source: Source, tables: dict[str, DataFrame | Change], files: DataFrame | Change, whole: bool = False) -> None:
     spark = store.spark
     known = store._read("sources").where(F.col("source_id") != source.id)
     own = spark.createDataFrame([(source.id, source.path, source.type, source.id, None)], known.schema)
@@ -248,7 +254,7 @@ def _incremental_sync(store: Store, source: Source, embedder: Embedder | None, a
     state = sync.next_state(diff, old["files"], done, errors)
     metrics = _count(metrics, counts, errors)
     metrics.moved_urls = url_collisions(old["urls"], tables["urls"].rows).count()
-    _commit(store, source, tables, state, whole=force)
+    _commit(store, source, tables, _files_change(old["files"], state), whole=force)
     metrics.duration_ms = max(1, int(1000 * (time.time() - began)))
     return metrics
 

@@ -34,6 +34,6 @@ KEYS: dict[str, list[str]] = {
     "urls": ["canonical_url"], "files": ["source_id", "fs_rel"], "syncs": ["source_id"],
 }
 #: The column by whose values rows of earlier fragments of a store are taken out (see ``sources.store``).
-GONE_BY: dict[str, str] = {"chunks": "chunk_id", "edges": "src_chunk_id", "code": "chunk_id", "urls": "canonical_url"}
+GONE_BY: dict[str, str] = {"chunks": "chunk_id", "edges": "src_chunk_id", "code": "chunk_id", "urls": "canonical_url", "files": "fs_rel"}
 #: What search results show; never the embedding.
 HIT = ["chunk_id", "source_id", "path", "heading_hierarchy", "content"]

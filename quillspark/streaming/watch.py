@@ -17,7 +17,7 @@ from quillspark.functions.embed import Embedder
 from quillspark.operators.documents import parse
 from quillspark.plans import ingest
 from quillspark.sources.config import Source
-from quillspark.sources.store import Store
+from quillspark.sources.store import Change, Store
 
 
 class Progress:
@@ -57,7 +57,9 @@ def stream_documents(spark: SparkSession, folder: str, source_id: str) -> DataFr
 def load_stream(store: Store, parsed: DataFrame, source: Source, checkpoint: str, embedder: Embedder | None = None) -> StreamingQuery:
     """Load each micro-batch of ``parsed`` into the store; a batch that is run again writes the same rows again.
 
-    Loaded files are remembered with the time of loading, so that a later cycle over the same folder knows them.
+    A document replaces the chunks, links and code that its path had. What a batch writes is in proportion to the batch.
+    Loaded files are remembered with the time of loading, so that a later cycle over the same folder knows them. Where
+    several files of a batch have one path, rows with equal keys are those of the last in the order of their names.
     """
 
     def load(batch: DataFrame, _: int) -> None:
@@ -65,7 +67,7 @@ def load_stream(store: Store, parsed: DataFrame, source: Source, checkpoint: str
             old = ingest._own(store, source.id)
             good = session.checkpoint(batch.where("error IS NULL"))
             now = good.select("source_id", "fs_rel", F.unix_timestamp().alias("mtime"), F.col("path").alias("contract_path"))
-            rest = old["files"].join(now.select("source_id", "fs_rel"), ["source_id", "fs_rel"], "left_anti")
-            ingest._commit(store, source, ingest._loaded(old, good, embedder), rest.unionByName(now))
+            tables = ingest._changes(old, good, good.select("source_id", "path"), embedder)
+            ingest._commit(store, source, tables, Change(now, now.select(F.col("fs_rel").alias("key"))), whole=store.outdated(source.id))
 
     return parsed.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
