@@ -15,6 +15,7 @@ from quillspark.operators.contract import checked_paths
 from quillspark.operators.documents import parse, tables_of
 from quillspark.plans import views as V
 from quillspark.sources.document_files import opened, read_files
+from quillspark.sources.store import Change, Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -506,6 +507,24 @@ def delete_scoped_by_source(spark, sf_dir):
     return _left(upsert.delete_documents(_tables(spark, sf_dir), gone))
 
 
+@query(
+    """SELECT e.src_chunk_id, e.target_path FROM v_edges e JOIN v_pages p ON p.chunk_id = e.src_chunk_id WHERE p.path >= '/C' AND p.path < '/T'
+UNION ALL SELECT chunk_id AS src_chunk_id, '/home' AS target_path FROM v_pages WHERE path >= '/T'"""
+)
+def store_fragments(spark, sf_dir):
+    """Edges of a store after two changes: some pages go, of which some come again, and others get one link in place of theirs."""
+    rows = lambda df: df.select("src_chunk_id", "target_path", F.lit("").alias("link_text"), F.lit(None).cast("string").alias("anchor"))
+    edges, pages, store = V.edges(spark, sf_dir), V.pages(spark, sf_dir).select("path", F.col("chunk_id").alias("src_chunk_id")), Store(spark, shared_path(spark, "store"))
+    key = F.col("src_chunk_id").alias("key")
+    again = edges.join(pages.where("path >= '/C' AND path < '/E'"), "src_chunk_id", "left_semi")
+    home = pages.where("path >= '/T'").withColumn("target_path", F.lit("/home"))
+    with store.lock():
+        store.commit({("edges", "site"): rows(edges)})
+        store.commit({("edges", "site"): Change(rows(edges.limit(0)), pages.where("path < '/E'").select(key))})
+        store.commit({("edges", "site"): Change(rows(again).unionByName(rows(home)), home.select(key))})
+    return store.read("edges", "site").select("src_chunk_id", "target_path")
+
+
 # Files
 
 
