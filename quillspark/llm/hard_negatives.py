@@ -9,10 +9,11 @@ row goes down to its leaf, and for each leaf the exact least and greatest distan
 aggregated. A leaf with more rows than fit a block is dealt over several blocks by a hash of the id, so copies of one vector
 never meet in one task. In a block the tree goes on down to buckets of about ``BUCKET`` rows; a block is one row of a table.
 
-Anchors travel in chunks to the blocks of those leaves whose bounds meet their annulus: first to the nearest leaf only, then
-to the others that may still hold something as near as what the first gave. In a block each anchor takes its buckets
-nearest first, and ends when the next one lies beyond the annulus or beyond its k-th best row. The best of each block meet
-in a ranked window.
+Anchors travel in chunks, each with all its windows, to the leaves whose bounds meet their annuli: first to the nearest leaf
+only, then to the others that may still hold something as near as what the first gave. In the second round a chunk goes once
+to each of at most ``SHELVES`` runs of blocks, whatever the number of blocks, so what is shuffled grows as the anchors do; the
+blocks of a shelf meet it there. In a block each window takes its nearest bucket first, and then those that do not lie beyond
+the annulus or beyond its k-th best row. The best of each block meet in a ranked window.
 
 Defined results: rows without id, label or vector, and those with null, NaN or infinite entries, take no part; of rows with
 one id the least (by label, then vector) counts; a short vector counts as filled up with zeros; equal scores go by smaller
@@ -37,8 +38,8 @@ from quillspark.llm.whitening import finite, integers
 SCALE, POSITIVES, NEGATIVES = 256, 5, 3
 #: Upper leaves at most, bytes of the sample that their vantage points come from, bytes of vectors in a block.
 LEAVES, SAMPLE_BYTES, BLOCK_BYTES = 256, 8 << 20, 2 << 20
-#: Rows of a bucket; a chunk of queries has a share of a block's bytes.
-BUCKET, CHUNK_SHARE = 64, 8
+#: Rows of a bucket; a chunk of anchors has a share of a block's bytes; shelves at most.
+BUCKET, CHUNK_SHARE, SHELVES = 64, 4, 64
 #: Of squared distances: beyond what rounding can do to them.
 SLACK = 1e-6
 
@@ -138,7 +139,7 @@ def _descend(tree: Tree, dims: int, whole: float):
 
 
 _PLACED = "vec_id long, label int, x array<long>, leaf int, seen array<double>"
-_BLOCK = "block int, ids array<long>, labels array<int>, x array<long>, points array<int>, near array<double>, far array<double>"
+_BLOCK = "block int, ids array<long>, labels array<int>, x array<int>, points array<int>, near array<double>, far array<double>"
 
 
 def _block(dims: int, whole: float):
@@ -161,7 +162,7 @@ def _block(dims: int, whole: float):
         taken = table.take(pa.array(order))
         return pa.table(
             [
-                table.column("block").slice(0, 1), one(taken.column("vec_id").to_numpy(), pa.int64()), one(taken.column("label").to_numpy(), pa.int32()), one(x.astype(np.int64).ravel(), pa.int64()),
+                table.column("block").slice(0, 1), one(taken.column("vec_id").to_numpy(), pa.int64()), one(taken.column("label").to_numpy(), pa.int32()), one(x.astype(np.int32).ravel(), pa.int32()),
                 one(points, pa.int32()), one(near.ravel(), pa.float64()), one(far.ravel(), pa.float64()),
             ],
             names=["block", "ids", "labels", "x", "points", "near", "far"],
@@ -184,6 +185,11 @@ class Index(NamedTuple):
     #: Rows of a block.
     most: int
 
+    @property
+    def shelf(self) -> int:
+        """Blocks of a shelf."""
+        return max(1, -(-int(self.number.sum()) // SHELVES))
+
     def leaves(self, rows: DataFrame) -> DataFrame:
         """``(vec_id, leaf)``: where rows would stand in the tree."""
         return rows.mapInArrow(_descend(self.tree, self.dims, self.whole), _PLACED).select("vec_id", "leaf")
@@ -215,91 +221,124 @@ def index(rows: DataFrame, leaves: int = LEAVES, block_bytes: int = BLOCK_BYTES)
     return Index(blocks, tree, near, far, first, number, dims, whole, most)
 
 
-_SENT = "block int, queries array<struct<anchor_id: long, slot: long, label: int, x: array<long>, low: double, high: double, floor: double>>"
+_WINDOW = "slot: long, low: double, high: double, floor: double, done: int"
+_SENT = f"place int, queries array<struct<anchor_id: long, label: int, x: array<int>, windows: array<struct<{_WINDOW}>>>>"
 
 
 class Queries(NamedTuple):
+    """Anchors, and their windows; ``owner`` tells the anchor of each window."""
+
     anchor: np.ndarray
-    slot: np.ndarray
     label: np.ndarray
     x: np.ndarray
     square: np.ndarray
+    owner: np.ndarray
+    slot: np.ndarray
     low: np.ndarray
     high: np.ndarray
     floor: np.ndarray
+    #: The leaf that has been searched already.
+    done: np.ndarray
 
     @staticmethod
     def of(structs: pa.StructArray, dims: int) -> Queries:
-        f = dict(zip((x.name for x in structs.type), structs.flatten(), strict=True))
-        x = _matrix(f["x"], dims)
-        plain = (f[k].to_numpy(zero_copy_only=False) for k in ("anchor_id", "slot", "label"))
-        return Queries(*plain, x, (x * x).sum(1), *(f[k].to_numpy(zero_copy_only=False) for k in ("low", "high", "floor")))
+        parts = lambda v: dict(zip((x.name for x in v.type), v.flatten(), strict=True))
+        f = parts(structs)
+        x, w = _matrix(f["x"], dims), parts(f["windows"].flatten())
+        owner = np.repeat(np.arange(len(x)), f["windows"].value_lengths().to_numpy(zero_copy_only=False))
+        plain = (w[k].to_numpy(zero_copy_only=False) for k in ("slot", "low", "high", "floor", "done"))
+        return Queries(f["anchor_id"].to_numpy(zero_copy_only=False), f["label"].to_numpy(zero_copy_only=False), x, (x * x).sum(1), owner, *plain)
+
+    def structs(self, some: np.ndarray, done: np.ndarray) -> pa.StructArray:
+        """The windows at the places ``some``, which ascend, with their anchors."""
+        own, size = np.unique(self.owner[some], return_counts=True)
+        windows = [pa.array(v[some], k) for v, k in ((self.slot, pa.int64()), (self.low, pa.float64()), (self.high, pa.float64()), (self.floor, pa.float64()), (done, pa.int32()))]
+        windows = pa.StructArray.from_arrays(windows, names=["slot", "low", "high", "floor", "done"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), windows)
+        x = list_array(self.x[own].astype(np.int32).ravel(), np.full(len(own), self.x.shape[1]), pa.int32())
+        return pa.StructArray.from_arrays([pa.array(self.anchor[own], pa.int64()), pa.array(self.label[own], pa.int32()), x, lists], names=["anchor_id", "label", "x", "windows"])
+
+    def least(self) -> np.ndarray:
+        return np.maximum(self.low, self.floor)
 
     def annulus(self, whole: float) -> tuple[np.ndarray, np.ndarray]:
-        """Squared radii between which rows that can still count lie."""
-        return self.square + whole - 2 * self.high, self.square + whole - 2 * np.maximum(self.low, self.floor)
+        """Squared radii between which rows that can still count lie, for each window."""
+        return self.square[self.owner] + whole - 2 * self.high, self.square[self.owner] + whole - 2 * self.least()
 
 
-def _route(tree: Tree, near: np.ndarray, far: np.ndarray, first: np.ndarray, number: np.ndarray, dims: int, whole: float, nearest: bool):
-    """Queries of a chunk, for each block that they must see. The nearest leaf of each, or all others that meet its annulus."""
+def _route(tree: Tree, near: np.ndarray, far: np.ndarray, first: np.ndarray, number: np.ndarray, dims: int, whole: float, shelf: int):
+    """Queries of a chunk for each place where they must look: without ``shelf`` the blocks of each window's nearest leaf, else the shelves of all others that meet its annulus."""
+    size = shelf or 1
+    places = np.arange(-(-int(number.sum()) // size)) * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lists = batch.column("queries").slice(i, 1)
-                structs = lists.flatten()
-                q = Queries.of(structs, dims)
-                low, high = reach(tree, near, far, q.x, q.square, whole)
+                q = Queries.of(batch.column("queries").slice(i, 1).flatten(), dims)
+                low, high = (v[q.owner] for v in reach(tree, near, far, q.x, q.square, whole))
                 inner, outer = q.annulus(whole)
                 # The nearest leaf is told by the window alone, so that both rounds agree on it.
                 fits = (high >= inner[:, None]) & (number > 0)
-                best = np.where(fits & (low <= (q.square + whole - 2 * q.low)[:, None]), low, np.inf).argmin(1)
+                best = np.where(fits & (low <= (q.square[q.owner] + whole - 2 * q.low)[:, None]), low, np.inf).argmin(1)
                 mine = np.arange(len(near)) == best[:, None]
-                goes = fits & (low <= outer[:, None]) & (mine if nearest else ~mine)
-                for leaf in np.flatnonzero(goes.any(0)):
-                    some = structs.take(pa.array(np.flatnonzero(goes[:, leaf])))
-                    k = int(number[leaf])
-                    every = pa.concat_arrays([some] * k)
-                    yield pa.RecordBatch.from_arrays([pa.array(first[leaf] + np.arange(k), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * len(some), pa.int32()), every)], names=["block", "queries"])
+                goes = fits & (low <= outer[:, None]) & (~mine if shelf else mine)
+                for place, start in enumerate(places):
+                    some = np.flatnonzero(goes[:, (first < start + size) & (first + number > start)].any(1))
+                    if len(some):
+                        sent = q.structs(some, best if shelf else np.full(len(best), -1))
+                        yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(sent)], pa.int32()), sent)], names=["place", "queries"])
 
     return run
 
 
-def _within(q: Queries, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, tree: Tree, near: np.ndarray, far: np.ndarray, whole: float, same: bool, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and scores of each query's k best rows of a block (score -inf: none)."""
+def _within(q: Queries, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, tree: Tree, near: np.ndarray, far: np.ndarray, whole: float, same: bool, k: int, leaf: int = -2) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and scores of each window's k best rows of a block of ``leaf`` (score -inf: none)."""
     cuts = leaf_bounds(len(ids), tree.depth)
-    low, high = reach(tree, near, far, q.x, q.square, whole)
+    low, high = (v[q.owner] for v in reach(tree, near, far, q.x, q.square, whole))
     inner, _ = q.annulus(whole)
-    low = np.where(high >= inner[:, None], low, np.inf)
-    order = np.argsort(low, axis=1, kind="stable")
-    score, found = np.full((len(q.x), k), -np.inf), np.full((len(q.x), k), np.iinfo(np.int64).max)
-    live = np.arange(len(q.x))
-    for step in range(len(near)):
-        bucket = order[live, step]
-        # Incremental: the next bucket must reach the annulus whose outer bound shrinks to the k-th best row.
-        outer = q.square[live] + whole - 2 * np.maximum(np.maximum(q.low[live], q.floor[live]), score[live, -1])
-        go = low[live, bucket] <= outer
-        live, bucket = live[go], bucket[go]
-        if not len(live):
-            break
-        for b in np.unique(bucket):
-            rows, asked = slice(cuts[b], cuts[b + 1]), live[bucket == b]
-            s = q.x[asked] @ x[rows].T
-            least = np.maximum(np.maximum(q.low[asked], q.floor[asked]), score[asked, -1])
-            alike = labels[rows] == q.label[asked][:, None]
-            fits = (s >= least[:, None]) & (s <= q.high[asked][:, None]) & ((alike & (ids[rows] != q.anchor[asked][:, None])) if same else ~alike)
-            some = fits.any(1)
-            if not some.any():
-                continue
-            asked = asked[some]
-            s = np.concatenate([score[asked], np.where(fits[some], s[some], -np.inf)], axis=1)
-            i = np.concatenate([found[asked], np.broadcast_to(ids[rows], (len(asked), rows.stop - rows.start))], axis=1)
-            top = np.lexsort((i, -s), axis=1)[:, :k]
-            score[asked], found[asked] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+    low = np.where((high >= inner[:, None]) & (q.done != leaf)[:, None], low, np.inf)
+    score, found = np.full((len(q.slot), k), -np.inf), np.full((len(q.slot), k), np.iinfo(np.int64).max)
+    given, square = q.least(), q.square[q.owner]
+
+    def look(b: int, asked: np.ndarray) -> None:
+        # The outer bound shrinks to the k-th best row.
+        least = np.maximum(given[asked], score[asked, -1])
+        go = low[asked, b] <= square[asked] + whole - 2 * least
+        asked, least = asked[go], least[go]
+        if not len(asked):
+            return
+        rows = slice(cuts[b], cuts[b + 1])
+        own, at = np.unique(q.owner[asked], return_inverse=True)
+        s = q.x[own] @ x[rows].T
+        # Few windows still find a row: by their anchor's best score first.
+        some = s.max(1)[at] >= least
+        asked, at, least = asked[some], at[some], least[some]
+        if not len(asked):
+            return
+        alike = labels[rows] == q.label[own][:, None]
+        kin = alike & (ids[rows] != q.anchor[own][:, None]) if same else ~alike
+        s = np.where(kin, s, -np.inf)[at]
+        fits = (s >= least[:, None]) & (s <= q.high[asked][:, None]) & (s > -np.inf)
+        some = fits.any(1)
+        if not some.any():
+            return
+        asked = asked[some]
+        s = np.concatenate([score[asked], np.where(fits[some], s[some], -np.inf)], axis=1)
+        i = np.concatenate([found[asked], np.broadcast_to(ids[rows], (len(asked), rows.stop - rows.start))], axis=1)
+        top = np.lexsort((i, -s), axis=1)[:, :k]
+        score[asked], found[asked] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+
+    nearest = low.argmin(1)
+    for b in np.unique(nearest):
+        look(b, np.flatnonzero(nearest == b))
+    for b in np.argsort(low.min(0), kind="stable"):
+        look(b, np.flatnonzero(nearest != b))
     return found, score
 
 
-def _search(dims: int, whole: float, same: bool, k: int):
+def _search(dims: int, whole: float, same: bool, k: int, number: np.ndarray):
+    leaf_of = np.repeat(np.arange(len(number)), number)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -309,9 +348,11 @@ def _search(dims: int, whole: float, same: bool, k: int):
                 tree = Tree(x[points], _heights(x[points], whole), np.zeros(len(points)))
                 shape = (1 << tree.depth, tree.depth)
                 q = Queries.of(flat("queries"), dims)
-                found, score = _within(q, ids, labels, x, tree, flat("near").to_numpy().reshape(shape), flat("far").to_numpy().reshape(shape), whole, same, k)
+                leaf = int(leaf_of[batch.column("block")[i].as_py()])
+                found, score = _within(q, ids, labels, x, tree, flat("near").to_numpy().reshape(shape), flat("far").to_numpy().reshape(shape), whole, same, k, leaf)
                 at, place = np.nonzero(score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (q.anchor[at], q.slot[at], found[at, place], score[at, place].astype(np.int64))], names=["anchor_id", "slot", "id", "score"])
+                columns = q.anchor[q.owner[at]], q.slot[at], found[at, place], score[at, place].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["anchor_id", "slot", "id", "score"])
 
     return run
 
@@ -321,34 +362,51 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, to: Index, k: int, same: bool) -> DataFrame:
-    """``(anchor_id, slot, id, score, rank)``: the k best rows with ``low <= score <= high`` of the query's label (``same``), or of others.
+def _chunks(counts: list[int], most: int) -> tuple[list[int], list[int]]:
+    """For each leaf its first chunk and how many it has: a leaf of many anchors has several, leaves of few share one."""
+    first, chunks, at, held = [], [], 0, 0
+    for n in counts:
+        if held and held + n > most:
+            at, held = at + 1, 0
+        first.append(at)
+        chunks.append(max(1, -(-n // most)))
+        at, held = (at + chunks[-1], 0) if chunks[-1] > 1 else (at, held + n)
+    return first, chunks
+
+
+def nearest(asked: DataFrame, windows: DataFrame, to: Index, k: int, same: bool) -> DataFrame:
+    """``(anchor_id, slot, id, score, rank)``: the k best rows with ``low <= score <= high`` of the anchor's label (``same``), or of others.
 
-    ``queries(anchor_id, slot, label, x, low, high, leaf)``; ``slot`` tells queries of one anchor apart. Those of one upper
-    leaf travel together, in chunks.
+    ``asked(anchor_id, label, x, leaf)`` and ``windows(anchor_id, slot, low, high)``; ``slot`` tells windows of one anchor
+    apart. Anchors of neighbouring upper leaves travel together, in chunks.
     """
-    routed = lambda q, first: (
-        q.groupBy("leaf", "chunk").agg(F.collect_list(F.struct("anchor_id", "slot", "label", "x", "low", "high", "floor")).alias("queries")).select("queries")
-        .mapInArrow(_route(to.tree, to.near, to.far, to.first, to.number, to.dims, to.whole, first), _SENT)
-        .join(to.blocks, "block").mapInArrow(_search(to.dims, to.whole, same, k), "anchor_id long, slot long, id long, score long")
-    )
-    chunk, chunks = max(16, to.most // CHUNK_SHARE), [1] * len(to.number)
-    for leaf, number in queries.groupBy("leaf").count().collect():
-        chunks[leaf] = -(-number // chunk)
-    dealt = F.element_at(F.array(*map(F.lit, chunks)), F.col("leaf") + 1)
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("anchor_id", "slot"), dealt))
-    once = scratch(_ranked(routed(queries.withColumn("floor", F.lit(float("-inf"))), True), k), "vp-first")
+    counts = [0] * len(to.number)
+    for leaf, number in asked.groupBy("leaf").count().collect():
+        counts[leaf] = number
+    first, chunks = (F.element_at(F.array(*map(F.lit, v)), F.col("leaf") + 1) for v in _chunks(counts, max(16, to.most // CHUNK_SHARE)))
+    asked = asked.select("anchor_id", "label", F.col("x").cast("array<int>").alias("x"), (first + F.pmod(F.xxhash64("anchor_id"), chunks)).alias("chunk"))
+
+    def routed(windows: DataFrame, shelf: int) -> DataFrame:
+        of = windows.groupBy("anchor_id").agg(F.collect_list(F.struct("slot", "low", "high", "floor", F.lit(-1).alias("done"))).alias("windows"))
+        queries = asked.join(of, "anchor_id").groupBy("chunk").agg(F.collect_list(F.struct("anchor_id", "label", "x", "windows")).alias("queries")).select("queries")
+        sent = queries.mapInArrow(_route(to.tree, to.near, to.far, to.first, to.number, to.dims, to.whole, shelf), _SENT)
+        blocks = to.blocks.withColumn("place", F.floor(F.col("block") / (shelf or 1)).cast("int"))
+        return sent.join(blocks, "place").mapInArrow(_search(to.dims, to.whole, same, k, to.number), "anchor_id long, slot long, id long, score long")
+
+    once = scratch(_ranked(routed(windows.withColumn("floor", F.lit(float("-inf"))), 0), k), "vp-first")
     if len(to.number) == 1:
         return once
     floor = once.where(F.col("rank") == k).select("anchor_id", "slot", F.col("score").cast("double").alias("floor"))
-    later = queries.join(floor, ["anchor_id", "slot"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    return scratch(_ranked(once.drop("rank").unionByName(routed(later, False)), k), "vp-found")
+    later = windows.join(floor, ["anchor_id", "slot"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    return scratch(_ranked(once.drop("rank").unionByName(routed(later, to.shelf)), k), "vp-found")
 
 
 def vectors(table: DataFrame, scale: int = SCALE, label: Column | None = None) -> DataFrame:
     """``(vec_id, label, x)`` of the rows that take part; ``label`` may be an expression over the table."""
     label = (F.col("label") if label is None else label).cast("int")
-    rows = table.where(finite(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), integers(table, scale, 0).alias("x"))
+    # An id that is a long stays the table's own column: callers may name it as such.
+    vec_id = F.col("vec_id") if dict(table.dtypes)["vec_id"] == "bigint" else F.col("vec_id").cast("long").alias("vec_id")
+    rows = table.where(finite(F.col("embedding"))).select(vec_id, label.alias("label"), integers(table, scale, 0).alias("x"))
     rows = rows.where("vec_id IS NOT NULL AND label IS NOT NULL")
     return rows.groupBy("vec_id").agg(F.min(F.struct("label", "x")).alias("r")).select("vec_id", "r.label", "r.x")
 
@@ -358,17 +416,15 @@ def mined(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negative
 
     A negative's score is at least half of the positive's and at most 95 hundredths of it.
     """
-    rows = scratch(rows, "vp-vectors")
+    rows = scratch(rows.withColumn("asked", anchors), "vp-vectors")
     tree = index(rows, **sizes)
-    asked = rows.where(anchors)
+    asked = rows.where("asked")
     asked = scratch(asked.join(tree.leaves(asked), "vec_id").select(F.col("vec_id").alias("anchor_id"), "label", "x", "leaf"), "vp-anchors")
     discard(rows)
-    alike = nearest(asked.selectExpr("anchor_id", "0L AS slot", "label", "x", "double('-inf') AS low", "double('inf') AS high", "leaf"), tree, positives, same=True)
+    alike = nearest(asked, asked.selectExpr("anchor_id", "0L AS slot", "double('-inf') AS low", "double('inf') AS high"), tree, positives, same=True)
     pairs = alike.where("score >= 0").selectExpr("anchor_id", "id AS slot", "score AS positive_score")
-    windows = asked.join(pairs, "anchor_id").selectExpr(
-        "anchor_id", "slot", "label", "x", "double((positive_score + 1) div 2) AS low", "double((95 * positive_score) div 100) AS high", "leaf"
-    )
-    found = nearest(windows, tree, negatives, same=False).join(pairs, ["anchor_id", "slot"])
+    windows = pairs.selectExpr("anchor_id", "slot", "double((positive_score + 1) div 2) AS low", "double((95 * positive_score) div 100) AS high")
+    found = nearest(asked, windows, tree, negatives, same=False).join(pairs, ["anchor_id", "slot"])
     return found.selectExpr("anchor_id", "slot AS positive_id", "int(rank) AS rank", "id AS negative_id", "positive_score", "score AS negative_score")
 
 

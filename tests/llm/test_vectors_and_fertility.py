@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import fertility, hard_negatives, whitening
@@ -138,6 +139,27 @@ def test_mined_equals_brute_force(spark, kind, sizes):
     assert sorted(map(tuple, found.collect())) == slow_negatives(rows)
 
 
+def test_chunks_go_to_shelves_not_to_blocks(spark, monkeypatch):
+    """However many blocks there are, a chunk of anchors is shuffled once for each shelf at most, with all windows of an anchor."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(hard_negatives, "SHELVES", 3)
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 4, v) for i, v in enumerate(rng.integers(-20, 60, (900, 6)).tolist())]
+    to = hard_negatives.index(table(spark, rows), 8, 8 * 6 * 64)
+    assert int(to.number.sum()) > 6 and to.shelf > 1
+    windows = [{"slot": k, "low": -1e9, "high": 1e9, "floor": -np.inf, "done": -1} for k in range(5)]
+    chunk = [{"anchor_id": i, "label": label, "x": x, "windows": windows} for i, label, x in rows[:40]]
+    kind = pa.schema([("queries", pa.list_(pa.struct([("anchor_id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.int32())), ("windows", pa.list_(pa.struct([("slot", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("floor", pa.float64()), ("done", pa.int32())])))])))])
+    route = hard_negatives._route(to.tree, to.near, to.far, to.first, to.number, to.dims, to.whole, to.shelf)
+    found = list(route(iter([pa.RecordBatch.from_pylist([{"queries": chunk}], schema=kind)])))
+    places = [b.column("place")[0].as_py() for b in found]
+    assert len(places) == len(set(places)) <= 3
+    assert all(len(q["windows"]) == 5 for b in found for q in b.column("queries")[0].as_py())
+    mined = hard_negatives.mined(table(spark, rows), F.col("vec_id") % 50 == 0, block_bytes=8 * 6 * 64, leaves=8)
+    assert sorted(map(tuple, mined.collect())) == slow_negatives(rows)
+
+
 def test_search_skips_what_lies_outside():
     """Buckets whose bounds miss the annulus are not read, and nothing inside it is missed."""
     rng = np.random.default_rng(3)
