@@ -9,9 +9,10 @@ same bound holds for the grams of that part. The grams of a part are thrown into
 have a block in common. Those blocks are the join keys. Candidates also pass the size bound and the Hamming distance of
 parity sketches (a lower bound of the symmetric difference) before their whole sets are intersected.
 
-Skew. Equal sets are one from the start: the smallest id stands for its copies. Grams that are frequent in a bounded
-sample of documents form blocks of their own that come last in the global order: boilerplate then yields no keys for
-documents that have enough other text. Any fixed set of frequent grams gives exact results. What is known of a key (its
+Skew. Equal sets are one from the start: the smallest id stands for its copies. All grams of all documents are counted, in
+hashed counters; grams of counters that stand out form blocks of their own that come last in the global order: boilerplate
+then yields no keys for documents that have enough other text. Any fixed set of frequent grams gives exact results, so
+grams that share a counter with a frequent one do no harm. What is known of a key (its
 pivot, its number of members) is aggregated with map-side combination and written as a table, so that adaptive execution
 can split the rows of a hot key where they are joined with it.
 
@@ -42,8 +43,8 @@ from quillspark.llm._spark import connected_components, discard, scratch
 from quillspark.llm._text import U64, grams, hash_strings, list_array, mix, ranks_within, signed, slices, split_words
 
 WORDS = 5
-#: Documents in the sample that tells frequent grams, the share of it that makes a gram frequent, and the most grams kept.
-SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 10_000, 0.001, 50_000
+#: Counters of grams, in bits, and the share of all documents, beyond a counter's mean, that makes its grams frequent.
+COUNTERS, FREQUENT = 20, 0.001
 #: Each size band spans sizes from b to BAND * b; grams of a part of the band's largest set, blocks for each of them, and the fewest blocks.
 BAND, PART, LOAD, LEAST_BLOCKS = 4, 256, 0.5, 64
 #: A sketch has ``SKETCH`` bits for each gram at least, in a power of two of words, and ``BRIEF`` words for each part.
@@ -97,7 +98,7 @@ def _keys(owner: np.ndarray, value: np.ndarray, frequent: np.ndarray, band: np.n
     parts = _parts(b)
     part = (_bits(value) >> U64(6)).astype(np.int64) & (parts - 1)
     blocks = np.maximum(LEAST_BLOCKS, LOAD * float(BAND) ** (b + 1) / parts).astype(U64)
-    common = np.isin(value, frequent) if len(frequent) else np.zeros(len(value), bool)
+    common = frequent_among(value, frequent)
     block = (mix(value ^ U64(0x5851F42D4C957F2D)) % blocks).astype(np.int64) * 2 + common
     order = np.lexsort((block, part, owner))
     owner, part, block, value, b = owner[order], part[order], block[order], value[order], b[order]
@@ -167,17 +168,41 @@ def _sets(words: int):
     return run
 
 
+def _counter(value: np.ndarray) -> np.ndarray:
+    return (mix(value ^ U64(0xA24BAED4963EE407)) >> U64(64 - COUNTERS)).astype(np.int64)
+
+
+def frequent_among(value: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which grams are frequent: by their counters if ``frequent`` tells of each counter, else as grams themselves."""
+    if frequent.dtype == bool:
+        return frequent[_counter(value)]
+    return np.isin(value, frequent) if len(frequent) else np.zeros(len(value), bool)
+
+
+def _counted(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, docs = np.zeros(1 << COUNTERS, np.int64), 0
+        for part in slices(batches):
+            docs += part.num_rows
+            seen += np.bincount(_counter(gram_sets(part.column("text"), words)[1]), minlength=len(seen))
+        some = np.flatnonzero(seen)
+        # Counter -1: documents.
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(seen[some], docs), pa.int64())], names=["counter", "seen"])
+
+    return run
+
+
 def frequent_grams(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Grams in at least ``FREQUENT`` of a sample of about ``SAMPLE_DOCS`` documents; at most ``MOST_FREQUENT``."""
-    total = docs.count()
-    of = max(1, total // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0) if of > 1 else docs
-    least = max(10, int(FREQUENT * min(total, SAMPLE_DOCS)))
-    rows = (
-        sample.mapInArrow(_sets(words), "id long, grams array<long>").select(F.explode("grams").alias("gram"))
-        .groupBy("gram").count().where(F.col("count") >= least).orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT).collect()
-    )
-    return np.array([r["gram"] for r in rows], np.int64).view(U64)
+    """Of each counter, whether its grams are frequent: more than a mean counter, and ``FREQUENT`` of all documents (10 at least), have."""
+    seen = docs.select("text").mapInArrow(_counted(words), "counter int, seen long").groupBy("counter").agg(F.sum("seen").alias("seen"))
+    seen = scratch(seen, "jaccard-counts")
+    total, grams_of_all = seen.agg(F.max(F.when(F.col("counter") < 0, F.col("seen"))), F.sum(F.when(F.col("counter") >= 0, F.col("seen")))).first()
+    least = (grams_of_all or 0) / (1 << COUNTERS) + max(10, FREQUENT * (total or 0))
+    hot = seen.where((F.col("counter") >= 0) & (F.col("seen") >= least)).select("counter").toArrow().column("counter").to_numpy()
+    discard(seen)
+    frequent = np.zeros(1 << COUNTERS, bool)
+    frequent[hot] = True
+    return frequent
 
 
 def _half(sketch: Column, words: Column) -> Column:

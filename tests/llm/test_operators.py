@@ -139,6 +139,27 @@ def test_jaccard_parts_of_long_texts(spark):
     assert got == dict(enumerate(components(sets)))
 
 
+def test_jaccard_counts_all_documents(spark, monkeypatch):
+    """Grams that only documents outside any small sample hold are counted; which are frequent changes no result."""
+    docs = [(i, "the same line of all these texts " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(60)]
+    docs += [(100 + i, docs[i][1]) for i in range(5)] + [(200, None), (201, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    line = jaccard_join.gram_sets(pa.array(["the same line of all these texts"]))[1]
+    frequent = jaccard_join.frequent_grams(frame)
+    assert jaccard_join.frequent_among(line, frequent).all()
+    own = jaccard_join.gram_sets(pa.array([" ".join(f"w3x{k}" for k in range(12))]))[1]
+    assert jaccard_join.frequent_among(own, frequent).mean() < 0.2
+    seen = []
+    counted = jaccard_join._counted(5)(iter([pa.RecordBatch.from_pydict({"text": [t for _, t in docs]})]))
+    for batch in counted:
+        seen += batch.to_pylist()
+    assert sum(r["seen"] for r in seen if r["counter"] >= 0) == sum(len(jaccard_join.gram_sets(pa.array([t], pa.string()))[1]) for _, t in docs)
+    assert [r["seen"] for r in seen if r["counter"] < 0] == [len(docs)]
+    found = sorted(map(tuple, jaccard_join.jaccard_components(frame).collect()))
+    monkeypatch.setattr(jaccard_join, "frequent_grams", lambda docs, words: np.zeros(0, np.uint64))
+    assert found == sorted(map(tuple, jaccard_join.jaccard_components(frame).collect()))
+
+
 def test_jaccard_frequent_grams(spark, monkeypatch):
     """With most grams taken for frequent the result is the same."""
     monkeypatch.setattr(jaccard_join, "frequent_grams", lambda docs, words: np.unique(np.concatenate([jaccard_join.gram_sets(pa.array(corpus(2)[:50]))[1][::2]])))
