@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _KNOWN: set[str] = set()
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 3 << 20
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -50,6 +52,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+def bounded(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of ``BATCH_BYTES``, however large files are; a smaller setting of the user stands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the plan here, in the folder that all executors share."""
     shared_dir(df.sparkSession)

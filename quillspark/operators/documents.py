@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.session import bounded
 from quillspark.operators.contract import ContractError, source_path, split, validate, fields
 from quillspark.operators.markdown import parse_body
 
@@ -20,6 +21,21 @@ PARSED = (
 )
 
 
+_TEXT, _LONG = pa.string(), pa.int64()
+_ARROW = pa.schema(
+    [
+        *((c, _TEXT) for c in ("source_id", "fs_rel", "path", "title", "canonical_url", "error", "error_field")),
+        ("chunks", pa.list_(pa.struct([("chunk_id", _TEXT), ("position", _LONG), ("char_offset", _LONG), ("heading_hierarchy", pa.list_(_TEXT)), ("content", _TEXT)]))),
+        ("links", pa.list_(pa.struct([(c, _TEXT) for c in ("src_chunk_id", "target_path", "link_text", "anchor")]))),
+        ("code", pa.list_(pa.struct([(c, _TEXT) for c in ("snippet_id", "chunk_id", "language", "content")]))),
+    ]
+)
+#: Lists of a parsed document.
+PARTS = ("chunks", "links", "code")
+#: Bytes of files whose rows are held before they go on.
+PIECE_BYTES = 1 << 20
+
+
 def parse_file(raw: bytes, source_id: str, fs_rel: str, contract: bool = True) -> dict:
     """One document as a row. What is wrong with it stands in ``error``; ``path`` is told whenever it can be.
 
@@ -37,12 +53,14 @@ def parse_file(raw: bytes, source_id: str, fs_rel: str, contract: bool = True) -
             row["path"] = fs_rel
             row["chunks"], row["links"], row["code"], first = parse_body(body, source_id, fs_rel)
             return row | {"title": given.get("title") or first, "canonical_url": (given.get("canonical_url") or "").strip() or None}
+        given = None
         if front is not None:
             try:
-                row["path"] = source_path(fields(front).get("source_path"))
+                given = fields(front)
+                row["path"] = source_path(given.get("source_path"))
             except ContractError:
                 pass  # the whole contract says it below
-        told = validate(front, body)
+        told = validate(front, body, given)
         row["chunks"], row["links"], row["code"], _ = parse_body(body, source_id, told.source_path)
         row |= {"path": told.source_path, "title": told.title, "canonical_url": told.canonical_url}
     except UnicodeDecodeError as e:
@@ -56,18 +74,32 @@ def parse_file(raw: bytes, source_id: str, fs_rel: str, contract: bool = True) -
     return row
 
 
-def _parse(contract: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(contract: bool, parts: tuple[str, ...]):
+    left_out = {c: [] for c in PARTS if c not in parts}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parse_file(raw, s, f, contract) for raw, s, f in zip(batch["raw"], batch["source_id"], batch["fs_rel"], strict=True)]
-            yield pd.DataFrame(rows, columns=["source_id", "fs_rel", "path", "title", "canonical_url", "error", "error_field", "chunks", "links", "code"])
+            rows, held = [], 0
+            for raw, source_id, fs_rel in zip(batch.column("raw"), batch.column("source_id"), batch.column("fs_rel"), strict=True):
+                raw = raw.as_py()
+                rows.append(parse_file(raw, source_id.as_py(), fs_rel.as_py(), contract) | left_out)
+                held += len(raw or b"")
+                if held >= PIECE_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return run
 
 
-def parse(files: DataFrame, contract: bool = True) -> DataFrame:
-    """``files(source_id, fs_rel, raw)`` -> one row for each file, with its chunks, links and code, or its error."""
-    return files.select("source_id", "fs_rel", "raw").mapInPandas(_parse(contract), PARSED)
+def parse(files: DataFrame, contract: bool = True, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """``files(source_id, fs_rel, raw)`` -> one row for each file, with its chunks, links and code, or its error.
+
+    Files are parsed whole; lists that are not among ``parts`` stay in the task, and are empty in the rows.
+    """
+    bounded(files.sparkSession)
+    return files.select("source_id", "fs_rel", "raw").mapInArrow(_parse(contract, parts), PARSED)
 
 
 def tables_of(parsed: DataFrame) -> dict[str, DataFrame]:

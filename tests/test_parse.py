@@ -115,6 +115,34 @@ def test_any_fault_costs_its_file_only(spark):
     assert all(r["chunks"] == [] for n, r in rows.items() if n != "good.md")
 
 
+def test_rows_leave_a_task_in_small_pieces():
+    """However many files a batch has, only those of about a megabyte are held; what is left out stays in the task."""
+    import pyarrow as pa
+
+    from quillspark.operators import documents
+
+    raw = [GOOD.format("", "# T\n\n" + "word " * 20_000 + "[a](x.md)").encode() for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"source_id": ["s"] * 60, "fs_rel": [f"{k}.md" for k in range(60)], "raw": raw})
+    found = list(documents._parse(True, ("links",))(iter([batch])))
+    assert sum(b.num_rows for b in found) == 60 and max(b.num_rows for b in found) <= 11
+    assert all(r["chunks"] == [] and len(r["links"]) == 1 and r["error"] is None for b in found for r in b.to_pylist())
+
+
+def test_easy_texts_read_as_others_do(monkeypatch):
+    import random
+    import re
+
+    from quillspark.operators import markdown
+
+    rng = random.Random(5)
+    marks = ["\\", "\\", "a", "é", " ", "\n", "!", "(", ")", "]", "[", "<", "`", "*", "_", "~", "&", "&amp;", ".", "#", ">", "|", "-", "    ", "\t", "~~~\n", "```\n", "[a](b)", "\n\n", "## x\n"]
+    texts = ["".join(rng.choice(marks if k % 2 else marks[:9]) for _ in range(rng.randrange(30))) for k in range(4000)]
+    fast = [parse_body(t, "s", "p") for t in texts]
+    monkeypatch.setattr(markdown, "_EASY", re.compile(r"(?!)"))
+    monkeypatch.setattr(markdown, "_LINK_OR_CODE", re.compile(""))
+    assert fast == [parse_body(t, "s", "p") for t in texts]
+
+
 def test_permissive(spark):
     files = spark.createDataFrame([("s", "x/y.md", bytearray(b"# First\n\ntext")), ("s", "z.md", bytearray(b"---\ntitle: T\n---\n# A"))], "source_id string, fs_rel string, raw binary")
     rows = {r["path"]: r for r in parse(files, contract=False).collect()}
