@@ -40,11 +40,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._spark import connected_components, discard, scratch
-from quillspark.llm._text import U64, grams, hash_strings, list_array, mix, ranks_within, signed, slices, split_words
+from quillspark.llm._text import U64, grams, hashed_words, list_array, mix, ranks_within, signed, slices
 
 WORDS = 5
 #: Counters of grams, in bits, and the share of all documents, beyond a counter's mean, that makes its grams frequent.
 COUNTERS, FREQUENT = 20, 0.001
+#: Counters that go in one row.
+SHELF = 4096
 #: Each size band spans sizes from b to BAND * b; grams of a part of the band's largest set, blocks for each of them, and the fewest blocks.
 BAND, PART, LOAD, LEAST_BLOCKS = 4, 256, 0.5, 64
 #: A sketch has ``SKETCH`` bits for each gram at least, in a power of two of words, and ``BRIEF`` words for each part.
@@ -57,22 +59,21 @@ SLOT = 20
 
 def gram_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(owner, gram) pairs without repeats, sorted by owner and gram."""
-    w = split_words(texts, lower=True)
-    if not len(w.codes):
+    hashes, starts = hashed_words(texts)
+    if not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    hashes, owner, counts = hash_strings(w.vocab)[w.codes], w.owner(), w.counts
-    whole = grams(hashes, words)
-    at = np.flatnonzero(owner[: len(whole)] == owner[words - 1 :]) if len(whole) else np.zeros(0, np.int64)
-    owners, values = [owner[at]], [whole[at]]
+    counts = np.diff(starts)
+    sizes = np.where(counts < words, counts > 0, counts - words + 1)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(counts)), sizes)
+    at = np.arange(len(owner)) + np.repeat(starts[:-1] - ends + sizes, sizes)
+    value = np.append(grams(hashes, words), np.zeros(min(words - 1, len(hashes)), U64))[at]
     for k in range(1, words):  # texts of k words: the sequence as one gram
-        short = w.starts[:-1][counts == k]
+        short = np.flatnonzero(counts == k)
         if len(short):
-            fold = grams(np.concatenate([hashes, np.zeros(k, U64)]), k)[short]
-            owners.append(owner[short])
-            values.append(mix(fold + U64(k)))
-    owner, value = np.concatenate(owners), np.concatenate(values)
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
+            value[ends[short] - 1] = mix(grams(hashes, k)[starts[short]] + U64(k))
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        value[a:b].sort()
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     return owner[new], value[new]
@@ -94,13 +95,13 @@ def _bits(value: np.ndarray) -> np.ndarray:
 
 def _keys(owner: np.ndarray, value: np.ndarray, frequent: np.ndarray, band: np.ndarray):
     """``(owner, key, slot, size)`` for the first ``size // 4 + 1`` occupied blocks of each part of each set, in ``band``."""
-    b = band[owner]
-    parts = _parts(b)
-    part = (_bits(value) >> U64(6)).astype(np.int64) & (parts - 1)
-    blocks = np.maximum(LEAST_BLOCKS, LOAD * float(BAND) ** (b + 1) / parts).astype(U64)
+    b, parts = band[owner], _parts(band)
+    blocks = np.maximum(LEAST_BLOCKS, LOAD * float(BAND) ** (band + 1) / parts).astype(U64)[owner]
+    part = (_bits(value) >> U64(6)).astype(np.int64) & (parts[owner] - 1)
     common = frequent_among(value, frequent)
     block = (mix(value ^ U64(0x5851F42D4C957F2D)) % blocks).astype(np.int64) * 2 + common
-    order = np.lexsort((block, part, owner))
+    wide, deep = int(block.max()).bit_length(), int(part.max()).bit_length()
+    order = np.argsort((owner << (wide + deep)) | (part << wide) | block)
     owner, part, block, value, b = owner[order], part[order], block[order], value[order], b[order]
     new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
     size = np.diff(np.append(np.flatnonzero(new), len(owner)))  # grams of each part
@@ -110,7 +111,12 @@ def _keys(owner: np.ndarray, value: np.ndarray, frequent: np.ndarray, band: np.n
     owner, part, block, b, group = owner[first], part[first], block[first], b[first], group[first]
     slot = (b << SLOT) | part
     key = mix(mix(parity + block.astype(U64)) + slot.astype(U64) * U64(0x9E3779B97F4A7C15))
-    order = np.lexsort((key, block & 1, group))
+    # By group, frequent ones last, by key: of that as many bits as there is room for, unless those are equal somewhere.
+    room = 63 - int(group[-1]).bit_length()
+    coarse = (group.astype(U64) << U64(room + 1)) | ((block & 1).astype(U64) << U64(room)) | (key >> U64(64 - room))
+    order = np.argsort(coarse)
+    if (np.diff(coarse[order]) == 0).any():
+        order = np.lexsort((key, block & 1, group))
     owner, key, slot, size, group = owner[order], key[order], slot[order], size[group[order]], group[order]
     keep = ranks_within(group) <= size // 4
     return owner[keep], key[keep], slot[keep], size[keep]
@@ -192,13 +198,40 @@ def _counted(words: int):
     return run
 
 
+def _shelved(words: int):
+    """What ``_counted`` gives, each ``SHELF`` counters in one row; those of shelf -1: documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _counted(words)(batches):
+            counter, seen = (part.column(c).to_numpy() for c in ("counter", "seen"))
+            own = counter >= 0
+            shelf = np.unique(counter[own] // SHELF)
+            flat = np.zeros((1 << COUNTERS), np.int32)
+            flat[counter[own]] = seen[own]
+            rows = [*flat.reshape(-1, SHELF)[shelf], seen[~own].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(shelf, -1), pa.int32()), list_array(np.concatenate(rows), np.array([len(r) for r in rows]), pa.int32())], names=["shelf", "seen"]
+            )
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The rows of one shelf, added."""
+    seen = table.column("seen").combine_chunks()
+    counts = seen.flatten().to_numpy().reshape(len(seen), -1).sum(axis=0, dtype=np.int64)
+    return pa.table([pa.array([table.column("shelf")[0].as_py()], pa.int32()), pa.array([int(counts.sum())], pa.int64()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["shelf", "total", "seen"])
+
+
 def frequent_grams(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """Of each counter, whether its grams are frequent: more than a mean counter, and ``FREQUENT`` of all documents (10 at least), have."""
-    seen = docs.select("text").mapInArrow(_counted(words), "counter int, seen long").groupBy("counter").agg(F.sum("seen").alias("seen"))
-    seen = scratch(seen, "jaccard-counts")
-    total, grams_of_all = seen.agg(F.max(F.when(F.col("counter") < 0, F.col("seen"))), F.sum(F.when(F.col("counter") >= 0, F.col("seen")))).first()
+    seen = docs.select("text").mapInArrow(_shelved(words), "shelf int, seen array<int>")
+    seen = scratch(seen.groupBy("shelf").applyInArrow(_summed, "shelf int, total long, seen array<long>"), "jaccard-counts")
+    own = F.col("shelf") >= 0
+    total, grams_of_all = seen.agg(F.sum(F.when(~own, F.col("total"))), F.sum(F.when(own, F.col("total")))).first()
     least = (grams_of_all or 0) / (1 << COUNTERS) + max(10, FREQUENT * (total or 0))
-    hot = seen.where((F.col("counter") >= 0) & (F.col("seen") >= least)).select("counter").toArrow().column("counter").to_numpy()
+    hot = seen.where(own).select("shelf", F.posexplode("seen").alias("at", "n")).where(F.col("n") >= least)
+    hot = hot.select((F.col("shelf") * SHELF + F.col("at")).alias("counter")).toArrow().column("counter").to_numpy()
     discard(seen)
     frequent = np.zeros(1 << COUNTERS, bool)
     frequent[hot] = True

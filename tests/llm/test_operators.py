@@ -14,7 +14,7 @@ import pytest
 
 from quillspark.llm import _lattice, jaccard_join, language_id, media, packing, quality, sentencepiece_sampling, simhash, substring_dedup, suffix_dedup, token_files
 from quillspark.llm._spark import connected_components
-from quillspark.llm._text import long_grams, minimisers, split_words
+from quillspark.llm._text import hashed_words, long_grams, minimisers, split_words
 from quillspark.llm._tokens import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -160,6 +160,31 @@ def test_jaccard_counts_all_documents(spark, monkeypatch):
     assert found == sorted(map(tuple, jaccard_join.jaccard_components(frame).collect()))
 
 
+def test_jaccard_counts_come_in_few_rows():
+    """A task's counts of a million counters are rows of many counters each, and the same counts."""
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([*corpus(2)[:200], None, ""], pa.string())})
+    wanted = {r["counter"]: r["seen"] for b in jaccard_join._counted(5)(iter([batch])) for r in b.to_pylist()}
+    rows = [r for b in jaccard_join._shelved(5)(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) <= (1 << jaccard_join.COUNTERS) // jaccard_join.SHELF + 1
+    found = {r["shelf"] * jaccard_join.SHELF + i: n for r in rows if r["shelf"] >= 0 for i, n in enumerate(r["seen"]) if n}
+    assert found | {-1: next(r["seen"] for r in rows if r["shelf"] < 0)[0]} == wanted
+    summed = jaccard_join._summed(pa.Table.from_pylist([rows[0]] * 3, pa.schema([("shelf", pa.int32()), ("seen", pa.list_(pa.int32()))])))
+    assert summed.column("seen")[0].as_py() == [3 * n for n in rows[0]["seen"]] and summed.column("total")[0].as_py() == 3 * sum(rows[0]["seen"])
+
+
+def test_hashed_words_are_the_words():
+    """Hashes of words straight from the bytes tell apart what splitting tells apart, in texts of any odd kind and in slices."""
+    rng = random.Random(41)
+    pieces = ["a", "B", "b", " ", "\t", "\n", "\x0b", "\r", "\x1c", "\x00", "é", "İ", "日", "😀", "\x85", "\u00a0", "x" * 9, "y" * 8, "q" * 200, "Q" * 200]
+    for _ in range(300):
+        rows = pa.array([None if rng.random() < 0.1 else "".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(8))], pa.string())
+        for texts in (rows, rows.slice(1, 2), rows.slice(2)):
+            w, (hashes, starts) = split_words(texts, lower=True), hashed_words(texts)
+            assert starts.tolist() == w.starts.tolist()
+            named = list(zip((w.vocab[c] for c in w.codes), hashes.tolist(), strict=True))
+            assert len(set(named)) == len({n for n, _ in named}) == len({h for _, h in named})
+
+
 def test_jaccard_frequent_grams(spark, monkeypatch):
     """With most grams taken for frequent the result is the same."""
     monkeypatch.setattr(jaccard_join, "frequent_grams", lambda docs, words: np.unique(np.concatenate([jaccard_join.gram_sets(pa.array(corpus(2)[:50]))[1][::2]])))
