@@ -391,7 +391,8 @@ def nearest(asked: DataFrame, windows: DataFrame, to: Index, k: int, same: bool)
         queries = asked.join(of, "anchor_id").groupBy("chunk").agg(F.collect_list(F.struct("anchor_id", "label", "x", "windows")).alias("queries")).select("queries")
         sent = queries.mapInArrow(_route(to.tree, to.near, to.far, to.first, to.number, to.dims, to.whole, shelf), _SENT)
         blocks = to.blocks.withColumn("place", F.floor(F.col("block") / (shelf or 1)).cast("int"))
-        return sent.join(blocks, "place").mapInArrow(_search(to.dims, to.whole, same, k, to.number), "anchor_id long, slot long, id long, score long")
+        # Never broadcast: Spark takes the rows for as few as the chunks, but there is one for each place.
+        return sent.join(blocks.hint("merge"), "place").mapInArrow(_search(to.dims, to.whole, same, k, to.number), "anchor_id long, slot long, id long, score long")
 
     once = scratch(_ranked(routed(windows.withColumn("floor", F.lit(float("-inf"))), 0), k), "vp-first")
     if len(to.number) == 1:

@@ -160,6 +160,26 @@ def test_chunks_go_to_shelves_not_to_blocks(spark, monkeypatch):
     assert sorted(map(tuple, mined.collect())) == slow_negatives(rows)
 
 
+def test_sent_anchors_are_not_broadcast(spark, monkeypatch):
+    """A chunk becomes a row for each shelf, which Spark's estimate of a small input does not tell: these rows are shuffled."""
+    from pyspark.sql import functions as F
+
+    plans, write = [], hard_negatives.scratch
+
+    def looked_at(df, label):
+        if label in ("vp-first", "vp-found"):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(hard_negatives, "scratch", looked_at)
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 4, v) for i, v in enumerate(rng.integers(-20, 60, (900, 6)).tolist())]
+    mined = hard_negatives.mined(table(spark, rows), F.col("vec_id") % 50 == 0, block_bytes=8 * 6 * 64, leaves=8)
+    assert sorted(map(tuple, mined.collect())) == slow_negatives(rows)
+    assert len(plans) == 4 and all("SortMergeJoin [place#" in p and "BroadcastHashJoin [place#" not in p for p in plans)
+
+
 def test_search_skips_what_lies_outside():
     """Buckets whose bounds miss the annulus are not read, and nothing inside it is missed."""
     rng = np.random.default_rng(3)
