@@ -350,6 +350,30 @@ def test_recall_among_repeated_pieces(spark):
     assert len(wanted) >= 15 and len(found) >= 0.9 * len(wanted), (len(found), len(wanted))
 
 
+@pytest.mark.parametrize("seed", [31, 32])
+def test_common_seeds_leave_nothing_out(spark, seed):
+    """Edited passages of which every piece stands in many documents: whatever joining all documents of a seed finds lies in one class."""
+    rng = random.Random(seed)
+    docs = []
+    for k in range(10):
+        passage = fresh(rng, rng.randrange(60, 90))
+        for _ in range(2):
+            copy = list(passage)
+            for p in reversed(range(rng.randrange(6), len(copy), rng.choice((6, 7, 8)))):
+                copy[p : p + 1] = rng.choice(([f"x{rng.randrange(10**9)}"], [], [copy[p], f"y{rng.randrange(10**9)}"]))
+            docs.append(fresh(rng, 9) + copy + fresh(rng, 9))
+            for _ in range(30):  # others hold pieces of it, up to 30 words long, with its edits
+                a, n = rng.randrange(len(copy) - 30), rng.randrange(4, 30)
+                docs.append(fresh(rng, 5) + copy[a : a + n] + fresh(rng, 5))
+    rng.shuffle(docs)
+    texts = frame(spark, [" ".join(d) for d in docs])
+    whole = {(r["doc_id"], r["other_doc_id"]) for r in substring_dedup.shared_passages(texts, few=10**6).collect()}
+    rows = substring_dedup.shared_passages(texts, few=2).collect()
+    classes = {r[c]: r["class_id"] for r in rows for c in ("doc_id", "other_doc_id")}
+    assert len(whole) >= 4 and [p for p in whole if p[0] not in classes or classes[p[0]] != classes.get(p[1])] == []
+    assert all((r["doc_id"], r["other_doc_id"]) in whole for r in rows)
+
+
 def test_classes_are_components(spark):
     rng = random.Random(23)
     a, b = fresh(rng, 60), fresh(rng, 60)
